@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rule_ledger
+from . import bpe_count, rule_ledger
 from .columns import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_count.token_counts(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -53,7 +57,7 @@ FROM judged
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {f.__name__: f for f in (op1_quality_rules, op6_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

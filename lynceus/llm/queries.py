@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, rule_ledger
+from . import bpe_count, packing, rule_ledger
 from .columns import table
 
 
@@ -18,6 +18,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -57,7 +61,7 @@ FROM judged
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op6_token_counts)}
+    return {f.__name__: f for f in (op1_quality_rules, op6_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -120,7 +120,8 @@ class Merges:
         if len(self.cache) + len(unseen) > CACHE:
             self.cache.clear()
         pieces = list(unseen)
-        self.cache.update(zip(pieces, self.counts([p.encode() for p in pieces]).tolist(), strict=True))
+        found = self.counts([p.encode() for p in pieces]).tolist()
+        self.cache.update(zip(pieces, found, strict=True))
 
     def count_texts(self, texts: Iterable[str]) -> np.ndarray:
         """Tokens of each text."""

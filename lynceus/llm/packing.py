@@ -7,7 +7,7 @@ capacities. The emptiest bins are then cut to fill what the others have left, so
 of a group but the last are full; the last is cut at powers of two, which need no padding.
 
 Token ids come from the tokenizer library. A worker remembers the ids of at most `CACHE`
-white-space separated chunks; a text with characters for which chunks might not be independent of
+white-space separated chunks and words; a text with characters for which chunks might not be independent of
 what stands beside them goes to the library whole.
 
 Defined results: a null or empty text is the end id alone, so one piece of length 1; repeated rows
@@ -20,26 +20,30 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe_count import text_slices, vocabulary_path
+from .bpe_count import byte_symbols, text_slices, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024
 CACHE = 200_000
+#: Longer chunks and words, in characters, are not remembered.
+LONG = 64
 SEQUENCES_A_GROUP = 1 << 32
 #: Only these characters: lower-casing, composing and splitting then never look past white space.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed: the vocabulary's own way of splitting
 PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-ɏ]*")
 
 
 class Tokens:
-    """Token ids of texts, by chunk."""
+    """Token ids of texts, by chunk and by the words and signs in it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,69 +51,49 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.ends = np.zeros(CACHE + 1, dtype=np.int64)  # ends[k] is where chunk k ends, ends[-1] stays 0
-
-    def learn(self, unseen: set[str]) -> None:
-        """Encode chunks together, with a line break between, and cut the ids where a chunk begins."""
-        chunks = list(unseen)
-        begin = np.cumsum([0, *(len(c) + 1 for c in chunks)])
-        found = self.library.encode("\n".join(chunks), add_special_tokens=False)
-        ids = np.array(found.ids, dtype=np.uint32)
-        at = np.fromiter((o[0] for o in found.offsets), dtype=np.int64, count=len(ids))
-        ends = np.searchsorted(at, begin[1:], side="left")
-        k = len(self.place)
-        base = self.ends[k - 1] if k else 0
-        if base + len(ids) > len(self.flat):
-            self.flat = np.r_[self.flat[:base], np.zeros(max(len(self.flat), 2 * len(ids)), dtype=np.uint32)]
-        self.flat[base : base + len(ids)] = ids
-        self.ends[k : k + len(chunks)] = base + ends
-        self.place.update(zip(chunks, range(k, k + len(chunks)), strict=True))
+        self.bytes_as_signs = dict(enumerate(byte_symbols()))
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def simple(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
-    def encode(self, text: str) -> np.ndarray:
+    def word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= CACHE:
+                self.words.clear()
+            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as_signs)
+            found = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+            if len(word) <= LONG:
+                self.words[word] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if not self.simple(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        chunks = text.split()
-        parts = [self._chunks(chunks[i : i + CACHE // 2]) for i in range(0, len(chunks), CACHE // 2)]
-        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
-
-    def _chunks(self, chunks: list[str]) -> np.ndarray:
-        places = [*map(self.place.get, chunks)]
-        if None in places:
-            unseen = {c for c, p in zip(chunks, places, strict=True) if p is None}
-            if len(self.place) + len(unseen) > CACHE:
-                self.clear()
-                unseen = set(chunks)
-            self.learn(unseen)
-            places = [*map(self.place.__getitem__, chunks)]
-        k = np.array(places, dtype=np.int64)
-        start, end = self.ends[k - 1], self.ends[k]
-        size = end - start
-        shift = np.r_[0, np.cumsum(size)[:-1]] if len(k) else size
-        return self.flat[np.repeat(start - shift, size) + np.arange(size.sum())]
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn what a slice of texts needs in one call, as far as the cache has room."""
-        unseen: set[str] = set()
-        for t in texts:
-            if self.simple(t):
-                unseen.update(t.split())
-        unseen -= self.place.keys()
-        if len(unseen) > CACHE // 2:
-            return
-        if len(self.place) + len(unseen) > CACHE:
-            self.clear()
-            return self.prepare(texts)
-        if unseen:
-            self.learn(unseen)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        find, known = _finder().findall, self.chunks
+        out = []
+        for c in text.split():
+            ids = known.get(c)
+            if ids is None:
+                ids = b"".join(map(self.word, find(c.lower())))
+                if len(c) <= LONG:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    known[c] = ids
+            out.append(ids)
+        return b"".join(out)
+
+
+@functools.cache
+def _finder():
+    import regex
+
+    return regex.compile(WORD)
 
 
 @functools.cache
@@ -210,8 +194,7 @@ def with_ids(docs: DataFrame, vocabulary: str, path: str | None, groups: int) ->
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in text_slices(pc.binary_length(texts).to_pylist()):
                 part = texts.slice(a, b - a).to_pylist()
-                own.prepare(part)
-                ids = [own.encode(t).astype("<u4").tobytes() + END_ID.to_bytes(4, "little") for t in part]
+                ids = [own.encode(t) + END_ID.to_bytes(4, "little") for t in part]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("grp").slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "grp", "ids"])
 
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")

@@ -20,9 +20,8 @@ HARD = [
 
 def same(texts):
     own = P.Tokens(PATH)
-    own.prepare(texts)
     for t in texts:
-        assert own.encode(t).tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, t[:50]
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, t[:50]
 
 
 def test_ids_match_the_library():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, packing, rule_ledger
+from . import bpe_count, packing, rule_ensemble, rule_ledger
 from .columns import table
 
 
@@ -14,6 +14,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rule_ensemble.scores(docs, rule_ensemble.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ FROM judged
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op6_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op6_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

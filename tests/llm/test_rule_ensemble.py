@@ -1,0 +1,64 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from lynceus.llm import rule_ensemble as E
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+
+
+def auc(y, s):
+    pos, neg = s[y == 1], s[y == 0]
+    return np.mean([(pos[:, None] > neg).mean() + (pos[:, None] == neg).mean() / 2])
+
+
+def test_held_out_accuracy_and_compiled_column(spark, tables):
+    docs, labels = tables
+    model = E.train(docs, labels)
+    assert 0 < len(model.rules) < 200
+    got = E.scores(docs, model).toPandas().merge(labels.toPandas(), on="doc_id")
+    out = got[got.held_out]
+    assert len(out) > 30
+    assert auc(out.quality.to_numpy(), out.score.to_numpy()) > 0.9
+    assert ((out.predicted == out.quality).mean()) > 0.9
+    assert all(got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id])
+    # the column gives what numpy gives
+    stats = docs.select("doc_id", E.statistics(docs.text).alias("_s")).selectExpr("doc_id", "_s.*").toPandas().sort_values("doc_id")
+    want = model.scores(stats[list(E.NAMES)].to_numpy(float))
+    have = E.scores(docs, model).toPandas().sort_values("doc_id").score.to_numpy()
+    assert np.allclose(want, have)
+
+
+def test_held_out_labels_never_matter(spark, tables):
+    docs, labels = tables
+    flipped = labels.selectExpr("doc_id", f"CASE WHEN crc32(cast(doc_id AS string)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality")
+    assert E.train(docs, labels) == E.train(docs, flipped)
+
+
+def test_edges(spark):
+    rows = [(None, None, "a"), (1, "", "b"), (2, "word " * 20_000, "c"), (2, "word " * 20_000, "c"), (3, "X", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _s string")
+    none = spark.createDataFrame([(7, None), (None, 1)], "doc_id long, quality int")
+    model = E.train(docs, none)
+    assert [r.score for r in E.scores(docs, model).collect()] == [0.5] * 5
+    one = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "doc_id long, quality int")
+    assert all(r.predicted == 1 for r in E.scores(docs, E.train(docs, one)).collect())
+    both = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert all(0 <= r.score <= 1 for r in E.scores(docs, E.train(docs, both)).collect())
+    assert E.scores(docs.limit(0), model).count() == 0
+    kept = E.keep_good(docs, model)
+    assert kept.columns == docs.columns and kept.count() == 5
+
+
+def test_lasso_zeroes_noise():
+    rng = np.random.default_rng(0)
+    z = rng.random((400, 20)) < 0.5
+    y = (z[:, 0] ^ (rng.random(400) < 0.05)).astype(float)
+    _, w = E.lasso(z, y, penalty=0.03)
+    assert w[0] > 1 and (w != 0).sum() <= 3

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,25 +37,26 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0)).cast("double")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Make checkpoint() write to the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one the session names, else (in tests) one beside the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
-    Only a session without spark.checkpoint.dir (a test, a notebook) gets one of its own.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        named = f"{warehouse.rstrip('/')}/_checkpoints"
-    context.setCheckpointDir(named)
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and no lost executor takes it along."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lynceus-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df with its lineage cut by files in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a `cut` that nothing reads any more."""
+    jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, packing, rule_ensemble, rule_ledger
+from . import bpe_count, ngram_join, packing, rule_ensemble, rule_ledger
 from .columns import table
 
 
@@ -23,6 +23,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -66,7 +70,7 @@ FROM judged
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op6_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op6_token_counts, op8_ngram_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

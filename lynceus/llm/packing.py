@@ -33,7 +33,7 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024
-CACHE = 200_000
+CACHE = 600_000
 #: Longer chunks and words, in characters, are not remembered.
 LONG = 64
 SEQUENCES_A_GROUP = 1 << 32
@@ -75,19 +75,22 @@ class Tokens:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.simple(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        find, known = _finder().findall, self.chunks
-        out = []
-        for c in text.split():
-            ids = known.get(c)
-            if ids is None:
-                ids = b"".join(map(self.word, find(c.lower())))
-                if len(c) <= LONG:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[c] = ids
-            out.append(ids)
+        chunks = text.split()
+        out = [*map(self.chunks.get, chunks)]
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self.chunk(chunks[at])
         return b"".join(out)
 
+    def chunk(self, chunk: str) -> bytes:
+        ids = b"".join(map(self.word, _finder().findall(chunk.lower())))
+        if len(chunk) <= LONG:
+            if len(self.chunks) >= CACHE:
+                self.chunks.clear()
+            self.chunks[chunk] = ids
+        return ids
+
 
 @functools.cache
 def _finder():

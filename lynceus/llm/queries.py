@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, ngram_join, packing, rule_ensemble, rule_ledger
+from . import bpe_count, ngram_join, packing, pivot_index, rule_ensemble, rule_ledger
 from .columns import table
 
 
@@ -27,6 +27,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ FROM judged
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op6_token_counts, op8_ngram_join, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op6_token_counts, op8_ngram_join, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

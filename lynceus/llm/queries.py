@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, ngram_join, packing, pivot_index, rule_ensemble, rule_ledger
+from . import bpe_count, crf_pii, ngram_join, packing, pivot_index, rule_ensemble, rule_ledger
 from .columns import table
 
 
@@ -19,6 +19,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.scores(docs, rule_ensemble.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ FROM judged
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op6_token_counts, op8_ngram_join, op9_embedding_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op5_pii, op6_token_counts, op8_ngram_join, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,9 +9,12 @@ pairs below the bound that their sizes set are dropped before whole sets are com
 A column of m classes would give m * m / 2 pairs. Instead
 1. every class meets only the first class of its columns; the best such pair of each class is
    verified and verified pairs are contracted to components;
-2. the product then runs over pairs of different components only. In each column the rows outside
-   of its most frequent component meet the others, so a column within one component costs nothing.
-Every linked pair is thereby within a component or verified: components are exact.
+2. columns that hold several components go through the product in blocks of rows, in numpy. Sets
+   carry histograms of their shingles, whose sum of minima is at least the overlap, so nearly all
+   pairs of blocks end right there. Of each class the best pair is verified and contracted;
+3. step 2 again, now with every pair that the histograms leave.
+A column within one component costs nothing, and every linked pair is within a component or
+verified: components are exact.
 
 The order needs no exact frequencies, only one function for all: shingles go to `BUCKETS` counters
 (bounded, so collected and broadcast) that count all documents.
@@ -39,6 +42,9 @@ SIMILARITY = 80
 BUCKETS = 1 << 20
 #: doc_ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of a set's histogram; rows of a column that are multiplied with as many others at a time.
+WIDTH = 128
+BLOCK = 1024
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -50,6 +56,12 @@ def node_of(unique: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(unique.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def histogram(unique: np.ndarray) -> bytes | None:
+    """How many shingles fall to each of WIDTH values; null where a byte can't hold one."""
+    h = np.bincount((unique & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
+    return h.astype(np.uint8).tobytes() if h.max() < 256 else None
+
+
 def sets_of(column, words: int):
     """For each text: its row and its sorted distinct shingle hashes."""
     for a, _, data, offsets in text_buffers(column):
@@ -66,16 +78,18 @@ def described(docs: DataFrame, words: int) -> DataFrame:
 
         counters = np.zeros(BUCKETS, dtype=np.uint32)
         for batch in batches:
-            n, node = [], []
+            n, node, hist = [], [], []
             for _, s in sets_of(batch.column("text"), words):
                 n.append(len(s))
+                hist.append(histogram(s) if len(s) else None)
                 node.append(node_of(s) if len(s) else None)
                 np.add.at(counters, (s >> np.uint64(44)).astype(np.int64), 1)
             size = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(size, pa.binary())], names=["doc_id", "n", "node", "counters"])
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([counters.tobytes()], pa.binary())], names=["doc_id", "n", "node", "counters"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(size, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counters.tobytes()], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, n long, node long, counters binary")
+    names = ["doc_id", "n", "node", "hist", "counters"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, n long, node long, hist binary, counters binary")
 
 
 def summed(counters: DataFrame) -> DataFrame:
@@ -166,7 +180,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> Da
     spark = docs.sparkSession
     told = cut(described(docs, words))
     base = told.where("counters IS NULL")
-    classes = base.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"))
+    classes = base.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("hist").alias("hist"))
     component = node_components(spark, docs, told, classes, words, percent)
     smallest = classes.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     roots = smallest.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -190,16 +204,111 @@ def node_components(spark: SparkSession, docs: DataFrame, told: DataFrame, class
     best = stars.where(may_link(F.col("c"), F.col("n"), F.col("n_lo"), percent)).groupBy("node").agg(F.max(F.struct("c", "lo")).alias("m"))
     one = cut(verified(cut(best.select(F.col("node").alias("a"), F.col("m.lo").alias("b"))), docs, classes, words, percent))
 
-    label = components(one)
-    marked = shared.select("shingle", "node", "n").join(label, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("label"))
-    marked = cut(marked.withColumns({"lo": F.min("label").over(column), "hi": F.max("label").over(column)}).where("lo <> hi").drop("lo", "hi"))
-    most = marked.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("m")).select("shingle", F.col("m.label").alias("most"))
-    outside = marked.join(most, "shingle").where("label <> most").select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "most")
-    others = marked.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    sized = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
-    once = (F.col("lb") == F.col("most")) | (F.col("a") < F.col("b"))  # of two rows outside, one of both orders
-    met = outside.join(others, "shingle").where(sized & once)
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("n"), F.greatest("na", "nb").alias("more")).agg(F.count("*").alias("c"))
-    pairs = cut(pairs.where(may_link(F.col("c"), F.col("more"), F.col("n") - F.col("more"), percent)).select("a", "b"))
-    two = verified(pairs, docs, classes, words, percent)
-    return components(one.unionByName(two))
+    two = cut(verified(cut(best_of(survivors(mixed(shared, components(one)), classes, percent, True))), docs, classes, words, percent))
+    so_far = one.unionByName(two)
+    rest = cut(survivors(mixed(shared, components(so_far)), classes, percent, False).select("a", "b").distinct())
+    three = verified(rest, docs, classes, words, percent)
+    return components(so_far.unionByName(three))
+
+
+def mixed(shared: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of columns in which several components meet, with the component as label."""
+    column = Window.partitionBy("shingle")
+    labelled = shared.select("shingle", "node", "n").join(component, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("label"))
+    return cut(labelled.withColumns({"lo": F.min("label").over(column), "hi": F.max("label").over(column)}).where("lo <> hi").drop("lo", "hi"))
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """For each a the pair with the largest bound."""
+    return pairs.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+
+
+def survivors(rows: DataFrame, classes: DataFrame, percent: int, only_best: bool) -> DataFrame:
+    """a, b, bound: pairs of a column and of different labels that sizes and histograms let link.
+
+    Columns are cut into blocks of rows and each pair of blocks is one unit of work, so a hot column is
+    spread over tasks. With only_best, each a has at most one pair in a unit.
+    """
+    sizes = rows.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    placed = rows.join(sizes, "shingle").select("shingle", "node", "n", "label", "blocks", part.alias("part"))
+    with_hist = placed.join(classes.select("node", "hist"), "node")
+    at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))
+    dealt = with_hist.select("shingle", "node", "n", "label", "part", "hist", F.explode(at).alias("at")).select("shingle", "at.p", "at.q", "part", "node", "n", "label", "hist")
+    ordered = dealt.repartition(F.col("shingle"), F.col("p"), F.col("q")).sortWithinPartitions("shingle", "p", "q")
+
+    def multiply(batches):
+        import pyarrow as pa
+
+        for unit in units(batches):
+            a, b, bound = block_product(unit, percent, only_best)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bound)], names=["a", "b", "bound"])
+
+    return ordered.mapInArrow(multiply, "a long, b long, bound double")
+
+
+def units(batches):
+    """The runs of rows with one (shingle, p, q), whole also where they lie across batches."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        key = np.stack([np.asarray(held.column(c)).astype(np.int64) for c in ("shingle", "p", "q")])
+        ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        whole = held.slice(0, ends[-1]) if len(ends) else None
+        if whole is not None:
+            yield from cut_up(whole, ends)
+            held = held.slice(ends[-1])
+    if held is not None and held.num_rows:
+        yield from cut_up(held, np.array([held.num_rows]))
+
+
+def cut_up(table, ends: np.ndarray):
+    node, n, label, part = (np.asarray(table.column(c)) for c in ("node", "n", "label", "part"))
+    hist = table.column("hist").to_pylist()
+    start = 0
+    for end in ends:
+        if end - start > 1:
+            rows = slice(start, end)
+            yield node[rows], n[rows], label[rows], part[rows], hist[rows]
+        start = end
+
+
+def block_product(unit, percent: int, only_best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    node, n, label, part, hist = unit
+    values, counts = np.unique(label, return_counts=True)
+    outside = label != values[counts.argmax()]
+    unknown = np.array([h is None for h in hist])
+    h = np.frombuffer(b"".join(x if x is not None else b"\xff" * WIDTH for x in hist), dtype=np.uint8).reshape(-1, WIDTH)
+    two_parts = part.min() != part.max()
+    place = np.arange(len(node))
+    out = []
+    rows = np.flatnonzero(outside)
+    for k in range(0, len(rows), 64):
+        x = rows[k : k + 64]
+        ok = label[x][:, None] != label[None, :]
+        ok &= 100 * np.minimum(n[x][:, None], n[None, :]) >= percent * np.maximum(n[x][:, None], n[None, :])
+        if two_parts:
+            ok &= part[x][:, None] != part[None, :]
+        if not only_best:
+            ok &= ~outside[None, :] | (x[:, None] < place[None, :])
+        i, j = np.nonzero(ok)
+        for m in range(0, len(i), 50_000):
+            p, q = x[i[m : m + 50_000]], j[m : m + 50_000]
+            both = np.minimum(h[p], h[q]).sum(axis=1, dtype=np.int64)
+            both[unknown[p] | unknown[q]] = 1 << 40
+            total = n[p] + n[q]
+            fine = (100 + percent) * both >= percent * total
+            if fine.any():
+                p, q, bound = p[fine], q[fine], both[fine] / total[fine]
+                if only_best:
+                    order = np.lexsort((node[q], -bound, p))
+                    first = order[np.r_[True, np.diff(p[order]) != 0]]
+                    p, q, bound = p[first], q[first], bound[first]
+                out.append((node[p], node[q], bound))
+    if not out:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))

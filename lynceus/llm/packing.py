@@ -33,7 +33,7 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024
-CACHE = 600_000
+CACHE = 400_000
 #: Longer chunks and words, in characters, are not remembered.
 LONG = 64
 SEQUENCES_A_GROUP = 1 << 32
@@ -84,7 +84,13 @@ class Tokens:
         return b"".join(out)
 
     def chunk(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.word, _finder().findall(chunk.lower())))
+        # a lone word, or one with a sign after it, needs no search
+        if chunk.isalpha():
+            ids = self.word(chunk.lower())
+        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            ids = self.word(chunk[:-1].lower()) + self.word(chunk[-1])
+        else:
+            ids = b"".join(map(self.word, _finder().findall(chunk.lower())))
         if len(chunk) <= LONG:
             if len(self.chunks) >= CACHE:
                 self.chunks.clear()

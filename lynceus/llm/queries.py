@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, crf_pii, ngram_join, packing, pivot_index, rule_ensemble, rule_ledger
+from . import bpe_count, crf_pii, line_spread, mixing, ngram_join, packing, pivot_index, rule_ensemble, rule_ledger
 from .columns import table
 
 
@@ -14,6 +14,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rule_ensemble.scores(docs, rule_ensemble.train(docs, table(spark, sf_dir, "labels")))
@@ -27,6 +31,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.drawn(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
@@ -77,9 +85,34 @@ FROM judged
 """
 
 
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT row_number() OVER () AS rn, doc_id, text, coalesce(source, '') AS site, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), each AS (
+  SELECT rn, site, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM lines
+), keyed AS (
+  SELECT *, trim(line, E'\t\n\x0b\x0c\r ') AS k, regexp_matches(line, '[^\x20\x09-\x0D]') AS worded FROM each
+), spread AS (
+  SELECT k FROM keyed WHERE worded GROUP BY k HAVING count(DISTINCT site) >= 10
+), judged AS (
+  SELECT e.*, e.worded AND s.k IS NOT NULL AS gone FROM keyed e LEFT JOIN spread s ON e.k = s.k
+), texts AS (
+  SELECT rn, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
+         coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS c_gone, coalesce(sum(length(line)) FILTER (WHERE worded), 0) AS c_all,
+         coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS clean
+  FROM judged GROUP BY rn
+)
+SELECT doc_id, n_lines::BIGINT AS n_lines,
+       CASE WHEN 100 * c_gone <= 50 * c_all THEN n_gone ELSE 0 END::BIGINT AS n_removed,
+       CASE WHEN 100 * c_gone <= 50 * c_all THEN c_gone ELSE 0 END::BIGINT AS n_chars_removed,
+       md5(CASE WHEN n_gone > 0 AND 100 * c_gone <= 50 * c_all THEN clean ELSE text END) AS clean_md5
+FROM lines JOIN texts USING (rn)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_quality_classifier, op5_pii, op6_token_counts, op8_ngram_join, op9_embedding_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_quality_classifier, op5_pii, op6_token_counts, op7_mixing, op8_ngram_join, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL}

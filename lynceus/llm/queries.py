@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, crf_pii, line_spread, mixing, ngram_join, packing, pivot_index, rule_ensemble, rule_ledger
+from . import bpe_count, compact_windows, crf_pii, line_spread, mixing, ngram_join, packing, pivot_index, rule_ensemble, rule_ledger
 from .columns import table
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.report(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rule_ensemble.scores(docs, rule_ensemble.train(docs, table(spark, sf_dir, "labels")))
@@ -111,7 +115,7 @@ FROM lines JOIN texts USING (rn)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op4_quality_classifier, op5_pii, op6_token_counts, op7_mixing, op8_ngram_join, op9_embedding_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_substring_dedup, op4_quality_classifier, op5_pii, op6_token_counts, op7_mixing, op8_ngram_join, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,12 +9,14 @@ pairs below the bound that their sizes set are dropped before whole sets are com
 A column of m classes would give m * m / 2 pairs. Instead
 1. every class meets only the first class of its columns; the best such pair of each class is
    verified and verified pairs are contracted to components;
-2. columns that hold several components go through the product in blocks of rows, in numpy. Sets
-   carry histograms of their shingles, whose sum of minima is at least the overlap, so nearly all
-   pairs of blocks end right there. Of each class the best pair is verified and contracted;
-3. step 2 again, now with every pair that the histograms leave.
+2. the product then runs over pairs of different components. In columns of up to `HOT` rows it is a
+   join that sums up shared columns. Hotter columns go through it in blocks of rows, in numpy: sets carry
+   histograms of their shingles, whose sum of minima is at least the overlap, so nearly all pairs
+   end right there, and what is left of a block hands on its maximal spanning forest;
+3. verified pairs are contracted and step 2 is done again on hot columns, the last time with every
+   pair that the histograms leave.
 A column within one component costs nothing, and every linked pair is within a component or
-verified: components are exact.
+verified: it shares a hot column, or the join counts all columns that it shares. Components are exact.
 
 The order needs no exact frequencies, only one function for all: shingles go to `BUCKETS` counters
 (bounded, so collected and broadcast) that count all documents.
@@ -43,8 +45,10 @@ BUCKETS = 1 << 20
 #: doc_ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of a set's histogram; rows of a column that are multiplied with as many others at a time.
-WIDTH = 128
+WIDTH = 512
 BLOCK = 1024
+#: Rows up to which a column's pairs are joined as rows.
+HOT = 64
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -204,30 +208,44 @@ def node_components(spark: SparkSession, docs: DataFrame, told: DataFrame, class
     best = stars.where(may_link(F.col("c"), F.col("n"), F.col("n_lo"), percent)).groupBy("node").agg(F.max(F.struct("c", "lo")).alias("m"))
     one = cut(verified(cut(best.select(F.col("node").alias("a"), F.col("m.lo").alias("b"))), docs, classes, words, percent))
 
-    two = cut(verified(cut(best_of(survivors(mixed(shared, components(one)), classes, percent, True))), docs, classes, words, percent))
-    so_far = one.unionByName(two)
-    rest = cut(survivors(mixed(shared, components(so_far)), classes, percent, False).select("a", "b").distinct())
-    three = verified(rest, docs, classes, words, percent)
-    return components(so_far.unionByName(three))
-
-
-def mixed(shared: DataFrame, component: DataFrame) -> DataFrame:
-    """The rows of columns in which several components meet, with the component as label."""
+    rows = mixed(shared.select("shingle", "node", "n"), components(one))
+    pairs = cut(joined(rows.where(F.col("k") <= HOT), percent))
+    hot = cut(rows.where(F.col("k") > HOT))
+    edges = one.unionByName(cut(verified(pairs, docs, classes, words, percent)))
+    for forest in (True, True, False):
+        if hot.isEmpty():
+            break
+        more = cut(survivors(hot, classes, percent, forest).join(pairs, ["a", "b"], "left_anti"))
+        edges = edges.unionByName(cut(verified(more, docs, classes, words, percent)))
+        pairs = pairs.unionByName(more)
+        hot = mixed(hot.select("shingle", "node", "n"), components(edges)) if forest else hot
+    return components(edges)
+
+
+def mixed(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of columns in which several components meet, with the component as label, and k, the column's rows."""
     column = Window.partitionBy("shingle")
-    labelled = shared.select("shingle", "node", "n").join(component, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("label"))
-    return cut(labelled.withColumns({"lo": F.min("label").over(column), "hi": F.max("label").over(column)}).where("lo <> hi").drop("lo", "hi"))
+    labelled = rows.join(component, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("label"))
+    return cut(labelled.withColumns({"lo": F.min("label").over(column), "hi": F.max("label").over(column), "k": F.count("*").over(column)}).where("lo <> hi").drop("lo", "hi"))
 
 
-def best_of(pairs: DataFrame) -> DataFrame:
-    """For each a the pair with the largest bound."""
-    return pairs.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+def joined(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different labels that their sizes and number of shared columns let link."""
+    most = rows.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("m")).select("shingle", F.col("m.label").alias("most"))
+    outside = rows.join(most, "shingle").where("label <> most").select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "most")
+    others = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    sized = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
+    once = (F.col("lb") == F.col("most")) | (F.col("a") < F.col("b"))  # of two rows outside, one of both orders
+    met = outside.join(others, "shingle").where(sized & once)
+    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("n"), F.greatest("na", "nb").alias("more")).agg(F.count("*").alias("c"))
+    return pairs.where(may_link(F.col("c"), F.col("more"), F.col("n") - F.col("more"), percent)).select("a", "b")
 
 
-def survivors(rows: DataFrame, classes: DataFrame, percent: int, only_best: bool) -> DataFrame:
-    """a, b, bound: pairs of a column and of different labels that sizes and histograms let link.
+def survivors(rows: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """a, b: pairs of a column and of different labels that sizes and histograms let link.
 
     Columns are cut into blocks of rows and each pair of blocks is one unit of work, so a hot column is
-    spread over tasks. With only_best, each a has at most one pair in a unit.
+    spread over tasks. With forest, a unit gives fewer pairs than rows.
     """
     sizes = rows.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
@@ -241,11 +259,11 @@ def survivors(rows: DataFrame, classes: DataFrame, percent: int, only_best: bool
         import pyarrow as pa
 
         for unit in units(batches):
-            a, b, bound = block_product(unit, percent, only_best)
+            a, b = block_product(unit, percent, forest)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bound)], names=["a", "b", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return ordered.mapInArrow(multiply, "a long, b long, bound double")
+    return ordered.mapInArrow(multiply, "a long, b long").distinct()
 
 
 def units(batches):
@@ -277,10 +295,10 @@ def cut_up(table, ends: np.ndarray):
         start = end
 
 
-def block_product(unit, percent: int, only_best: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_product(unit, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
     node, n, label, part, hist = unit
-    values, counts = np.unique(label, return_counts=True)
-    outside = label != values[counts.argmax()]
+    values, group, counts = np.unique(label, return_inverse=True, return_counts=True)
+    outside = group != counts.argmax()
     unknown = np.array([h is None for h in hist])
     h = np.frombuffer(b"".join(x if x is not None else b"\xff" * WIDTH for x in hist), dtype=np.uint8).reshape(-1, WIDTH)
     two_parts = part.min() != part.max()
@@ -289,26 +307,44 @@ def block_product(unit, percent: int, only_best: bool) -> tuple[np.ndarray, np.n
     rows = np.flatnonzero(outside)
     for k in range(0, len(rows), 64):
         x = rows[k : k + 64]
-        ok = label[x][:, None] != label[None, :]
+        ok = group[x][:, None] != group[None, :]
         ok &= 100 * np.minimum(n[x][:, None], n[None, :]) >= percent * np.maximum(n[x][:, None], n[None, :])
+        ok &= ~outside[None, :] | (x[:, None] < place[None, :])
         if two_parts:
             ok &= part[x][:, None] != part[None, :]
-        if not only_best:
-            ok &= ~outside[None, :] | (x[:, None] < place[None, :])
         i, j = np.nonzero(ok)
-        for m in range(0, len(i), 50_000):
-            p, q = x[i[m : m + 50_000]], j[m : m + 50_000]
+        for m in range(0, len(i), 20_000):
+            p, q = x[i[m : m + 20_000]], j[m : m + 20_000]
             both = np.minimum(h[p], h[q]).sum(axis=1, dtype=np.int64)
             both[unknown[p] | unknown[q]] = 1 << 40
-            total = n[p] + n[q]
-            fine = (100 + percent) * both >= percent * total
-            if fine.any():
-                p, q, bound = p[fine], q[fine], both[fine] / total[fine]
-                if only_best:
-                    order = np.lexsort((node[q], -bound, p))
-                    first = order[np.r_[True, np.diff(p[order]) != 0]]
-                    p, q, bound = p[first], q[first], bound[first]
-                out.append((node[p], node[q], bound))
+            fine = (100 + percent) * both >= percent * (n[p] + n[q])
+            out.append((p[fine], q[fine], both[fine] / (n[p] + n[q])[fine]))
     if not out:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    p, q, bound = (np.concatenate(c) for c in zip(*out, strict=True))
+    if forest:
+        order = np.lexsort((np.maximum(node[p], node[q]), np.minimum(node[p], node[q]), -bound))
+        tree = spanning(len(values), group[p[order]], group[q[order]])
+        p, q = p[order[tree]], q[order[tree]]
+    return node[p], node[q]
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the edges, taken in their order, join parts of n nodes that were not joined before."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[y] = x
+            out.append(k)
+            if len(out) == n - 1:
+                break
+    return out

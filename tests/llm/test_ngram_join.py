@@ -57,8 +57,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_matches_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 64), (2, 2)])
+def test_matches_brute_force(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(N, "HOT", hot)
+    monkeypatch.setattr(N, "BLOCK", 64 if hot > 2 else 4)
     rows = list(enumerate(corpus(seed), start=100)) + [(None, "one"), (None, None)]
     docs = spark.createDataFrame([(d, t, "x", 7) for d, t in rows], "doc_id long, text string, node string, n int").repartition(5)
     got = sorted((tuple(r) for r in N.linked(docs).collect()), key=str)

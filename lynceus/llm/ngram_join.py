@@ -212,7 +212,7 @@ def node_components(spark: SparkSession, docs: DataFrame, told: DataFrame, class
     pairs = cut(joined(rows.where(F.col("k") <= HOT), percent))
     hot = cut(rows.where(F.col("k") > HOT))
     edges = one.unionByName(cut(verified(pairs, docs, classes, words, percent)))
-    for forest in (True, True, False):
+    for forest in (True, False):
         if hot.isEmpty():
             break
         more = cut(survivors(hot, classes, percent, forest).join(pairs, ["a", "b"], "left_anti"))
@@ -250,9 +250,10 @@ def survivors(rows: DataFrame, classes: DataFrame, percent: int, forest: bool) -
     sizes = rows.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     part = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
     placed = rows.join(sizes, "shingle").select("shingle", "node", "n", "label", "blocks", part.alias("part"))
-    with_hist = placed.join(classes.select("node", "hist"), "node")
+    columns = rows.groupBy("node").agg(F.sort_array(F.collect_set("shingle")).alias("columns"))
+    with_hist = placed.join(columns, "node").join(classes.select("node", "hist"), "node")
     at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))
-    dealt = with_hist.select("shingle", "node", "n", "label", "part", "hist", F.explode(at).alias("at")).select("shingle", "at.p", "at.q", "part", "node", "n", "label", "hist")
+    dealt = with_hist.select("shingle", "node", "n", "label", "part", "columns", "hist", F.explode(at).alias("at")).select("shingle", "at.p", "at.q", "part", "node", "n", "label", "columns", "hist")
     ordered = dealt.repartition(F.col("shingle"), F.col("p"), F.col("q")).sortWithinPartitions("shingle", "p", "q")
 
     def multiply(batches):
@@ -285,18 +286,33 @@ def units(batches):
 
 
 def cut_up(table, ends: np.ndarray):
-    node, n, label, part = (np.asarray(table.column(c)) for c in ("node", "n", "label", "part"))
+    shingle, node, n, label, part = (np.asarray(table.column(c)) for c in ("shingle", "node", "n", "label", "part"))
     hist = table.column("hist").to_pylist()
+    columns = table.column("columns").combine_chunks()
+    at, every = np.asarray(columns.offsets), np.asarray(columns.values)
     start = 0
     for end in ends:
         if end - start > 1:
             rows = slice(start, end)
-            yield node[rows], n[rows], label[rows], part[rows], hist[rows]
+            # of each row's columns those before this one, as (row in the unit, column)
+            some = every[at[start] : at[end]]
+            owner = np.repeat(np.arange(end - start), np.diff(at[start : end + 1]))
+            earlier = some < shingle[start]
+            yield node[rows], n[rows], label[rows], part[rows], hist[rows], (owner[earlier], some[earlier])
         start = end
 
 
+def incidence(n: int, owner: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    values, place = np.unique(columns, return_inverse=True)
+    out = np.zeros((n, max(1, len(values))), dtype=np.float32)
+    out[owner, place] = 1
+    return out
+
+
 def block_product(unit, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    node, n, label, part, hist = unit
+    """Pairs of a unit's rows that can link. A pair is left to the first column that both rows have."""
+    node, n, label, part, hist, before = unit
+    met = incidence(len(node), *before)
     values, group, counts = np.unique(label, return_inverse=True, return_counts=True)
     outside = group != counts.argmax()
     unknown = np.array([h is None for h in hist])
@@ -312,6 +328,7 @@ def block_product(unit, percent: int, forest: bool) -> tuple[np.ndarray, np.ndar
         ok &= ~outside[None, :] | (x[:, None] < place[None, :])
         if two_parts:
             ok &= part[x][:, None] != part[None, :]
+        ok &= met[x] @ met.T == 0
         i, j = np.nonzero(ok)
         for m in range(0, len(i), 20_000):
             p, q = x[i[m : m + 20_000]], j[m : m + 20_000]

@@ -146,44 +146,55 @@ def anchors(w: np.ndarray, least: int, enough: int) -> np.ndarray:
     return w[good]
 
 
+def shared_places(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in x, in y) of equal shingles whose distance is `shift`, give or take DRIFT, ordered by place in x."""
+    i, j = [], []
+    for d in range(shift - DRIFT, shift + DRIFT + 1):
+        begin, end = max(0, -d), min(len(x), len(y) - d)
+        if begin < end:
+            hit = np.flatnonzero(x[begin:end] == y[begin + d : end + d]) + begin
+            if len(hit):
+                i.append(hit)
+                j.append(hit + d)
+    if not i:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = np.concatenate(i), np.concatenate(j)
+    order = np.argsort(i, kind="stable")
+    return i[order], j[order]
+
+
 def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
     """(begin, end, begin_b, end_b) of near-duplicate passages of two shingle sequences around places that they share."""
-    order = np.argsort(y, kind="stable")
-    ranked = y[order]
     out: list[tuple[int, int, int, int]] = []
+    shifts = starts[:, 1] - starts[:, 0]
     done: set[tuple[int, int]] = set()
-    for at, at_b in starts:
-        if any(p[0] <= at < p[1] and p[2] <= at_b < p[3] for p in out):
-            continue
-        shift = at_b - at
-        # the nearest place in y of each shingle of x, if it is within the drift
-        near = np.full(len(x), -1, dtype=np.int64)
-        i = np.searchsorted(ranked, x, side="left")
-        for _ in range(4):
-            ok = i < len(y)
-            same = np.zeros(len(x), dtype=bool)
-            same[ok] = ranked[i[ok]] == x[ok]
-            place = np.where(same, order[np.minimum(i, len(y) - 1)], -1)
-            fits = same & (np.abs(place - np.arange(len(x)) - shift) <= DRIFT) & (near < 0)
-            near[fits] = place[fits]
-            i = i + 1
-        hit = np.flatnonzero(near >= 0)
-        if not len(hit):
-            continue
-        breaks = np.flatnonzero(np.diff(hit) > GAP)
-        run_begin, run_end = np.r_[0, breaks + 1], np.r_[breaks, len(hit) - 1]
-        run = np.searchsorted(hit[run_begin], at, side="right") - 1
-        if run < 0:
-            continue
-        span = hit[run_begin[run] : run_end[run] + 1]
-        a, b = int(span[0]), int(span[-1]) + 1
-        a2, b2 = int(near[span].min()), int(near[span].max()) + 1
-        if (a, b) in done:
+    order = np.argsort(shifts, kind="stable")
+    group = np.r_[True, np.diff(shifts[order]) > 0].cumsum()
+    for g in np.unique(group):
+        mine = starts[order[group == g]]
+        shift = int(mine[0, 1] - mine[0, 0])
+        if all(any(p[0] <= m[0] < p[1] and p[2] <= m[1] < p[3] for p in out) for m in mine):
+            continue  # places within passages that are known
+        a, b = shared_places(x, y, shift)
+        if not len(a):
             continue
-        done.add((a, b))
-        p, q = set(x[a:b].tolist()), set(y[a2:b2].tolist())
-        if min(b - a, b2 - a2) >= least and 100 * len(p & q) >= percent * len(p | q):
-            out.append((a, b, a2, b2))
+        edges = np.flatnonzero(np.diff(a) > GAP)
+        run_begin, run_end = np.r_[0, edges + 1], np.r_[edges, len(a) - 1]
+        for run in np.unique(np.searchsorted(a[run_begin], mine[:, 0], side="right") - 1):
+            if run < 0:
+                continue
+            rows = slice(run_begin[run], run_end[run] + 1)
+            span = (int(a[rows][0]), int(a[rows][-1]) + 1)
+            if span in done:
+                continue
+            done.add(span)
+            other = (int(b[rows].min()), int(b[rows].max()) + 1)
+            if min(span[1] - span[0], other[1] - other[0]) < least:
+                continue
+            p, q = set(x[slice(*span)].tolist()), set(y[slice(*other)].tolist())
+            both = len(p & q)
+            if 100 * both >= percent * (len(p) + len(q) - both):
+                out.append((*span, *other))
     return out
 
 
@@ -233,7 +244,8 @@ def supported(pairs: DataFrame, least: int, enough: int) -> DataFrame:
                     starts.append(good[:, [2, 5]].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(starts, pa.binary())], names=["a", "b", "starts"])
 
-    return pairs.mapInArrow(test, "a long, b long, starts binary")
+    by_several = F.size(F.array_distinct(F.transform("w", lambda w: w["k"]))) >= enough
+    return pairs.where(by_several).mapInArrow(test, "a long, b long, starts binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:

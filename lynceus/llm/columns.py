@@ -43,11 +43,23 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, and no lost executor takes it along."""
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def cut(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends there, and no lost executor takes it along.
+
+    arrow_rows bounds the rows that a Python worker holds at a time, for wide rows.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lynceus-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        if arrow_rows:
+            spark.conf.set(ARROW_ROWS, arrow_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,6 +37,8 @@ ENOUGH = 2
 GAP = 2 * WORDS
 #: How far a passage's places may drift between the two texts.
 DRIFT = 16
+#: Documents or pairs of sequences that a Python worker holds at a time.
+ROWS = 2000
 #: doc_ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 SALTS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -124,7 +126,7 @@ def met(found: DataFrame) -> DataFrame:
     shared = found.repartition(F.col("key")).distinct().withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo <> hi")
     here = F.struct("node", "low", "at", "high")
     in_order = Window.partitionBy("key").orderBy("node", "low")
-    shared = cut(shared.withColumns({"before": F.lag(here).over(in_order), "first": F.first(here).over(in_order)}))
+    shared = cut(shared.withColumns({"before": F.lag(here).over(in_order), "first": F.first(here).over(in_order)}), ROWS)
     pair = lambda other: shared.where(F.col(other).isNotNull() & (F.col(f"{other}.node") != F.col("node"))).select(
         F.col("node").alias("a"), F.col(f"{other}.node").alias("b"), F.struct("k", "low", "at", "high", F.col(f"{other}.low").alias("low_b"), F.col(f"{other}.at").alias("at_b"), F.col(f"{other}.high").alias("high_b")).alias("w")
     )
@@ -206,10 +208,10 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = SIMI
     """
     least = words - WORDS + 1
     told, found = windows(docs, least, n_hashes)
-    told = cut(told)
+    told = cut(told, ROWS)
     classes = told.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    pairs = cut(supported(met(found), least, enough))
-    links = cut(verified(pairs, docs, classes, least, percent))
+    pairs = cut(supported(met(found), least, enough), ROWS)
+    links = cut(verified(pairs, docs, classes, least, percent), ROWS)
     spans = links.select(F.col("a").alias("node"), "begin", "end").union(links.select("b", "begin_b", "end_b"))
     spans = spans.union(classes.where("copies > 1").select("node", F.lit(0), F.col("n").cast("int")))
     spans = merged(spans.distinct())
@@ -276,7 +278,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: int,
             kinds = [pa.int64(), pa.int32(), pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "begin", "end", "b", "begin_b", "end_b"])
 
-    sequences = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, sequence binary").dropDuplicates(["node"]))
+    sequences = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, sequence binary").dropDuplicates(["node"]), ROWS)
     left = pairs.join(sequences.select(F.col("node").alias("a"), F.col("sequence").alias("x")), "a")
     both = left.join(sequences.select(F.col("node").alias("b"), F.col("sequence").alias("y")), "b").select("a", "b", "starts", "x", "y")
     return both.mapInArrow(compare, "a long, begin int, end int, b long, begin_b int, end_b int")

@@ -46,6 +46,8 @@ BUCKETS = 1 << 20
 BROADCAST_IDS = 1_000_000
 #: Bytes of a set's histogram; rows of a column that are multiplied with as many others at a time.
 WIDTH = 512
+#: Documents, pairs of sets or arrays of counters that a Python worker holds at a time.
+ROWS, COUNTERS = 2000, 4
 BLOCK = 1024
 #: Rows up to which a column's pairs are joined as rows.
 HOT = 64
@@ -165,7 +167,7 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, words: int
             total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * both >= percent * total))
 
-    sets = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, set binary"))
+    sets = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, set binary"), ROWS)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     return left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
 
@@ -182,7 +184,7 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
-    told = cut(described(docs, words))
+    told = cut(described(docs, words), ROWS)
     base = told.where("counters IS NULL")
     classes = base.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("hist").alias("hist"))
     component = node_components(spark, docs, told, classes, words, percent)
@@ -197,26 +199,26 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> Da
 
 def node_components(spark: SparkSession, docs: DataFrame, told: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """node, component of the classes that link with another one."""
-    counters = spark.sparkContext.broadcast(summed(told.where("counters IS NOT NULL").select("counters")).first()[0])
+    counters = spark.sparkContext.broadcast(cut(summed(told.where("counters IS NOT NULL").select("counters")), COUNTERS).first()[0])
     # shingles of more than one class; dealt by shingle once for all that follows here
     dealt = prefixes(docs, counters, words, percent).repartition(F.col("shingle")).distinct()
     column = Window.partitionBy("shingle")
-    shared = cut(dealt.select("shingle", "node", "n", F.min("node").over(column).alias("lo"), F.max("node").over(column).alias("hi")).where("lo <> hi").drop("hi"))
+    shared = cut(dealt.select("shingle", "node", "n", F.min("node").over(column).alias("lo"), F.max("node").over(column).alias("hi")).where("lo <> hi").drop("hi"), ROWS)
 
     sizes = shared.select(F.col("node").alias("lo"), F.col("n").alias("n_lo")).distinct()
     stars = shared.where("node <> lo").groupBy("node", "n", "lo").agg(F.count("*").alias("c")).join(sizes, "lo")
     best = stars.where(may_link(F.col("c"), F.col("n"), F.col("n_lo"), percent)).groupBy("node").agg(F.max(F.struct("c", "lo")).alias("m"))
-    one = cut(verified(cut(best.select(F.col("node").alias("a"), F.col("m.lo").alias("b"))), docs, classes, words, percent))
+    one = cut(verified(cut(best.select(F.col("node").alias("a"), F.col("m.lo").alias("b"))), docs, classes, words, percent), ROWS)
 
     rows = mixed(shared.select("shingle", "node", "n"), components(one))
     pairs = cut(joined(rows.where(F.col("k") <= HOT), percent))
     hot = cut(rows.where(F.col("k") > HOT))
-    edges = one.unionByName(cut(verified(pairs, docs, classes, words, percent)))
+    edges = one.unionByName(cut(verified(pairs, docs, classes, words, percent), ROWS))
     for forest in (True, False):
         if hot.isEmpty():
             break
-        more = cut(survivors(hot, classes, percent, forest).join(pairs, ["a", "b"], "left_anti"))
-        edges = edges.unionByName(cut(verified(more, docs, classes, words, percent)))
+        more = cut(survivors(hot, classes, percent, forest).join(pairs, ["a", "b"], "left_anti"), ROWS)
+        edges = edges.unionByName(cut(verified(more, docs, classes, words, percent), ROWS))
         pairs = pairs.unionByName(more)
         hot = mixed(hot.select("shingle", "node", "n"), components(edges)) if forest else hot
     return components(edges)

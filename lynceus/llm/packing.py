@@ -54,6 +54,9 @@ class Tokens:
         self.model = self.library.model
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bytes_as_signs = dict(enumerate(byte_symbols()))
+        self.forget()
+
+    def forget(self) -> None:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -199,12 +202,14 @@ def with_ids(docs: DataFrame, vocabulary: str, path: str | None, groups: int) ->
         import pyarrow.compute as pc
 
         own = tokens(path or vocabulary_path(vocabulary))
+        own.forget()  # what an earlier task left, if it was stopped
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in text_slices(pc.binary_length(texts).to_pylist()):
                 part = texts.slice(a, b - a).to_pylist()
                 ids = [own.encode(t) + END_ID.to_bytes(4, "little") for t in part]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("grp").slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "grp", "ids"])
+        own.forget()  # workers live on for other tasks
 
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("grp", T.LongType()), T.StructField("ids", T.BinaryType())])

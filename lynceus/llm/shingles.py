@@ -102,7 +102,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = WORDS, fo
     return out, np.r_[0, np.cumsum(np.bincount(at, minlength=n_texts))], n_words
 
 
-def text_buffers(column, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_buffers(column, most: int = 500_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices (from row, to row, bytes, offsets) of an Arrow string column, of about `most` bytes; null is empty."""
     import pyarrow as pa
     import pyarrow.compute as pc

@@ -73,7 +73,7 @@ def scan(args: argparse.Namespace) -> int:
     from lynceus.plans.engine import audit
     from lynceus.sinks import reports as S
     from lynceus.sources import config as C
-    from lynceus.sources.files import from_folder, suppressions_of
+    from lynceus.sources.files import from_folder, hidden_suppressions, suppressions_of
 
     root, whole = Path(args.path), args.command == "scan-all"
     sentinel = SENTINELS[args.type]
@@ -98,7 +98,7 @@ def scan(args: argparse.Namespace) -> int:
     artifacts = spark.createDataFrame([(n, n) for n in names], "artifact_id string, name string")
     files = from_folder(spark, str(root.resolve()), whole)
     files = files.join(artifacts.select("artifact_id"), "artifact_id", "left_semi")
-    done = audit(files, artifacts, args.type, config, suppressions_of(files))
+    done = audit(files, artifacts, args.type, config, suppressions_of(files).unionByName(hidden_suppressions(spark, str(root.resolve()), whole)))
     found = ordered(done.findings, args.type)
     if args.format == "sarif":
         text = S.merged_sarif(S.sarif_runs(done.reports, done.findings, args.type))

@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 MAX_SNIPPET = 120
 
 
+#: Java matches repeated groups by recursion, which a line of thousands of repeats would overflow.
+REPEATS = 400
+
+
 def rx(pattern: str) -> str:
-    return "(?dU)" + pattern
+    return "(?dU)" + pattern.replace(")*", f"){{0,{REPEATS}}}")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -31,7 +31,10 @@ EXTENSIONS = {
     "script_mixing": MARKDOWN,
 }
 HIT = "array<struct<scanner:string,rule_id:string,pos:int,message:string>>"
-NONE = F.array().cast(HIT)
+
+
+def none() -> Column:
+    return F.array().cast(HIT)
 
 
 def hit(scanner: str, rule: str, message: Column | str, pos: Column | int = 0) -> Column:
@@ -60,7 +63,7 @@ def bash(line: Column, config: Config) -> Column:
     rules = [(X.matches(line, r.pattern), r) for r in R.BASH[:-1]]
     network = R.BASH[-1]
     gated = X.matches(line, network.pattern) & ~X.all_hosts_allowed(line, config.domains)
-    return F.when(~shell_comment(line) & ~ignored(line), when_hits(*rules, (gated, network))).otherwise(NONE)
+    return F.when(~shell_comment(line) & ~ignored(line), when_hits(*rules, (gated, network))).otherwise(none())
 
 
 def typescript(line: Column, config: Config) -> Column:
@@ -68,11 +71,11 @@ def typescript(line: Column, config: Config) -> Column:
     network = R.TYPESCRIPT[-1]
     gated = X.matches(line, network.pattern) & ~X.all_hosts_allowed(line, config.domains)
     skipped = X.trim(line).startswith("//") | X.matches(line, R.IGNORE_SLASHES)
-    return F.when(~skipped, when_hits(*rules, (gated, network))).otherwise(NONE)
+    return F.when(~skipped, when_hits(*rules, (gated, network))).otherwise(none())
 
 
 def prompt(line: Column, stem: Column) -> Column:
-    return F.when(~F.lower(stem).isin(*R.BENIGN_STEMS), when_hits(*((X.matches(line, r.pattern), r) for r in R.PROMPT))).otherwise(NONE)
+    return F.when(~F.lower(stem).isin(*R.BENIGN_STEMS), when_hits(*((X.matches(line, r.pattern), r) for r in R.PROMPT))).otherwise(none())
 
 
 def package_install(line: Column, config: Config) -> Column:
@@ -83,8 +86,8 @@ def package_install(line: Column, config: Config) -> Column:
     host = F.lower(F.regexp_extract(url, X.rx(X.HOST), 1))
     foreign = (url != "") & ~((host != "") & X.in_list(host, config.registries))
     first = when_hits(*tests, (X.matches(line, latest.pattern), latest))
-    last = F.when(foreign, F.array(hit(registry.scanner, registry.id, F.concat(F.lit(f"{registry.message}: "), url)))).otherwise(NONE)
-    return F.when(~shell_comment(line) & ~ignored(line), F.concat(first, last)).otherwise(NONE)
+    last = F.when(foreign, F.array(hit(registry.scanner, registry.id, F.concat(F.lit(f"{registry.message}: "), url)))).otherwise(none())
+    return F.when(~shell_comment(line) & ~ignored(line), F.concat(first, last)).otherwise(none())
 
 
 def addresses(line: Column) -> Column:
@@ -114,9 +117,9 @@ def urls(line: Column, config: Config) -> Column:
             )
         ).cast(HIT)
         skipped = (host == "") | X.in_list(host, config.domains)
-        return F.when(skipped, NONE).when(ip, F.array(say(literal, u["raw"])).cast(HIT)).otherwise(several)
+        return F.when(skipped, none()).when(ip, F.array(say(literal, u["raw"])).cast(HIT)).otherwise(several)
 
-    return F.when(~ignored(line), F.flatten(F.transform(addresses(line), of))).otherwise(NONE)
+    return F.when(~ignored(line), F.flatten(F.transform(addresses(line), of))).otherwise(none())
 
 
 def tokens(line: Column) -> Column:
@@ -147,7 +150,7 @@ def obfuscation(line: Column, in_prose: Column) -> Column:
         bits = X.entropy(t)
         return F.when(F.octet_length(t) >= MIN_TOKEN, F.when(is_base64(t), say(base64)).when(is_hex(t), say(hexed)).when(bits > MAX_ENTROPY, say(high, bits)))
 
-    return F.when(in_prose & ~ignored(line) & (F.octet_length(line) >= MIN_TOKEN), F.array_compact(F.transform(tokens(line), of)).cast(HIT)).otherwise(NONE)
+    return F.when(in_prose & ~ignored(line) & (F.octet_length(line) >= MIN_TOKEN), F.array_compact(F.transform(tokens(line), of)).cast(HIT)).otherwise(none())
 
 
 def example_email(address: Column) -> Column:
@@ -192,7 +195,7 @@ def pii(line: Column) -> Column:
         hits_of(X.every(line, R.IPV4), private_ipv4, plain(private)),
         hits_of(X.every(line, R.INTERNAL_HOST), lambda v: F.lit(True), plain(internal)),
     )
-    return F.when(~ignored(line), found).otherwise(NONE)
+    return F.when(~ignored(line), found).otherwise(none())
 
 
 def redact(line: Column) -> Column:
@@ -227,7 +230,7 @@ def script_mixing(line: Column, in_prose: Column, in_head: Column) -> Column:
     key, value = F.lower(X.trim(F.substring_index(line, ":", 1))), X.trim(F.regexp_replace(line, r"(?s)\A[^:]*:", ""))
     field = in_head & line.contains(":") & ~X.trim(line).startswith("#") & key.isin("name", "description", "compatibility") & (value != "") & ~ignored(line)
     body = in_prose & ~ignored(line) & (X.trim(line) != "---")
-    return F.concat(F.when(field, script_hits(value, True)).otherwise(NONE), F.when(body, script_hits(line, False)).otherwise(NONE))
+    return F.concat(F.when(field, script_hits(value, True)).otherwise(none()), F.when(body, script_hits(line, False)).otherwise(none()))
 
 
 def with_states(lines: DataFrame) -> DataFrame:
@@ -261,7 +264,7 @@ def all_hits(config: Config) -> Column:
         "pii": pii(line),
         "script_mixing": script_mixing(line, F.col("in_prose"), F.col("in_head")),
     }
-    return F.concat(*(F.when(reads(s), c).otherwise(NONE) for s, c in columns.items() if config.enabled(s)), NONE)
+    return F.concat(*(F.when(reads(s), c).otherwise(none()) for s, c in columns.items() if config.enabled(s)), none())
 
 
 def reads(scanner: str) -> Column:

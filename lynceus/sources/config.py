@@ -9,7 +9,8 @@ from pathlib import Path, PurePosixPath
 from lynceus.rules import catalogue as R
 
 CONFIG_NAME = "audit.toml"
-IGNORE_NAME = ".audit-ignore"
+#: At the root of an artifact; also with a dot in front in local folders.
+IGNORE_NAME = "audit-ignore"
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,18 @@ def artifacts_of(files: DataFrame, mode: str) -> DataFrame:
     return files.where((F.col("rel_path") == SENTINELS[mode])).select("artifact_id").distinct().orderBy("artifact_id")
 
 
+def hidden_suppressions(spark: SparkSession, root: str, collection: bool = False) -> DataFrame:
+    """Entries of dot-named ignore files of local artifacts, which Spark's file sources pass over; read one by one on the driver."""
+    base = Path(root)
+    folders = sorted(p for p in base.iterdir() if p.is_dir()) if collection else [base]
+    rows = []
+    for f in folders:
+        file = f / f".{C.IGNORE_NAME}"
+        if file.is_file():
+            rows += [{"artifact_id": f.resolve().name, **e} for e in C.suppressions(file.read_text(encoding="utf-8", errors="replace"))]
+    return spark.createDataFrame(rows, SUPPRESSION)
+
+
 def suppressions_of(files: DataFrame) -> DataFrame:
     """Entries of the ignore files at artifacts' roots."""
 

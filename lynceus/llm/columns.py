@@ -44,22 +44,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While false, small results are written by few tasks; while true, by one for each core.
+PARALLEL_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 
 def cut(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and no lost executor takes it along.
 
-    arrow_rows bounds the rows that a Python worker holds at a time, for wide rows.
+    arrow_rows bounds the rows that a Python worker holds at a time, for wide rows. Files are as many as the data
+    is large, not as many as there are cores.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lynceus-{uuid.uuid4().hex}"
-    before = spark.conf.get(ARROW_ROWS)
+    settings = {PARALLEL_FIRST: "false"} | ({ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
+    before = {k: spark.conf.get(k) for k in settings}
     try:
-        if arrow_rows:
-            spark.conf.set(ARROW_ROWS, arrow_rows)
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(ARROW_ROWS, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -114,9 +114,45 @@ FROM lines JOIN texts USING (rn)
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), ends AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT a AS doc_id, a AS r FROM ends UNION SELECT reach.doc_id, ends.b FROM reach JOIN ends ON reach.r = ends.a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(d.doc_id, m), d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(r) AS m FROM reach GROUP BY doc_id) r ON r.doc_id = d.doc_id
+"""
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+  SELECT a AS vec_id, a AS r FROM links UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON reach.r = links.a
+), least_one AS (
+  SELECT vec_id, min(r) AS m FROM reach GROUP BY vec_id
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, coalesce(least(v.vec_id, m), v.vec_id) AS component_id, v.vec_id = coalesce(least(v.vec_id, m), v.vec_id) AS kept
+FROM v LEFT JOIN least_one r ON r.vec_id = v.vec_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_substring_dedup, op4_quality_classifier, op5_pii, op6_token_counts, op7_mixing, op8_ngram_join, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_line_dedup": OP2_SQL, "op8_ngram_join": OP8_SQL, "op9_embedding_dedup": OP9_SQL}

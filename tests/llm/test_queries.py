@@ -33,7 +33,8 @@ def test_query(spark, name):
     sql = Q.oracle_sql().get(name)
     if sql:
         c = duckdb.connect()
-        c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
+        for t in ("documents", "embeddings"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
         want = c.execute(sql)
         columns = [d[0] for d in want.description]
         order, mine = sorted(columns), sorted(got.columns)

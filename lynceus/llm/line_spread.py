@@ -60,32 +60,33 @@ def boilerplate(found: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def removed(docs: DataFrame, sites: int = SITES, most: int = MOST, site: str = "source", text: str = "text", broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
-    """docs with a column _r: struct of clean (the text without boilerplate), n_lines, n_removed, n_chars_removed."""
+    """A row for each of docs: row (a struct of its columns), and clean (the text without boilerplate), n_lines, n_removed, n_chars_removed."""
     found = occurrences(docs, site, text)
     hits = cut(found.join(boilerplate(found, sites), "key", "left_semi").groupBy("whole").agg(F.collect_set("key").alias("keys")))
-    few = hits.count() <= broadcast_texts
-    hits = hits.select(F.col("whole").alias("_whole"), F.col("keys").alias("_keys"))
-    joined = docs.join(F.broadcast(hits) if few else hits, F.xxhash64(text) == F.col("_whole"), "left")
-    lines = lines_of(F.col(text))
-    is_hit = lambda line: F.array_contains("_keys", key(line)) & line.rlike(NOT_GAP)
+    hits = F.broadcast(hits) if hits.count() <= broadcast_texts else hits
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.xxhash64(text).alias("whole")).join(hits, "whole", "left")
+    lines = lines_of(F.col("text"))
+    is_hit = lambda line: F.array_contains("keys", key(line)) & line.rlike(NOT_GAP)
     chars = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda n, line: n + F.length(line))
     kept, gone = F.filter(lines, lambda line: ~is_hit(line)), F.filter(lines, is_hit)
-    whole = F.struct(F.col(text).alias("clean"), F.size(worded(lines)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_chars_removed"))
-    less = F.struct(F.array_join(kept, "\n").alias("clean"), F.size(worded(lines)).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), chars(gone).alias("n_chars_removed"))
-    cleaned = F.when(F.col("_keys").isNotNull() & (100 * chars(gone) <= most * chars(worded(lines))), less).otherwise(whole)
-    return joined.select(*docs.columns, cleaned.alias("_r"))
+    n_lines = F.size(worded(lines)).cast("long").alias("n_lines")
+    count = lambda n, c: (n.cast("long").alias("n_removed"), c.cast("long").alias("n_chars_removed"))
+    whole = F.struct(F.col("text").alias("clean"), n_lines, *count(F.lit(0), F.lit(0)))
+    less = F.struct(F.array_join(kept, "\n").alias("clean"), n_lines, *count(F.size(gone), chars(gone)))
+    result = F.when(F.col("keys").isNotNull() & (100 * chars(gone) <= most * chars(worded(lines))), less).otherwise(whole)
+    return rows.select("row", result.alias("r")).select("row", "r.*")
 
 
 def report(docs: DataFrame, sites: int = SITES) -> DataFrame:
     """The result of op2: what each row keeps."""
     out = removed(docs.select("doc_id", "text", "source"), sites)
-    return out.select("doc_id", *(F.col(f"_r.{c}").alias(c) for c in ("n_lines", "n_removed", "n_chars_removed")), F.md5(F.col("_r.clean").cast("binary")).alias("clean_md5"))
+    return out.select("row.doc_id", "n_lines", "n_removed", "n_chars_removed", F.md5(F.col("clean").cast("binary")).alias("clean_md5"))
 
 
 def cleaned(docs: DataFrame, sites: int = SITES, text: str = "text") -> DataFrame:
     """docs with boilerplate lines gone from their texts; all columns stay, n_chars follows where there is one."""
     out = removed(docs, sites, text=text)
-    change = {text: F.col("_r.clean")}
+    change = {text: F.col("clean")}
     if "n_chars" in docs.columns:
-        change["n_chars"] = F.when(F.col("_r.n_removed") > 0, F.length("_r.clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(change.get(c, F.col(c)).alias(c) for c in docs.columns))
+        change["n_chars"] = F.when(F.col("n_removed") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*(change.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -41,10 +41,10 @@ def corpus():
 
 def test_matches_brute_force_near_and_far_from_the_threshold(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(*r, "c", 3) for r in rows], "doc_id long, text string, source string, key string, n_chars int").repartition(3)
+    docs = spark.createDataFrame([(*r, "c", 3) for r in rows], "doc_id long, text string, source string, keys string, n_chars int").repartition(3)
     for sites in (3, 6, 10, 12):
         for limit in (0, 1000):
-            got = L.removed(docs, sites, broadcast_texts=limit).select("doc_id", "_r.n_lines", "_r.n_removed", "_r.n_chars_removed", "_r.clean").collect()
+            got = L.removed(docs, sites, broadcast_texts=limit).select("row.doc_id", "n_lines", "n_removed", "n_chars_removed", "clean").collect()
             assert sorted(map(tuple, got), key=str) == sorted(brute(rows, sites), key=str)
     assert sum(r[2] for r in brute(rows, 10)) > 50
     out = L.cleaned(docs)

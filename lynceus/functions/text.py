@@ -27,9 +27,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: The characters of Unicode's White_Space property.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(text: Column) -> Column:
-    """Strip Unicode white space at both ends; SQL's own trim only knows the space."""
-    return F.regexp_replace(text, rx(r"\A\s+|\s+\z"), "")
+    """Strip Unicode white space at both ends; without a list of characters SQL's trim only knows the space."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def lines(content: Column) -> Column:

@@ -180,7 +180,7 @@ _LISTED = lambda names: "(" + ", ".join(map(quoted, names)) + ")"
 def url_extract(spark, sf_dir):
     lines = sample_lines(spark, sf_dir).where(F.col("ext").isin("md", "sh") & ~L.ignored(F.col("line")))
     rows = lines.select("path", F.col("line_no").alias("line"), F.explode(L.addresses(F.col("line"))).alias("u"))
-    return rows.select("path", "line", "u.scheme", "u.host", L.X.in_list(F.col("u.host"), R.DOMAINS).alias("allowed"), X.matches(F.col("u.host"), R.IP_HOST).alias("ip"))
+    return rows.select("path", "line", "u.scheme", "u.host", X.in_list(F.col("u.host"), R.DOMAINS).alias("allowed"), X.matches(F.col("u.host"), R.IP_HOST).alias("ip"))
 
 
 @query(f"""WITH {SAMPLE_LINES}, {_URL_SQL}
@@ -214,7 +214,7 @@ def obfusc_tokens(spark, sf_dir):
     return scanned(spark, sf_dir, "obfuscation").select("path", "line", "rule_id")
 
 
-@query(f"WITH {DOC_LINES}, w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) SELECT doc_id, max(round(list_entropy(string_split(t, '')), 6)) AS entropy FROM w WHERE t <> '' AND strlen(t) = length(t) AND strlen(t) <= 60 GROUP BY doc_id")
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) SELECT doc_id, max(round(list_entropy(string_split(t, '')), 6)) AS entropy FROM w WHERE t <> '' AND strlen(t) = length(t) AND strlen(t) <= 60 GROUP BY doc_id")
 def obfusc_entropy(spark, sf_dir):
     w = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.split("text", " ")).alias("t"))
     return w.where((F.col("t") != "") & (F.octet_length("t") == F.char_length("t")) & (F.octet_length("t") <= 60)).groupBy("doc_id").agg(F.max(F.round(X.entropy(F.col("t")), 6)).alias("entropy"))
@@ -567,6 +567,33 @@ def explain_rule(spark, sf_dir):
     return A.catalogue(spark).where("rule_id = 'bash/CAT-A1'").select("rule_id", F.col("rule_message").alias("message"), "remediation").limit(1)
 
 
+_RANGES = ("5", "1-9", "9-1", "1-2-3", " 5", "", "x", "7-", "0-0", "12-12000")
+
+
+@query(f"""WITH v(r) AS ({values((r,) for r in _RANGES)}), g AS (SELECT o_orderkey, r, regexp_matches(r, '^[0-9]+$') AS one, regexp_matches(r, '^[0-9]+-[0-9]+$') AS two FROM v, orders WHERE o_orderkey % 100 = 1)
+SELECT o_orderkey, r, coalesce(CASE WHEN one THEN r::BIGINT = o_orderkey WHEN two AND string_split(r, '-')[1]::BIGINT <= string_split(r, '-')[2]::BIGINT THEN o_orderkey BETWEEN string_split(r, '-')[1]::BIGINT AND string_split(r, '-')[2]::BIGINT END, false) AS fits FROM g""")
+def suppress_line_range(spark, sf_dir):
+    ranges = spark.createDataFrame([(r,) for r in _RANGES], "r string")
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 1").select("o_orderkey").join(F.broadcast(ranges), F.lit(True))
+    begin, end, valid = A.line_range(F.col("r"))
+    return o.select("o_orderkey", "r", F.coalesce(valid & F.col("o_orderkey").between(begin, end), F.lit(False)).alias("fits"))
+
+
+_KINDS = {"skill": (*R.COMMON, *R.FRONTMATTER), "agent": (*R.COMMON, *R.AGENT)}
+
+
+@query(f"""WITH s(id, sev) AS ({values((r.id, r.severity) for r in _KINDS["skill"])}), a(id, sev) AS ({values((r.id, r.severity) for r in _KINDS["agent"])})
+SELECT id AS rule_id, sev AS severity FROM s UNION ALL SELECT id, sev FROM a WHERE id NOT IN (SELECT id FROM s)""")
+def rule_catalogue_union(spark, sf_dir):
+    skill, agent = (A.catalogue(spark, _KINDS[k]).select("rule_id", "severity") for k in ("skill", "agent"))
+    return skill.unionByName(agent.join(skill, "rule_id", "left_anti"))
+
+
+@query(f"WITH {_union_sql()} SELECT path, line, rule_id, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS rank FROM fd")
+def severity_ranks(spark, sf_dir):
+    return A.ordered(sample_findings(spark, sf_dir)).select("path", "line", "rule_id", A.severity_rank(F.col("severity")).alias("rank"))
+
+
 _READ = f"""fx AS (SELECT DISTINCT artifact_id, path, ext FROM tl)"""
 
 

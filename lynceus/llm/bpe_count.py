@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .worker import tidy
+
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
 CACHE = 300_000
@@ -223,4 +225,4 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(tokens), pa.array(tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
-    return docs.select("doc_id", "text").mapInArrow(count, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(count), schema)

@@ -8,9 +8,8 @@ level with numpy.
 
 Texts whose windows share a minimum under enough of the hashes, in places that overlap on both sides, are
 candidates. Within a group of equal minima every text meets the first and the one before it in the
-group's order, never all others. Candidates are verified on the texts' shingles: a passage is a run
-of shared shingles with gaps that a few changed words explain, as long as a passage must be, whose two sides
-have the similarity as sets. Equal texts are one class before any of that.
+group's order, never all others. Candidates are verified on the texts' shingles: a passage is
+a stretch of shared shingles, as long as a passage must be, whose two sides have the similarity as sets. Equal texts are one class before any of that.
 
 Defined results: null, empty and short texts have no passage. Rows with null doc_id are left out. Repeated
 rows of one doc_id are one document. Texts without a repeated passage have no row. Columns other than
@@ -28,13 +27,12 @@ from pyspark.sql import functions as F
 from .columns import cut
 from .components import components
 from .shingles import WORDS, mix, shingle_hashes, text_buffers
+from .worker import tidy
 
 PASSAGE = 50
 SIMILARITY = 80
 HASHES = 4
 ENOUGH = 2
-#: Shingles without a partner that a passage may hold in one place: one changed word makes WORDS of them.
-GAP = 2 * WORDS
 #: How far a passage's places may drift between the two texts.
 DRIFT = 16
 #: Documents or pairs of sequences that a Python worker holds at a time.
@@ -117,7 +115,7 @@ def windows(docs: DataFrame, least: int, n_hashes: int) -> tuple[DataFrame, Data
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "k", "node", "low", "at", "high"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(members, "doc_id long, node long, n long").distinct(), rows.select("text").mapInArrow(cover, "key long, k int, node long, low int, at int, high int")
+    return rows.mapInArrow(tidy(members), "doc_id long, node long, n long").distinct(), rows.select("text").mapInArrow(tidy(cover), "key long, k int, node long, low int, at int, high int")
 
 
 def met(found: DataFrame) -> DataFrame:
@@ -165,38 +163,64 @@ def shared_places(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[np.ndarray,
     return i[order], j[order]
 
 
+def best_stretches(scores: list[int]) -> list[tuple[int, int]]:
+    """All maximal scoring stretches (first, last) of a sequence of scores: disjoint, and together they hold every positive score."""
+    found: list[list[int]] = []  # first, last, total before the stretch, total at its end
+    total = 0
+    for k, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        new = [k, k, before, total]
+        while True:
+            at = len(found) - 1
+            while at >= 0 and found[at][2] >= new[2]:
+                at -= 1
+            if at < 0 or found[at][3] >= new[3]:
+                break
+            new = [found[at][0], k, found[at][2], total]
+            del found[at:]
+        found.append(new)
+    return [(f[0], f[1]) for f in found]
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    p, q = set(x.tolist()), set(y.tolist())
+    both = len(p & q)
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
-    """(begin, end, begin_b, end_b) of near-duplicate passages of two shingle sequences around places that they share."""
+    """(begin, end, begin_b, end_b) of near-duplicate passages of two shingle sequences, on the shifts of places that they share.
+
+    Runs of shared shingles score for their length, what lies between them costs, so that a stretch of runs has no
+    negative score where it is similar enough. The maximal stretches hold every run; each that is long enough
+    is compared as sets, and where repeats make the sets less alike than the runs, its long runs are passages on their own.
+    """
     out: list[tuple[int, int, int, int]] = []
-    shifts = starts[:, 1] - starts[:, 0]
-    done: set[tuple[int, int]] = set()
-    order = np.argsort(shifts, kind="stable")
-    group = np.r_[True, np.diff(shifts[order]) > 0].cumsum()
-    for g in np.unique(group):
-        mine = starts[order[group == g]]
-        shift = int(mine[0, 1] - mine[0, 0])
+    for shift in np.unique(starts[:, 1] - starts[:, 0]).tolist():
+        mine = starts[starts[:, 1] - starts[:, 0] == shift]
         if all(any(p[0] <= m[0] < p[1] and p[2] <= m[1] < p[3] for p in out) for m in mine):
-            continue  # places within passages that are known
-        a, b = shared_places(x, y, shift)
-        if not len(a):
+            continue  # within passages that are known
+        i, j = shared_places(x, y, shift)
+        if len(i) < least * percent // 100:
             continue
-        edges = np.flatnonzero(np.diff(a) > GAP)
-        run_begin, run_end = np.r_[0, edges + 1], np.r_[edges, len(a) - 1]
-        for run in np.unique(np.searchsorted(a[run_begin], mine[:, 0], side="right") - 1):
-            if run < 0:
-                continue
-            rows = slice(run_begin[run], run_end[run] + 1)
-            span = (int(a[rows][0]), int(a[rows][-1]) + 1)
-            if span in done:
-                continue
-            done.add(span)
-            other = (int(b[rows].min()), int(b[rows].max()) + 1)
-            if min(span[1] - span[0], other[1] - other[0]) < least:
-                continue
-            p, q = set(x[slice(*span)].tolist()), set(y[slice(*other)].tolist())
-            both = len(p & q)
-            if 100 * both >= percent * (len(p) + len(q) - both):
-                out.append((*span, *other))
+        nearest = np.lexsort((np.abs(j - i - shift), i))
+        i, j = i[nearest], j[nearest]
+        once = np.r_[True, np.diff(i) > 0]
+        i, j = i[once], j[once]
+        step, step_b = np.diff(i), np.diff(j)
+        edges = np.flatnonzero((step != 1) | (step_b != 1))
+        first, last = np.r_[0, edges + 1], np.r_[edges, len(i) - 1]
+        gains = (last - first + 1) * (100 - percent)
+        costs = percent * (step[edges] - 1 + np.where(step_b[edges] > 0, step_b[edges] - 1, least))
+        scores = np.zeros(2 * len(first) - 1, dtype=np.int64)
+        scores[::2], scores[1::2] = gains, -costs
+        for u, v in best_stretches(scores.tolist()):
+            runs = range(u // 2, v // 2 + 1)
+            whole = (int(i[first[u // 2]]), int(i[last[v // 2]]) + 1, int(j[first[u // 2]]), int(j[last[v // 2]]) + 1)
+            some = [whole] if len(runs) == 1 or alike(x[whole[0] : whole[1]], y[whole[2] : whole[3]], percent) else [(int(i[first[r]]), int(i[last[r]]) + 1, int(j[first[r]]), int(j[last[r]]) + 1) for r in runs]
+            out += [p for p in some if min(p[1] - p[0], p[3] - p[2]) >= least and p not in out]
     return out
 
 
@@ -247,7 +271,7 @@ def supported(pairs: DataFrame, least: int, enough: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(starts, pa.binary())], names=["a", "b", "starts"])
 
     by_several = F.size(F.array_distinct(F.transform("w", lambda w: w["k"]))) >= enough
-    return pairs.where(by_several).mapInArrow(test, "a long, b long, starts binary")
+    return pairs.where(by_several).mapInArrow(tidy(test), "a long, b long, starts binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
@@ -278,7 +302,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: int,
             kinds = [pa.int64(), pa.int32(), pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "begin", "end", "b", "begin_b", "end_b"])
 
-    sequences = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, sequence binary").dropDuplicates(["node"]), ROWS)
+    sequences = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(tidy(whole), "node long, sequence binary").dropDuplicates(["node"]), ROWS)
     left = pairs.join(sequences.select(F.col("node").alias("a"), F.col("sequence").alias("x")), "a")
     both = left.join(sequences.select(F.col("node").alias("b"), F.col("sequence").alias("y")), "b").select("a", "b", "starts", "x", "y")
-    return both.mapInArrow(compare, "a long, begin int, end int, b long, begin_b int, end_b int")
+    return both.mapInArrow(tidy(compare), "a long, begin int, end int, b long, begin_b int, end_b int")

@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .worker import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 NEAR = 2
@@ -398,7 +400,7 @@ def personal_data(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
-    return docs.select("doc_id", "text").mapInArrow(find, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(find), schema)
 
 
 def redacted(text: str, spans: list[Span]) -> str:

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .columns import cut
 from .components import components
 from .shingles import WORDS, shingle_hashes, text_buffers
+from .worker import tidy
 
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 80
@@ -95,7 +96,7 @@ def described(docs: DataFrame, words: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counters.tobytes()], pa.binary())], names=names)
 
     names = ["doc_id", "n", "node", "hist", "counters"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(describe, "doc_id long, n long, node long, hist binary, counters binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(describe), "doc_id long, n long, node long, hist binary, counters binary")
 
 
 def summed(counters: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def summed(counters: DataFrame) -> DataFrame:
                 total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counters"])
 
-    return counters.mapInArrow(add, "counters binary").coalesce(1).mapInArrow(add, "counters binary")
+    return cut(counters.mapInArrow(tidy(add), "counters binary"), COUNTERS).coalesce(1).mapInArrow(tidy(add), "counters binary")
 
 
 def prefixes(docs: DataFrame, counters, words: int, percent: int) -> DataFrame:
@@ -134,7 +135,7 @@ def prefixes(docs: DataFrame, counters, words: int, percent: int) -> DataFrame:
             if shingle:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (shingle, node, size)], names=["shingle", "node", "n"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(first, "shingle long, node long, n long")
+    return docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(tidy(first), "shingle long, node long, n long")
 
 
 def may_link(c: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -167,9 +168,9 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, words: int
             total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], dtype=np.int64)
             yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * both >= percent * total))
 
-    sets = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(whole, "node long, set binary"), ROWS)
+    sets = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(tidy(whole), "node long, set binary"), ROWS)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    return left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long")
+    return left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), "a long, b long")
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -266,7 +267,7 @@ def survivors(rows: DataFrame, classes: DataFrame, percent: int, forest: bool) -
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return ordered.mapInArrow(multiply, "a long, b long").distinct()
+    return ordered.mapInArrow(tidy(multiply), "a long, b long").distinct()
 
 
 def units(batches):

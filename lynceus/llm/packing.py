@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_count import byte_symbols, text_slices, vocabulary_path
+from .worker import tidy
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024
-CACHE = 400_000
+CACHE = 250_000
 #: Longer chunks and words, in characters, are not remembered.
 LONG = 64
 SEQUENCES_A_GROUP = 1 << 32
@@ -213,7 +214,7 @@ def with_ids(docs: DataFrame, vocabulary: str, path: str | None, groups: int) ->
 
     group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("grp", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select("doc_id", "text", group.alias("grp")).mapInArrow(encode, schema)
+    return docs.select("doc_id", "text", group.alias("grp")).mapInArrow(tidy(encode), schema)
 
 
 def packed(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:

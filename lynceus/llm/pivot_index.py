@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .columns import cut
 from .components import components
+from .worker import tidy
 
 COSINE = 0.9
 #: Candidates for pivots are the distinct vectors of the smallest hashes: the only sample there is.
@@ -97,7 +98,7 @@ def listed(found: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
                     names=["list", "node", "members", "keys", "v"],
                 )
 
-    return found.select("node", "members", "v").mapInArrow(describe, "list int, node long, members long, keys binary, v binary")
+    return found.select("node", "members", "v").mapInArrow(tidy(describe), "list int, node long, members long, keys binary, v binary")
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:

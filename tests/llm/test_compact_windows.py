@@ -17,6 +17,50 @@ def test_windows_cover_each_subsequence_once():
                 assert len(cover) == 1 and values[cover[0][1]] == values[i:j].min()
 
 
+def test_best_stretches_match_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        scores = [rng.choice([-5, -3, -1, 1, 2, 4]) for _ in range(rng.randint(1, 12))]
+        got = C.best_stretches(scores)
+
+        def split(low, high):  # by definition: the best stretch, then what lies on either side of it
+            best = max(((sum(scores[a:b]), -(b - a), -a) for a in range(low, high) for b in range(a + 1, high + 1)), default=(0, 0, 0))
+            if best[0] <= 0:
+                return []
+            a = -best[2]
+            b = a - best[1]
+            return [*split(low, a), (a, b - 1), *split(b, high)]
+
+        assert sum(sum(scores[a : b + 1]) for a, b in got) == sum(sum(scores[a : b + 1]) for a, b in split(0, len(scores)))
+        assert all(any(a <= k <= b for a, b in got) for k, s in enumerate(scores) if s > 0)
+
+
+def test_finds_every_exact_repeat_within_edited_copies(spark):
+    """Texts edited all over are unlike as a whole, but share passages word for word."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 6)))
+    rows, texts = [], []
+    for g in range(12):
+        base = [word() for _ in range(500)]
+        for _ in range(4):
+            copy = []
+            for k, w in enumerate(base):
+                copy.append(word() if k % rng.choice([9, 30, 130]) == 7 else w)
+                if rng.random() < 0.01:
+                    copy.append(word())
+            texts.append(copy)
+            rows.append((len(rows), " ".join(copy)))
+    seen, repeats = {}, set()
+    for d, w in enumerate(texts):
+        for i in range(len(w) - 49):
+            o = seen.setdefault(tuple(w[i : i + 50]), d)
+            if o != d:
+                repeats |= {o, d}
+    assert len(repeats) >= 10
+    got = {r.doc_id for r in C.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert repeats <= got
+
+
 def corpus(seed):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 6)))

@@ -163,25 +163,19 @@ def shared_places(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[np.ndarray,
     return i[order], j[order]
 
 
-def best_stretches(scores: list[int]) -> list[tuple[int, int]]:
-    """All maximal scoring stretches (first, last) of a sequence of scores: disjoint, and together they hold every positive score."""
-    found: list[list[int]] = []  # first, last, total before the stretch, total at its end
-    total = 0
-    for k, score in enumerate(scores):
-        before, total = total, total + score
-        if score <= 0:
-            continue
-        new = [k, k, before, total]
-        while True:
-            at = len(found) - 1
-            while at >= 0 and found[at][2] >= new[2]:
-                at -= 1
-            if at < 0 or found[at][3] >= new[3]:
-                break
-            new = [found[at][0], k, found[at][2], total]
-            del found[at:]
-        found.append(new)
-    return [(f[0], f[1]) for f in found]
+def longest_stretches(scores: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of the stretches of runs (even places; between them what they cost) whose sum is not negative, without those within others.
+
+    The furthest end for a begin is the last place where the running total is no lower than before the begin.
+    """
+    total = np.r_[0, np.cumsum(scores)]
+    later = np.maximum.accumulate(total[::-1])[::-1]  # the largest total from each place on: never rises
+    out: list[tuple[int, int]] = []
+    for u in range(0, len(scores), 2):
+        v = int(np.searchsorted(-later, -total[u], side="right")) - 2
+        if not out or v > out[-1][1]:
+            out.append((u, v))
+    return out
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -194,8 +188,8 @@ def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, perce
     """(begin, end, begin_b, end_b) of near-duplicate passages of two shingle sequences, on the shifts of places that they share.
 
     Runs of shared shingles score for their length, what lies between them costs, so that a stretch of runs has no
-    negative score where it is similar enough. The maximal stretches hold every run; each that is long enough
-    is compared as sets, and where repeats make the sets less alike than the runs, its long runs are passages on their own.
+    negative score where it is similar enough. Every run lies in one of the longest such stretches; each that is long
+    enough is compared as sets, and where repeats make the sets less alike than the runs, its long runs are passages on their own.
     """
     out: list[tuple[int, int, int, int]] = []
     for shift in np.unique(starts[:, 1] - starts[:, 0]).tolist():
@@ -216,7 +210,7 @@ def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, perce
         costs = percent * (step[edges] - 1 + np.where(step_b[edges] > 0, step_b[edges] - 1, least))
         scores = np.zeros(2 * len(first) - 1, dtype=np.int64)
         scores[::2], scores[1::2] = gains, -costs
-        for u, v in best_stretches(scores.tolist()):
+        for u, v in longest_stretches(scores):
             runs = range(u // 2, v // 2 + 1)
             whole = (int(i[first[u // 2]]), int(i[last[v // 2]]) + 1, int(j[first[u // 2]]), int(j[last[v // 2]]) + 1)
             some = [whole] if len(runs) == 1 or alike(x[whole[0] : whole[1]], y[whole[2] : whole[3]], percent) else [(int(i[first[r]]), int(i[last[r]]) + 1, int(j[first[r]]), int(j[last[r]]) + 1) for r in runs]

@@ -17,22 +17,14 @@ def test_windows_cover_each_subsequence_once():
                 assert len(cover) == 1 and values[cover[0][1]] == values[i:j].min()
 
 
-def test_best_stretches_match_brute_force():
+def test_longest_stretches_match_brute_force():
     rng = random.Random(2)
-    for _ in range(200):
-        scores = [rng.choice([-5, -3, -1, 1, 2, 4]) for _ in range(rng.randint(1, 12))]
-        got = C.best_stretches(scores)
-
-        def split(low, high):  # by definition: the best stretch, then what lies on either side of it
-            best = max(((sum(scores[a:b]), -(b - a), -a) for a in range(low, high) for b in range(a + 1, high + 1)), default=(0, 0, 0))
-            if best[0] <= 0:
-                return []
-            a = -best[2]
-            b = a - best[1]
-            return [*split(low, a), (a, b - 1), *split(b, high)]
-
-        assert sum(sum(scores[a : b + 1]) for a, b in got) == sum(sum(scores[a : b + 1]) for a, b in split(0, len(scores)))
-        assert all(any(a <= k <= b for a, b in got) for k, s in enumerate(scores) if s > 0)
+    for _ in range(300):
+        n = rng.randint(1, 7)
+        scores = np.array([rng.choice([1, 2, 4]) if k % 2 == 0 else -rng.choice([1, 3, 5]) for k in range(2 * n - 1)])
+        fine = [(a, b) for a in range(0, 2 * n - 1, 2) for b in range(a, 2 * n - 1, 2) if scores[a : b + 1].sum() >= 0]
+        want = [s for s in fine if not any(t != s and t[0] <= s[0] and s[1] <= t[1] for t in fine)]
+        assert C.longest_stretches(scores) == want
 
 
 def test_finds_every_exact_repeat_within_edited_copies(spark):

@@ -72,12 +72,13 @@ def weights(by_source: DataFrame, power: float, budget: int | None) -> DataFrame
 
     Without a budget, the least repeated source is taken once and the others follow.
     """
-    one = by_source.agg(F.sum(F.pow(F.col("tokens").cast("double"), F.lit(power))).alias("s"), F.max(F.pow(F.col("tokens").cast("double"), F.lit(1 - power))).alias("m"))
-    raised = F.pow(F.col("tokens").cast("double"), F.lit(power))
-    quota = F.col("weight") * F.lit(float(budget)) if budget is not None else raised * F.col("m")
-    out = by_source.crossJoin(F.broadcast(one)).withColumn("weight", raised / F.col("s")).withColumn("quota", F.round(quota).cast("long"))
+    tokens = F.col("tokens").cast("double")
+    raised = F.pow(tokens, F.lit(power))
+    total, most = by_source.agg(F.sum(raised), F.max(F.pow(tokens, F.lit(1 - power)))).first()
+    quota = F.col("weight") * F.lit(float(budget)) if budget is not None else raised * F.lit(most or 0.0)
+    out = by_source.withColumn("weight", raised / F.lit(total or 1.0)).withColumn("quota", F.round(quota).cast("long"))
     out = out.withColumn("full", F.floor(F.col("quota") / F.col("tokens")).cast("int"))
-    return out.withColumn("rest", F.col("quota") - F.col("full") * F.col("tokens")).drop("s", "m")
+    return out.withColumn("rest", F.col("quota") - F.col("full") * F.col("tokens"))
 
 
 def chance(*columns: Column | str) -> Column:

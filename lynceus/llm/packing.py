@@ -34,7 +34,7 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024
-CACHE = 250_000
+CACHE = 180_000
 #: Longer chunks and words, in characters, are not remembered.
 LONG = 64
 SEQUENCES_A_GROUP = 1 << 32

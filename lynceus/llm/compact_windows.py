@@ -7,10 +7,17 @@ enough for a passage are kept, about two for each passage length of text. Trees
 level with numpy.
 
 Texts whose windows share a minimum under enough of the hashes, in places that overlap on both sides, are
-candidates. Within a group of equal minima every text meets the first and the one before it in the
-group's order, never all others. Candidates are verified on the texts' shingles: a passage is
+candidates. Candidates are verified on the texts' shingles: a passage is
 a stretch of shared shingles, as long as a passage must be, whose two sides have the similarity as sets. Equal texts are one class before any of that.
 
+A group of m texts would give m * m / 2 pairs. Instead
+1. within a group of equal minima every text meets the first and the one before it in the group's order;
+   verified passages are contracted to components of stretches of text;
+2. groups are made of two minima of different hashes whose windows overlap, which every supported pair has in
+   common. Where their places are not all in one component, all pairs of different components are verified; in
+   groups of over `HOT` rows each row meets two neighbours first, and all that are still apart after that.
+So two texts of a supported pair are verified, or both have a row for the place and one component.
+
 Defined results: null, empty and short texts have no passage. Rows with null doc_id are left out. Repeated
 rows of one doc_id are one document. Texts without a repeated passage have no row. Columns other than
 doc_id and text are ignored. Tokens are compared by 64-bit hashes of their words, A-Z as a-z.
@@ -21,7 +28,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import cut
@@ -39,6 +46,9 @@ DRIFT = 16
 ROWS = 2000
 #: doc_ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of a group up to which all its pairs are met at once; of larger groups neighbours are met before.
+HOT = 64
+FIELDS = ("k", "low", "at", "high")
 SALTS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -118,19 +128,111 @@ def windows(docs: DataFrame, least: int, n_hashes: int) -> tuple[DataFrame, Data
     return rows.mapInArrow(tidy(members), "doc_id long, node long, n long").distinct(), rows.select("text").mapInArrow(tidy(cover), "key long, k int, node long, low int, at int, high int")
 
 
-def met(found: DataFrame) -> DataFrame:
-    """a, b and the windows that they share: each text with the first and the one before in each group of equal minima."""
+def grouped(found: DataFrame) -> DataFrame:
+    """The windows whose minimum several texts have, each with the first and the one before in its group's order."""
     group = Window.partitionBy("key")
-    shared = found.repartition(F.col("key")).distinct().withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo <> hi")
+    shared = found.repartition(F.col("key")).distinct().withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo <> hi").drop("lo", "hi")
     here = F.struct("node", "low", "at", "high")
     in_order = Window.partitionBy("key").orderBy("node", "low")
-    shared = cut(shared.withColumns({"before": F.lag(here).over(in_order), "first": F.first(here).over(in_order)}), ROWS)
+    return cut(shared.withColumns({"before": F.lag(here).over(in_order), "first": F.first(here).over(in_order)}), ROWS)
+
+
+def met(shared: DataFrame) -> DataFrame:
+    """a, b and the windows that they share: each text with the first and the one before in each group of equal minima."""
     pair = lambda other: shared.where(F.col(other).isNotNull() & (F.col(f"{other}.node") != F.col("node"))).select(
         F.col("node").alias("a"), F.col(f"{other}.node").alias("b"), F.struct("k", "low", "at", "high", F.col(f"{other}.low").alias("low_b"), F.col(f"{other}.at").alias("at_b"), F.col(f"{other}.high").alias("high_b")).alias("w")
     )
     return pair("before").unionByName(pair("first")).groupBy("a", "b").agg(F.collect_set("w").alias("w"))
 
 
+def places(links: DataFrame) -> DataFrame:
+    """node, begin, end, component: stretches of known passages, with the component that the links of those stretches make."""
+    ends = links.select(F.col("a").alias("node"), "begin", "end").union(links.select("b", "begin_b", "end_b"))
+    spans = cut(merged(ends.distinct()).withColumn("span", F.xxhash64("node", "begin")))
+    side = lambda rows, node, begin, name: rows.join(spans.select(F.col("node").alias(node), F.col("begin").alias("from"), F.col("end").alias("to"), F.col("span").alias(name)), node).where((F.col("from") <= F.col(begin)) & (F.col(begin) < F.col("to"))).drop("from", "to")
+    edges = side(side(links.select("a", "begin", "b", "begin_b").distinct(), "a", "begin", "u"), "b", "begin_b", "v")
+    component = cut(components(edges.select("u", "v"), "u", "v"))
+    return cut(spans.join(component.withColumnRenamed("node", "span"), "span").select("node", F.col("begin").alias("from"), F.col("end").alias("to"), "component"))
+
+
+def labelled(rows: DataFrame, known: DataFrame, ats: tuple[str, ...]) -> DataFrame:
+    """rows with label: the component of the known stretch that holds all of ats, else the node."""
+    at = [F.col(x) for x in ats]
+    within = (F.col("from") <= F.least(*at, at[0])) & (F.greatest(*at, at[0]) < F.col("to"))
+    return rows.join(known.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & within, "left").withColumn("label", F.coalesce("component", "node")).drop("of", "from", "to", "component")
+
+
+def twofold(shared: DataFrame, known: DataFrame, least: int, enough: int) -> DataFrame:
+    """key, node and two windows (k, low, at, high and k2, ...) of different hashes that overlap in the node, for each two minima: what any supported pair has in common.
+
+    Left out are those where both minima's groups are within one component.
+    """
+    group = Window.partitionBy("key")
+    rows = labelled(shared.select("key", "k", "node", "low", "at", "high"), known, ("at",))
+    rows = rows.withColumn("open", F.min("label").over(group) != F.max("label").over(group)).drop("label")
+    if enough <= 1:
+        return rows.where("open").select("key", "node", *FIELDS, *(F.col(f).alias(f"{f}2") for f in FIELDS))
+    texts = cut(rows.groupBy("node").agg(F.collect_list(F.struct("key", "open", *FIELDS)).alias("w")).where(F.exists("w", lambda w: w["open"])), ROWS)
+
+    def combine(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, w in zip(batch.column("node").to_pylist(), batch.column("w"), strict=True):
+                key, is_open, k, low, at, high = (w.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "open", *FIELDS))
+                for m in range(0, len(key), 256):
+                    x = slice(m, m + 256)
+                    both = np.minimum(high[x][:, None], high[None, :]) - np.maximum(low[x][:, None], low[None, :]) >= least
+                    i, j = np.nonzero(both & (k[x][:, None] < k[None, :]) & (is_open[x][:, None] | is_open[None, :]))
+                    i += m
+                    if len(i):
+                        two = mix(key[i].view(np.uint64) ^ mix(key[j].view(np.uint64) + SALTS[0])).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (two, np.full(len(i), node, np.int64), *(c[i] for c in (k, low, at, high)), *(c[j] for c in (k, low, at, high)))], names=["key", "node", *FIELDS, *(f"{f}2" for f in FIELDS)])
+
+    kinds = ", ".join(f"{f} int" for f in (*FIELDS, *(f"{f}2" for f in FIELDS)))
+    return texts.mapInArrow(tidy(combine), f"key long, node long, {kinds}")
+
+
+def open_groups(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of twofold whose group has several labels, with label and size, the group's rows."""
+    group = Window.partitionBy("key")
+    met_again = labelled(rows, known, ("at", "at2")).withColumns({"lo": F.min("label").over(group), "hi": F.max("label").over(group), "size": F.count("*").over(group)})
+    return cut(met_again.where("lo <> hi").drop("lo", "hi"), ROWS)
+
+
+def row() -> Column:
+    return F.struct("node", *FIELDS, *(f"{f}2" for f in FIELDS))
+
+
+def paired(one: str, other: str) -> list[Column]:
+    """a, b, w of two rows of twofold, given as structs that begin with node."""
+    x, y = F.greatest(one, other), F.least(one, other)
+    w = lambda n: F.struct(x[f"k{n}"].alias("k"), *(x[f"{f}{n}"].alias(f) for f in FIELDS[1:]), *(y[f"{f}{n}"].alias(f"{f}_b") for f in FIELDS[1:]))
+    return [x["node"].alias("a"), y["node"].alias("b"), F.array(w(""), w("2")).alias("w")]
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """a, b, w: each row with the first and the one before of its group, in an order of the group's own."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node", "low", "low2")
+    seen = rows.select("key", "node", "low", "low2", "label", row().alias("here")).withColumns({"before": F.lag(F.struct("here", "label")).over(order), "first": F.first(F.struct("here", "label")).over(order)})
+    one = lambda other: seen.where(F.col(f"{other}.label") != F.col("label")).select("here", F.col(f"{other}.here").alias("there"))
+    return one("before").unionByName(one("first")).select(*paired("here", "there"))
+
+
+def all_met(rows: DataFrame) -> DataFrame:
+    """a, b, w: every two rows of a group and of different labels. Large groups are spread over tasks."""
+    most = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("most"))
+    parts = F.ceil(F.col("size") / F.lit(HOT)).cast("int")
+    outside = rows.join(most, "key").where("label <> most").select("key", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int").alias("part"), row().alias("here"), F.col("label").alias("la"), "most")
+    others = rows.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), row().alias("there"), F.col("label").alias("lb"))
+    once = (F.col("lb") == F.col("most")) | (F.col("here.node") < F.col("there.node"))  # of two rows outside, one of both orders
+    return outside.join(others, ["key", "part"]).where((F.col("la") != F.col("lb")) & (F.col("here.node") != F.col("there.node")) & once).select(*paired("here", "there"))
+
+
+def by_pair(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b", F.explode("w").alias("w")).groupBy("a", "b").agg(F.collect_set("w").alias("w"))
+
+
 def anchors(w: np.ndarray, least: int, enough: int) -> np.ndarray:
     """The windows (rows k, low, at, high, low_b, at_b, high_b) that `enough` hashes support in places that overlap on both sides."""
     w = w[np.argsort(w[:, 1], kind="stable")]
@@ -228,8 +330,7 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = SIMI
     told, found = windows(docs, least, n_hashes)
     told = cut(told, ROWS)
     classes = told.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    pairs = cut(supported(met(found), least, enough), ROWS)
-    links = cut(verified(pairs, docs, classes, least, percent), ROWS)
+    links = all_links(grouped(found), docs, classes, least, percent, enough)
     spans = links.select(F.col("a").alias("node"), "begin", "end").union(links.select("b", "begin_b", "end_b"))
     spans = spans.union(classes.where("copies > 1").select("node", F.lit(0), F.col("n").cast("int")))
     spans = merged(spans.distinct())
@@ -240,6 +341,20 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = SIMI
     return told.join(by_node, "node").select("doc_id", F.col("begin").cast("long").alias("start"), (F.col("end") + F.lit(WORDS - 1)).cast("long").alias("end"), "component_id")
 
 
+def all_links(shared: DataFrame, docs: DataFrame, classes: DataFrame, least: int, percent: int, enough: int) -> DataFrame:
+    """The verified passages: of neighbours first, then of all supported pairs whose places are not in one component by then."""
+    check = lambda pairs: cut(verified(cut(supported(pairs, least, enough), ROWS), docs, classes, least, percent), ROWS)
+    links = check(met(shared))
+    known = places(links)
+    rows = open_groups(twofold(shared, known, least, enough), known)
+    small, large = rows.where(F.col("size") <= HOT), rows.where(F.col("size") > HOT)
+    links = links.unionByName(check(by_pair(all_met(small).unionByName(neighbours(large)))))
+    if not large.isEmpty():
+        left = open_groups(large.drop("label", "size"), places(links))
+        links = links.unionByName(check(by_pair(all_met(left))))
+    return links
+
+
 def merged(spans: DataFrame) -> DataFrame:
     """Spans of a node with those that overlap made one."""
     order = Window.partitionBy("node").orderBy("begin", "end")

@@ -103,3 +103,22 @@ def test_empty_and_long(spark):
     assert C.repeated_passages(none).count() == 0
     same = spark.createDataFrame([(1, "w " * 30_000), (2, "w " * 20_000), (3, "v " * 10)], "doc_id long, text string")
     assert {r.doc_id for r in C.repeated_passages(same).collect()} <= {1, 2}
+
+
+def test_links_near_copies_in_large_groups(spark):
+    """Variants of one passage that are unlike each other, each with one near copy."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(0, 200, 2):
+        one = base[:]
+        for k in rng.sample(range(60), 4):
+            one[k] = word()
+        two = one[:]
+        two[rng.choice([0, 1, 58, 59])] = word()
+        rows += [(i, " ".join(one)), (i + 1, " ".join(two))]
+    got = C.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    component = {r.doc_id: r.component_id for r in got}
+    fine = [i for i in range(0, 200, 2) if i in component and component[i] == component.get(i + 1)]
+    assert len(fine) >= 95, len(fine)

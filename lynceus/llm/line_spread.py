@@ -6,7 +6,8 @@ are boilerplate, those well below are not, and the few near it get an exact dist
 hold boilerplate lines then lose them.
 
 A text that would lose more than `MOST` percent of the characters of its lines is a copy of a
-document rather than a page with boilerplate, and stays whole: that is document deduplication's work.
+document rather than a page with boilerplate, and stays whole: that is document deduplication's work. With
+`proven`, it only stays whole where the same sequence of lines lies on another site too; all others lose their boilerplate, whatever its share.
 
 Native operations only. Lines are \\n-split, trimmed of ASCII white space, and compared by a 64-bit
 hash; lines without a word are not counted and not removed.
@@ -59,7 +60,7 @@ def boilerplate(found: DataFrame, sites: int = SITES) -> DataFrame:
     return cut(spread.where(sure).select("key").unionByName(exact.select("key")))
 
 
-def removed(docs: DataFrame, sites: int = SITES, most: int = MOST, site: str = "source", text: str = "text", broadcast_texts: int = BROADCAST_TEXTS) -> DataFrame:
+def removed(docs: DataFrame, sites: int = SITES, most: int = MOST, site: str = "source", text: str = "text", broadcast_texts: int = BROADCAST_TEXTS, proven: bool = False) -> DataFrame:
     """A row for each of docs: row (a struct of its columns), and clean (the text without boilerplate), n_lines, n_removed, n_chars_removed."""
     found = occurrences(docs, site, text)
     hits = cut(found.join(boilerplate(found, sites), "key", "left_semi").groupBy("whole").agg(F.collect_set("key").alias("keys")))
@@ -73,13 +74,21 @@ def removed(docs: DataFrame, sites: int = SITES, most: int = MOST, site: str = "
     count = lambda n, c: (n.cast("long").alias("n_removed"), c.cast("long").alias("n_chars_removed"))
     whole = F.struct(F.col("text").alias("clean"), n_lines, *count(F.lit(0), F.lit(0)))
     less = F.struct(F.array_join(kept, "\n").alias("clean"), n_lines, *count(F.size(gone), chars(gone)))
-    result = F.when(F.col("keys").isNotNull() & (100 * chars(gone) <= most * chars(worded(lines))), less).otherwise(whole)
+    loses = F.col("keys").isNotNull() & (100 * chars(gone) <= most * chars(worded(lines)))
+    if proven:
+        over = F.col("keys").isNotNull() & (100 * chars(gone) > most * chars(worded(lines)))
+        rows = rows.withColumn("sequence", F.when(over, F.xxhash64(F.transform(worded(lines), key))))
+        sites_of = rows.where(over).select("sequence", F.coalesce(F.col("row")[site].cast("string"), F.lit("")).alias("site"))
+        copies = cut(sites_of.groupBy("sequence").agg(F.min("site").alias("lo"), F.max("site").alias("hi")).where("lo <> hi").select("sequence", F.lit(True).alias("copied")))
+        rows = rows.join(F.broadcast(copies) if copies.count() <= broadcast_texts else copies, "sequence", "left")
+        loses = F.col("keys").isNotNull() & F.col("copied").isNull()
+    result = F.when(loses, less).otherwise(whole)
     return rows.select("row", result.alias("r")).select("row", "r.*")
 
 
-def report(docs: DataFrame, sites: int = SITES) -> DataFrame:
+def report(docs: DataFrame, sites: int = SITES, proven: bool = False) -> DataFrame:
     """The result of op2: what each row keeps."""
-    out = removed(docs.select("doc_id", "text", "source"), sites)
+    out = removed(docs.select("doc_id", "text", "source"), sites, proven=proven)
     return out.select("row.doc_id", "n_lines", "n_removed", "n_chars_removed", F.md5(F.col("clean").cast("binary")).alias("clean_md5"))
 
 

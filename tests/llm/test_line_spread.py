@@ -54,3 +54,12 @@ def test_matches_brute_force_near_and_far_from_the_threshold(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert L.report(none).count() == 0
+
+
+def test_short_pages_of_boilerplate_are_cleaned_and_copies_stay(spark):
+    rows = [(i, f"Home About Contact\nAll rights reserved\nown {i}", f"s{i % 12}") for i in range(24)]
+    rows += [(100 + i, f"a copied page {i // 12}\nwith two lines of its own", f"s{i % 12}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for limit in (0, 1000):
+        got = {r.doc_id: r.clean for r in L.removed(docs, broadcast_texts=limit, proven=True).select("row.doc_id", "clean").collect()}
+        assert got == {d: f"own {d}" if d < 100 else t for d, t, _ in rows}

@@ -220,6 +220,13 @@ def obfusc_entropy(spark, sf_dir):
     return w.where((F.col("t") != "") & (F.octet_length("t") == F.char_length("t")) & (F.octet_length("t") <= 60)).groupBy("doc_id").agg(F.max(F.round(X.entropy(F.col("t")), 6)).alias("entropy"))
 
 
+@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) SELECT doc_id, max(round(list_entropy(regexp_extract_all(hex(encode(t)), '..')), 6)) AS entropy FROM w WHERE t <> '' GROUP BY doc_id")
+def obfusc_entropy_all(spark, sf_dir):
+    """Every word, by its bytes; obfusc_entropy keeps to the short ASCII words of its SQL."""
+    w = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.split("text", " ")).alias("t"))
+    return w.where("t <> ''").groupBy("doc_id").agg(F.max(F.round(X.entropy(F.col("t")), 6)).alias("entropy"))
+
+
 _LOOK = "[" + "".join(map(chr, R.HOMOGLYPHS)) + "]"
 
 

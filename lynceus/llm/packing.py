@@ -1,18 +1,22 @@
 """Packing documents into sequences of fixed length.
 
-Documents are dealt into randomised groups of bounded size; each group is packed on its own.
-Within a group every document gives its full sequences first. The rests go through first-fit
-decreasing, which finds the leftmost bin with room by walking down a tournament tree of bin
+A document gives its full sequences first, so that of no document more than one rest, shorter than a
+sequence, is left to be packed. Rests are dealt into randomised groups of bounded size; each group is
+packed on its own by first-fit decreasing, which finds the leftmost bin with room by walking down a tournament tree of bin
 capacities. The emptiest bins are then cut to fill what the others have left, so all sequences
 of a group but the last are full; the last is cut at powers of two, which need no padding.
 
 Token ids come from the tokenizer library. A worker remembers the ids of at most `CACHE`
 white-space separated chunks and words; a text with characters for which chunks might not be independent of
-what stands beside them goes to the library whole.
+what stands beside them goes to the library. Long texts go through in segments, cut between two ASCII letters
+or digits with a white space between them, across which the tokenizer never looks.
+
+Pieces with the ids of the rests are written to the shared folder first, so a lost executor costs no text's
+tokens again, and the groups can be dealt by place in that table: equal rows are spread like any others.
 
 Defined results: a null or empty text is the end id alone, so one piece of length 1; repeated rows
 are packed as often as they come; null doc_ids are packed too; an empty table gives no piece.
-Rows that are equal in all of doc_id and text share a group, others are spread.
+Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import functools
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_count import byte_symbols, text_slices, vocabulary_path
+from .columns import cut
 from .worker import tidy
 
 VOCABULARY = "word_bpe_49k.json"
@@ -37,10 +43,18 @@ GROUP_DOCS = 1024
 CACHE = 180_000
 #: Longer chunks and words, in characters, are not remembered.
 LONG = 64
+#: Full sequences, which need only a number, that a group has besides its rests.
+GROUP_FULL = 16_384
 SEQUENCES_A_GROUP = 1 << 32
-#: Only these characters: lower-casing, composing and splitting then never look past white space.
+#: Documents that a worker holds at a time while it looks up ids.
+ROWS = 1000
+#: Characters of a text that are looked up at a time, up to the next place where it can be cut.
+SEGMENT = 1 << 16
+SEAM = re.compile(r"[0-9A-Za-z][ \t\n]+[0-9A-Za-z]")
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed: the vocabulary's own way of splitting
-PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-ɏ]*")
+#: Only these characters: lower-casing, composing and splitting then never look past white space.
+#: U+0130 alone of them becomes two characters in lower case, of which one is no letter.
+PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-ɏ]*")
 
 
 class Tokens:
@@ -55,8 +69,16 @@ class Tokens:
         self.model = self.library.model
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bytes_as_signs = dict(enumerate(byte_symbols()))
+        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.forget()
 
+    def narrow(self, ids: bytes) -> bytes:
+        """Ids in as few bytes as the vocabulary needs; `wide` undoes it."""
+        return np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
+
+    def wide(self, ids) -> bytes:
+        return np.frombuffer(ids, self.kind).astype("<u4").tobytes()
+
     def forget(self) -> None:
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -77,6 +99,11 @@ class Tokens:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if len(text) <= SEGMENT:
+            return self.segment(text)
+        return b"".join(map(self.segment, segments(text)))
+
+    def segment(self, text: str) -> bytes:
         if not self.simple(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         chunks = text.split()
@@ -102,6 +129,15 @@ class Tokens:
         return ids
 
 
+def segments(text: str) -> Iterator[str]:
+    """The text in parts whose ids don't depend on each other."""
+    start = 0
+    while seam := SEAM.search(text, start + SEGMENT):
+        yield text[start : seam.start() + 1]
+        start = seam.start() + 1
+    yield text[start:]
+
+
 @functools.cache
 def _finder():
     import regex
@@ -195,8 +231,11 @@ def at_powers_of_two(pieces: list[Piece]) -> list[list[Piece]]:
     return out
 
 
-def with_ids(docs: DataFrame, vocabulary: str, path: str | None, groups: int) -> DataFrame:
-    """doc_id, grp and ids: the document's ids and the end id, as little-endian 32-bit binary."""
+def encoded(docs: DataFrame, vocabulary: str, path: str | None, length: int, keep_ids: bool) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, ids: each document's full sequences and its rest.
+
+    Only the rests need their ids, which have two bytes where the vocabulary allows it; with keep_ids all have them.
+    """
 
     def encode(batches):
         import pyarrow as pa
@@ -204,39 +243,71 @@ def with_ids(docs: DataFrame, vocabulary: str, path: str | None, groups: int) ->
 
         own = tokens(path or vocabulary_path(vocabulary))
         own.forget()  # what an earlier task left, if it was stopped
+        narrow = own.narrow
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in text_slices(pc.binary_length(texts).to_pylist()):
-                part = texts.slice(a, b - a).to_pylist()
-                ids = [own.encode(t) + END_ID.to_bytes(4, "little") for t in part]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("grp").slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "grp", "ids"])
+                row, start, size, crc, total, kept = [], [], [], [], [], []
+                for k in range(a, b):
+                    ids = own.encode(texts[k].as_py()) + END_ID.to_bytes(4, "little")
+                    n = len(ids) // 4
+                    for s in range(0, n, length):
+                        piece = ids[4 * s : 4 * (s + length)]
+                        row.append(k)
+                        start.append(s)
+                        size.append(len(piece) // 4)
+                        crc.append(zlib.crc32(piece))
+                        total.append(n)
+                        kept.append(narrow(piece) if keep_ids or size[-1] < length else None)
+                numbers = (pa.array(x, pa.int64()) for x in (start, size, crc, total))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), *numbers, pa.array(kept, pa.binary())], names=schema.names)
         own.forget()  # workers live on for other tasks
 
-    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("grp", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select("doc_id", "text", group.alias("grp")).mapInArrow(tidy(encode), schema)
+    fields = ("start", "length", "ids_crc32", "doc_tokens")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(f, T.LongType()) for f in fields), T.StructField("ids", T.BinaryType())])
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), schema)
+
 
+def packed(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None, length: int = LENGTH, group_docs: int = GROUP_DOCS, keep_ids: bool = False) -> DataFrame:
+    """A row for each piece of a document: where it lies in its document and in its sequence.
 
-def packed(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """A row for each piece of a document: where it lies in its document and in its sequence."""
-    groups = max(1, -(-docs.count() // group_docs))
+    With keep_ids also ids, the piece's own, as little-endian unsigned 32-bit integers.
+    """
+    pieces = cut(encoded(docs, vocabulary, path, length, keep_ids), ROWS)
+    full = F.col("length") == length
+    n = pieces.agg(F.count_if(~full).alias("rests"), F.count_if(full).alias("full")).first()
+    groups = max(1, -(-n["rests"] // group_docs), -(-n["full"] // GROUP_FULL))
 
     def pack_group(got):
         import pyarrow as pa
 
-        ids = got.column("ids").combine_chunks() if got.num_rows else got.column("ids")
-        data = [x.as_buffer() for x in ids]
-        sizes = [len(x) // 4 for x in data]
+        wide = tokens(path or vocabulary_path(vocabulary)).wide
         base = got.column("grp")[0].as_py() * SEQUENCES_A_GROUP
-        rows = []
-        for k, sequence in enumerate(pack(sizes, length)):
+        start, size, crc, total = (got.column(c).to_numpy() for c in ("start", "length", "ids_crc32", "doc_tokens"))
+        ids = got.column("ids").combine_chunks()
+        rests, whole = np.flatnonzero(size < length), np.flatnonzero(size == length)
+        rows = [(k, start[k], length, crc[k], total[k], base + i, 0) for i, k in enumerate(whole.tolist())]
+        parts = [ids[k].as_py() for k in whole.tolist()] if keep_ids else None
+        for i, sequence in enumerate(pack(size[rests].tolist(), length), len(whole)):
             offset = 0
-            for d, start, n in sequence:
-                rows.append((d, start, n, zlib.crc32(memoryview(data[d])[4 * start : 4 * (start + n)]), sizes[d], base + k, offset))
+            for d, s, n in sequence:
+                k = int(rests[d])
+                if n < size[k] or keep_ids:
+                    own = wide(ids[k].as_buffer())[4 * s : 4 * (s + n)]
+                rows.append((k, start[k] + s, n, zlib.crc32(own) if n < size[k] else crc[k], total[k], base + i, offset))
+                if keep_ids:
+                    parts.append(own)
                 offset += n
         cols = list(zip(*rows, strict=True))
-        return pa.table([got.column("doc_id").take(pa.array(cols[0])), *(pa.array(c, pa.int64()) for c in cols[1:])], names=schema.names)
+        out = [got.column("doc_id").take(pa.array(cols[0])), *(pa.array(np.array(c, np.int64)) for c in cols[1:])]
+        if keep_ids:
+            out.append(pa.array([wide(p) if k < len(whole) else p for k, p in enumerate(parts)], pa.binary()))
+        return pa.table(out, names=schema.names)
 
     fields = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(f, T.LongType()) for f in fields)])
-    return with_ids(docs, vocabulary, path, groups).groupBy("grp").applyInArrow(pack_group, schema)
+    if keep_ids:
+        schema.add("ids", T.BinaryType())
+    # a written table has its rows in the same places whenever a task reads them, so the draw can be repeated
+    dealt = pieces.withColumn("grp", F.floor(F.rand(7) * groups))
+    return dealt.groupBy("grp").applyInArrow(pack_group, schema)

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lynceus.llm import packing as P
@@ -27,6 +28,7 @@ def same(texts):
 def test_ids_match_the_library():
     same(HARD)
     same(HARD * 2)
+    same(["İ", "x İ y"])
 
 
 @settings(max_examples=80, deadline=None)
@@ -91,3 +93,33 @@ def test_table(spark):
             at += r.length
         assert at == P.LENGTH or at & (at - 1) == 0 and at < P.LENGTH
     assert P.packed(docs.limit(0)).count() == 0
+
+
+def test_long_texts_go_through_in_segments(monkeypatch):
+    monkeypatch.setattr(P, "SEGMENT", 50)
+    rng = random.Random(5)
+    words = ["Alpha", "beta,", "naïve", "日本語", "<|endoftext|>", "İ", "don't", "42", "é", "x\x85y", "\n\n", "--", "ΣΑΣ"]
+    texts = [rng.choice([" ", "\n", "  "]).join(rng.choices(words, k=300)) for _ in range(20)]
+    same([*texts, "word" * 200, "日本語" * 200])
+    assert len(list(P.segments(texts[0]))) > 3 and "".join(P.segments(texts[0])) == texts[0]
+
+
+def test_equal_rows_are_spread_and_one_long_text_is_cut(spark):
+    rows = spark.range(40_000).select(F.lit(5).alias("doc_id"), F.lit("the same text").alias("text"))
+    got = P.packed(rows, group_docs=1024)
+    assert got.count() >= 40_000
+    groups = got.groupBy(F.floor(F.col("sequence_id") / P.SEQUENCES_A_GROUP).alias("g")).agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("tokens")).collect()
+    assert len(groups) == 40 and max(g.tokens for g in groups) < 3 * sum(g.tokens for g in groups) / 40
+    long_ = spark.createDataFrame([(1, "alpha beta " * 500_000)], "doc_id long, text string")
+    got = P.packed(long_).collect()
+    assert sum(r.length for r in got) == 1_000_001 and len({r.sequence_id for r in got if r.length == P.LENGTH}) == 1_000_001 // P.LENGTH
+
+
+def test_ids_of_pieces_make_up_the_documents(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["Alpha", "beta,", "gamma", "déjà"], k=n)) for n in (0, 3, 900, 5000, 2047, 12)]
+    got = P.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep_ids=True).collect()
+    for i, t in enumerate(texts):
+        pieces = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+        assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in pieces)
+        assert np.frombuffer(b"".join(r.ids for r in pieces), "<u4").tolist() == [*LIBRARY.encode(t, add_special_tokens=False).ids, P.END_ID]

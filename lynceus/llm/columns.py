@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -38,14 +41,21 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the session names, else (in tests) one beside the warehouse."""
+    """The folder that driver and executors share: the one the session names; on one machine, where none is named, one beside the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: While false, small results are written by few tasks; while true, by one for each core.
 PARALLEL_FIRST = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+#: Settings belong to the session, so only one `cut` at a time has them changed.
+_settings = threading.Lock()
+#: Seconds between two collections of the driver's garbage.
+SWEEP_S = 2.0
+_swept = [0.0]
 
 
 def cut(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
@@ -57,17 +67,26 @@ def cut(df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lynceus-{uuid.uuid4().hex}"
     settings = {PARALLEL_FIRST: "false"} | ({ARROW_ROWS: str(arrow_rows)} if arrow_rows else {})
-    before = {k: spark.conf.get(k) for k in settings}
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    with _settings:
+        before = {k: spark.conf.get(k) for k in settings}
+        try:
+            for k, v in settings.items():
+                spark.conf.set(k, v)
+            df.write.parquet(path)
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Collect the driver's garbage, now and then: only after that are shuffle files and broadcasts of finished steps deleted on the executors."""
+    if time.monotonic() - _swept[0] > SWEEP_S:
+        spark.sparkContext._jvm.System.gc()
+        _swept[0] = time.monotonic()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a `cut` that nothing reads any more."""
     jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext

@@ -18,8 +18,9 @@ A column of m classes would give m * m / 2 pairs. Instead
 A column within one component costs nothing, and every linked pair is within a component or
 verified: it shares a hot column, or the join counts all columns that it shares. Components are exact.
 
-The order needs no exact frequencies, only one function for all: shingles go to `BUCKETS` counters
-(bounded, so collected and broadcast) that count all documents.
+The order needs no exact frequencies, only one function for all: shingles go to `BUCKETS` counters over all
+documents. A task hands on those that are `OFTEN` times as full as its others, and these are summed up by
+aggregation; there are no more than `BUCKETS` sums, so they can be collected and broadcast.
 
 Defined results: null, empty and blank texts have no shingles, link with nothing, and are their own
 component. A row with a null doc_id has its n_shingles and component null, and links nothing.
@@ -43,12 +44,13 @@ from .worker import tidy
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 80
 BUCKETS = 1 << 20
+OFTEN = 4
 #: doc_ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of a set's histogram; rows of a column that are multiplied with as many others at a time.
 WIDTH = 512
-#: Documents, pairs of sets or arrays of counters that a Python worker holds at a time.
-ROWS, COUNTERS = 2000, 4
+#: Documents or pairs of sets that a Python worker holds at a time.
+ROWS = 2000
 BLOCK = 1024
 #: Rows up to which a column's pairs are joined as rows.
 HOT = 64
@@ -78,12 +80,12 @@ def sets_of(column, words: int):
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, node of each row (node null without shingles), and rows with a task's counters."""
+    """doc_id, n, node, hist of each row (node and hist null without shingles), and rows with a bucket and how often it was seen."""
 
     def describe(batches):
         import pyarrow as pa
 
-        counters = np.zeros(BUCKETS, dtype=np.uint32)
+        counters = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             n, node, hist = [], [], []
             for _, s in sets_of(batch.column("text"), words):
@@ -92,26 +94,21 @@ def described(docs: DataFrame, words: int) -> DataFrame:
                 node.append(node_of(s) if len(s) else None)
                 np.add.at(counters, (s >> np.uint64(44)).astype(np.int64), 1)
             size = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(size, pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary()), pa.array([counters.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())], names=names)
+        often = np.flatnonzero(counters >= OFTEN * (1 + counters.mean()))
+        size = len(often)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(size, pa.int64()) for _ in range(3)), pa.nulls(size, pa.binary()), pa.array(often, pa.int32()), pa.array(counters[often])], names=names)
 
-    names = ["doc_id", "n", "node", "hist", "counters"]
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(describe), "doc_id long, n long, node long, hist binary, counters binary")
+    names = ["doc_id", "n", "node", "hist", "bucket", "seen"]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(describe), "doc_id long, n long, node long, hist binary, bucket int, seen long")
 
 
-def summed(counters: DataFrame) -> DataFrame:
-    """All tasks' counters added up, in two steps so that no task sums all of them."""
-
-    def add(batches):
-        import pyarrow as pa
-
-        total = np.zeros(BUCKETS, dtype=np.uint32)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.frombuffer(x.as_buffer(), dtype=np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counters"])
-
-    return cut(counters.mapInArrow(tidy(add), "counters binary"), COUNTERS).coalesce(1).mapInArrow(tidy(add), "counters binary")
+def frequencies(told: DataFrame) -> np.ndarray:
+    """What the tasks have counted, added up, by bucket."""
+    found = cut(told.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen"))).toArrow()
+    out = np.zeros(BUCKETS, dtype=np.uint32)
+    out[found["bucket"].to_numpy()] = np.minimum(found["seen"].to_numpy(), 2**32 - 1)
+    return out
 
 
 def prefixes(docs: DataFrame, counters, words: int, percent: int) -> DataFrame:
@@ -186,7 +183,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> Da
     """doc_id, n_shingles, component_id for every row of docs."""
     spark = docs.sparkSession
     told = cut(described(docs, words), ROWS)
-    base = told.where("counters IS NULL")
+    base = told.where("bucket IS NULL")
     classes = base.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("hist").alias("hist"))
     component = node_components(spark, docs, told, classes, words, percent)
     smallest = classes.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
@@ -200,7 +197,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> Da
 
 def node_components(spark: SparkSession, docs: DataFrame, told: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """node, component of the classes that link with another one."""
-    counters = spark.sparkContext.broadcast(cut(summed(told.where("counters IS NOT NULL").select("counters")), COUNTERS).first()[0])
+    counters = spark.sparkContext.broadcast(frequencies(told).tobytes())
     # shingles of more than one class; dealt by shingle once for all that follows here
     dealt = prefixes(docs, counters, words, percent).repartition(F.col("shingle")).distinct()
     column = Window.partitionBy("shingle")

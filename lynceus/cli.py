@@ -42,10 +42,12 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as e:
         return 2 if e.code else 0
     if args.command == "check-tools":
-        from lynceus.operators.external import TOOLS, available
+        from lynceus.operators.external import TOOL_KINDS, available
 
-        for t in TOOLS:
-            print(f"{t:<12} {'available' if available(t) else 'not found'}")
+        programs = {t.scanner: t.program for t in TOOL_KINDS}
+        for s in dict.fromkeys((*R.ORDER["skill"], *R.ORDER["agent"])):
+            ready = s not in programs or available(programs[s])
+            print(f"{s:<20} {'available' if ready else f'{programs[s]} not found'}")
         return 0
     if args.command == "list-rules":
         rules = rules_of(args.mode)
@@ -66,14 +68,18 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def scan(args: argparse.Namespace) -> int:
-    from pyspark.sql import SparkSession
+    from functools import reduce
+    from itertools import groupby
+
+    from pyspark.sql import DataFrame, SparkSession
     from pyspark.sql import functions as F
 
+    from lynceus.operators.external import TOOL_KINDS, available, run_tool, runs
     from lynceus.operators.findings import collection_totals, ordered
     from lynceus.plans.engine import audit
     from lynceus.sinks import reports as S
     from lynceus.sources import config as C
-    from lynceus.sources.files import from_folder, hidden_suppressions, suppressions_of
+    from lynceus.sources.files import from_folder, suppressions_of
 
     root, whole = Path(args.path), args.command == "scan-all"
     sentinel = SENTINELS[args.type]
@@ -98,15 +104,21 @@ def scan(args: argparse.Namespace) -> int:
     artifacts = spark.createDataFrame([(n, n) for n in names], "artifact_id string, name string")
     files = from_folder(spark, str(root.resolve()), whole)
     files = files.join(artifacts.select("artifact_id"), "artifact_id", "left_semi")
-    done = audit(files, artifacts, args.type, config, suppressions_of(files).unionByName(hidden_suppressions(spark, str(root.resolve()), whole)))
+    tools = [t for t in TOOL_KINDS if config.enabled(t.scanner) and available(t.program)]
+    outputs = [(t, run_tool(files, t, config).persist()) for t in tools]  # a tool runs once, whatever reads its output
+    found = reduce(DataFrame.unionByName, (t.ingest(o) for t, o in outputs)) if outputs else None
+    ran = reduce(DataFrame.unionByName, (runs(o) for _, o in outputs)) if outputs else None
+    done = audit(files, artifacts, args.type, config, suppressions_of(files), found, ran)
     found = ordered(done.findings, args.type)
     if args.format == "sarif":
         text = S.merged_sarif(S.sarif_runs(done.reports, done.findings, args.type))
     elif args.format == "json":
         text = "\n".join(r.json for r in S.json_reports(done.reports, done.findings, args.type).orderBy("artifact_id").collect())
     else:
-        rows, scanners = found.orderBy("artifact_id", "ordinal").collect(), done.scanners.collect()
-        parts = [S.text_report(r, [s for s in scanners if s.artifact_id == r.artifact_id], [f for f in rows if f.artifact_id == r.artifact_id]) for r in done.reports.orderBy("artifact_id").collect()]
+        by_artifact = lambda rows: {k: list(v) for k, v in groupby(rows, key=lambda r: r.artifact_id)}
+        rows = by_artifact(found.orderBy("artifact_id", "ordinal").collect())
+        scanners = by_artifact(done.scanners.orderBy("artifact_id").collect())
+        parts = [S.text_report(r, scanners.get(r.artifact_id, []), rows.get(r.artifact_id, [])) for r in done.reports.orderBy("artifact_id").collect()]
         if whole:
             parts.append(S.collection_text(done.reports.orderBy("artifact_id").collect(), collection_totals(done.reports, args.min_score).first(), args.min_score))
         text = "\n".join(parts)

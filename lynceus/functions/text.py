@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 MAX_SNIPPET = 120
 
 
-#: Java matches repeated groups by recursion, which a line of thousands of repeats would overflow.
-REPEATS = 400
+#: Java matches repeated groups by recursion, which a line of thousands of repeats would overflow. A possessive
+#: group is a loop; it stops before the last "-e", which backtracking would have given back. The labels of a host
+#: name are bounded far above the 127 that a name can have; names with more match from a later label on.
+LOOPS = {
+    r"(-[a-zA-Z]+\s+)*(-e|--exec)\s+/bin/": r"(?:-(?!e\s+/bin/)[a-zA-Z]+\s+)*+(-e|--exec)\s+/bin/",
+    r"(?:\.[a-z0-9][a-z0-9\-]{0,62})*": r"(?:\.[a-z0-9][a-z0-9\-]{0,62}){0,400}",
+}
 
 
 def rx(pattern: str) -> str:
-    return "(?dU)" + pattern.replace(")*", f"){{0,{REPEATS}}}")
+    for repeated, loop in LOOPS.items():
+        pattern = pattern.replace(repeated, loop)
+    return "(?dU)" + pattern
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

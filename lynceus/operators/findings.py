@@ -18,9 +18,9 @@ def catalogue(spark: SparkSession, rules: tuple[R.Rule, ...] = (*R.ALL, *R.READ_
     return spark.createDataFrame([(i, r.id, r.severity, r.scanner, r.message, r.remediation) for i, r in enumerate(rules)], "rule_ord int, rule_id string, severity string, scanner string, rule_message string, remediation string")
 
 
-def with_rules(found: DataFrame) -> DataFrame:
-    """Severity, remediation and order of each finding's rule. The catalogue has a fixed size, so it is broadcast."""
-    rules = catalogue(found.sparkSession).select("rule_id", "rule_ord", "severity", "remediation")
+def with_rules(found: DataFrame, more: tuple[R.Rule, ...] = ()) -> DataFrame:
+    """Severity, remediation and order of each finding's rule, of the catalogue or of `more`. Rules are code, not data, so they are broadcast."""
+    rules = catalogue(found.sparkSession, (*R.ALL, *R.READ_ERRORS, *more)).select("rule_id", "rule_ord", "severity", "remediation")
     return found.join(F.broadcast(rules), "rule_id")
 
 
@@ -50,19 +50,18 @@ def ends_with_path(path: Column, tail: Column) -> Column:
 def suppress(found: DataFrame, entries: DataFrame) -> DataFrame:
     """found with suppressed and suppression_reason: of all entries that fit a finding the first counts.
 
-    Entries are written by hand, per artifact, so they are few; still the join is left to the planner, which broadcasts
-    only what is small. The result has one row for each finding.
+    Entries are written by hand, so those of one artifact and rule are few: they meet a finding as one array, and findings
+    go through a single join, which the planner broadcasts only where the entries are small.
     """
     begin, end, valid = line_range(F.col("lines"))
-    rules = entries.select(F.col("artifact_id").alias("s_artifact"), F.col("rule").alias("s_rule"), F.col("file").alias("s_file"), "ordinal", "reason", F.col("lines").isNotNull().alias("s_ranged"), begin.alias("s_begin"), end.alias("s_end"), valid.alias("s_valid"))
-    keyed = found.withColumn("_id", F.struct(*(F.col(c) for c in ("artifact_id", "path", "line", "scanner", "rule_id", "pos"))))
-    fits_file = F.when(F.col("path").isNull(), F.col("s_file") == "").otherwise(ends_with_path(F.col("path"), F.col("s_file")))
-    fits_line = ~F.col("s_ranged") | F.col("line").isNull() | (F.col("s_valid") & F.col("line").between(F.col("s_begin"), F.col("s_end")))
-    joined = keyed.select("_id", "artifact_id", "rule_id", "path", "line").distinct().join(rules, (F.col("artifact_id") == F.col("s_artifact")) & (F.col("rule_id") == F.col("s_rule")) & fits_file & fits_line)
-    first = joined.groupBy("_id").agg(F.min_by("reason", "ordinal").alias("suppression_reason"))
-    same = F.col("_id").eqNullSafe(F.col("_sid"))
-    out = keyed.join(first.withColumnRenamed("_id", "_sid"), same, "left")
-    return out.withColumn("suppressed", F.col("_sid").isNotNull()).drop("_id", "_sid")
+    entry = F.struct("ordinal", "reason", "file", F.col("lines").isNotNull().alias("ranged"), begin.alias("begin"), end.alias("end"), valid.alias("valid"))
+    rules = entries.groupBy(F.col("artifact_id").alias("s_artifact"), F.col("rule").alias("s_rule")).agg(F.sort_array(F.collect_list(entry)).alias("s_entries"))
+    fits_file = lambda e: F.when(F.col("path").isNull(), e["file"] == "").otherwise(ends_with_path(F.col("path"), e["file"]))
+    fits_line = lambda e: ~e["ranged"] | F.col("line").isNull() | (e["valid"] & F.col("line").between(e["begin"], e["end"]))
+    joined = found.join(rules, (F.col("artifact_id") == F.col("s_artifact")) & (F.col("rule_id") == F.col("s_rule")), "left")
+    first = F.get(F.filter("s_entries", lambda e: fits_file(e) & fits_line(e)), F.lit(0))
+    out = joined.withColumn("s_first", F.when(F.col("s_entries").isNotNull(), first))
+    return out.withColumns({"suppression_reason": F.col("s_first.reason"), "suppressed": F.col("s_first").isNotNull()}).drop("s_artifact", "s_rule", "s_entries", "s_first")
 
 
 def is_critical(rule_id: Column) -> Column:
@@ -80,9 +79,12 @@ def grade(score: Column) -> Column:
     return out
 
 
-def tallies() -> list[Column]:
-    counts = [F.count_if(F.col("severity") == s).alias(n) for s, n in zip(SEVERITIES, ("errors", "warnings", "info"), strict=True)]
-    return [*counts, F.coalesce(F.sum(cost(F.col("severity"), F.col("rule_id"))), F.lit(0)).cast("long").alias("cost"), F.count_if((F.col("severity") == "error") & is_critical(F.col("rule_id"))).alias("critical")]
+def tallies(among: Column | None = None) -> list[Column]:
+    """Counts and costs of findings, of those `among` alone if it is given."""
+    among = F.lit(True) if among is None else among
+    counts = [F.count_if(among & (F.col("severity") == s)).alias(n) for s, n in zip(SEVERITIES, ("errors", "warnings", "info"), strict=True)]
+    total = F.coalesce(F.sum(F.when(among, cost(F.col("severity"), F.col("rule_id")))), F.lit(0)).cast("long").alias("cost")
+    return [*counts, total, F.count_if(among & (F.col("severity") == "error") & is_critical(F.col("rule_id"))).alias("critical")]
 
 
 def judged(counts: DataFrame, strict: bool) -> DataFrame:
@@ -97,9 +99,8 @@ def judged(counts: DataFrame, strict: bool) -> DataFrame:
 
 def artifact_reports(artifacts: DataFrame, found: DataFrame, strict: bool = False) -> DataFrame:
     """A row for each artifact, those without findings too; suppressed findings only count as such."""
-    active = found.where(~F.col("suppressed")).groupBy("artifact_id").agg(*tallies())
-    hidden = found.where("suppressed").groupBy("artifact_id").agg(F.count("*").alias("suppressed"))
-    joined = artifacts.join(active, "artifact_id", "left").join(hidden, "artifact_id", "left")
+    counts = found.groupBy("artifact_id").agg(*tallies(~F.col("suppressed")), F.count_if("suppressed").alias("suppressed"))
+    joined = artifacts.join(counts, "artifact_id", "left")
     return judged(joined.withColumn("suppressed", F.coalesce("suppressed", F.lit(0)).cast("long")), strict)
 
 

@@ -7,6 +7,7 @@ scanned once whatever the number of rules, and no rule is joined with lines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -55,22 +56,28 @@ def shell_comment(line: Column) -> Column:
     return X.let(X.trim(line), lambda t: t.startswith("#") & ~t.startswith("#!"))
 
 
-def ignored(line: Column) -> Column:
-    return X.matches(line, R.IGNORE_HASH)
+def ignored(line: Column, config: Config | None = None) -> Column:
+    """Whether a line ends in an inline mark, of a fixed name or one that the configuration adds."""
+    return marked(line, R.IGNORE_HASH, config)
+
+
+def marked(line: Column, pattern: str, config: Config | None) -> Column:
+    more = "".join(f"|{re.escape(m)}" for m in (config.marks if config else ()) if m)
+    return X.matches(line, pattern.replace("):ignore", f"{more}):ignore"))
 
 
 def bash(line: Column, config: Config) -> Column:
     rules = [(X.matches(line, r.pattern), r) for r in R.BASH[:-1]]
     network = R.BASH[-1]
     gated = X.matches(line, network.pattern) & ~X.all_hosts_allowed(line, config.domains)
-    return F.when(~shell_comment(line) & ~ignored(line), when_hits(*rules, (gated, network))).otherwise(none())
+    return F.when(~shell_comment(line) & ~ignored(line, config), when_hits(*rules, (gated, network))).otherwise(none())
 
 
 def typescript(line: Column, config: Config) -> Column:
     rules = [(X.matches(line, r.pattern), r) for r in R.TYPESCRIPT[:-1]]
     network = R.TYPESCRIPT[-1]
     gated = X.matches(line, network.pattern) & ~X.all_hosts_allowed(line, config.domains)
-    skipped = X.trim(line).startswith("//") | X.matches(line, R.IGNORE_SLASHES)
+    skipped = X.trim(line).startswith("//") | marked(line, R.IGNORE_SLASHES, config)
     return F.when(~skipped, when_hits(*rules, (gated, network))).otherwise(none())
 
 
@@ -87,7 +94,7 @@ def package_install(line: Column, config: Config) -> Column:
     foreign = (url != "") & ~((host != "") & X.in_list(host, config.registries))
     first = when_hits(*tests, (X.matches(line, latest.pattern), latest))
     last = F.when(foreign, F.array(hit(registry.scanner, registry.id, F.concat(F.lit(f"{registry.message}: "), url)))).otherwise(none())
-    return F.when(~shell_comment(line) & ~ignored(line), F.concat(first, last)).otherwise(none())
+    return F.when(~shell_comment(line) & ~ignored(line, config), F.concat(first, last)).otherwise(none())
 
 
 def addresses(line: Column) -> Column:
@@ -119,7 +126,7 @@ def urls(line: Column, config: Config) -> Column:
         skipped = (host == "") | X.in_list(host, config.domains)
         return F.when(skipped, none()).when(ip, F.array(say(literal, u["raw"])).cast(HIT)).otherwise(several)
 
-    return F.when(~ignored(line), F.flatten(F.transform(addresses(line), of))).otherwise(none())
+    return F.when(~ignored(line, config), F.flatten(F.transform(addresses(line), of))).otherwise(none())
 
 
 def tokens(line: Column) -> Column:
@@ -141,7 +148,7 @@ def is_hex(t: Column) -> Column:
     return (F.octet_length(t) >= MIN_HEX) & t.rlike(r"\A[0-9A-Fa-f]+\z")
 
 
-def obfuscation(line: Column, in_prose: Column) -> Column:
+def obfuscation(line: Column, in_prose: Column, config: Config | None = None) -> Column:
     base64, hexed, high = R.OBFUSCATION
 
     def of(t: Column, i: Column) -> Column:
@@ -150,7 +157,7 @@ def obfuscation(line: Column, in_prose: Column) -> Column:
         bits = X.entropy(t)
         return F.when(F.octet_length(t) >= MIN_TOKEN, F.when(is_base64(t), say(base64)).when(is_hex(t), say(hexed)).when(bits > MAX_ENTROPY, say(high, bits)))
 
-    return F.when(in_prose & ~ignored(line) & (F.octet_length(line) >= MIN_TOKEN), F.array_compact(F.transform(tokens(line), of)).cast(HIT)).otherwise(none())
+    return F.when(in_prose & ~ignored(line, config) & (F.octet_length(line) >= MIN_TOKEN), F.array_compact(F.transform(tokens(line), of)).cast(HIT)).otherwise(none())
 
 
 def example_email(address: Column) -> Column:
@@ -181,7 +188,7 @@ def private_ipv4(value: Column) -> Column:
     return private & (a <= 255) & (b <= 255) & (c <= 255) & (d <= 255)
 
 
-def pii(line: Column) -> Column:
+def pii(line: Column, config: Config | None = None) -> Column:
     email, ssn, card, private, internal = R.PII
     plain = lambda r: lambda v, i: hit(r.scanner, r.id, r.message, i)
     found = F.concat(
@@ -195,7 +202,7 @@ def pii(line: Column) -> Column:
         hits_of(X.every(line, R.IPV4), private_ipv4, plain(private)),
         hits_of(X.every(line, R.INTERNAL_HOST), lambda v: F.lit(True), plain(internal)),
     )
-    return F.when(~ignored(line), found).otherwise(none())
+    return F.when(~ignored(line, config), found).otherwise(none())
 
 
 def redact(line: Column) -> Column:
@@ -225,11 +232,11 @@ def script_hits(value: Column, field: bool) -> Column:
     return F.array_compact(F.array(*found)).cast(HIT)
 
 
-def script_mixing(line: Column, in_prose: Column, in_head: Column) -> Column:
+def script_mixing(line: Column, in_prose: Column, in_head: Column, config: Config | None = None) -> Column:
     """A metadata field's value first, then the line itself: a line of the head is reported by both."""
     key, value = F.lower(X.trim(F.substring_index(line, ":", 1))), X.trim(F.regexp_replace(line, r"(?s)\A[^:]*:", ""))
-    field = in_head & line.contains(":") & ~X.trim(line).startswith("#") & key.isin("name", "description", "compatibility") & (value != "") & ~ignored(line)
-    body = in_prose & ~ignored(line) & (X.trim(line) != "---")
+    field = in_head & line.contains(":") & ~X.trim(line).startswith("#") & key.isin("name", "description", "compatibility") & (value != "") & ~ignored(line, config)
+    body = in_prose & ~ignored(line, config) & (X.trim(line) != "---")
     return F.concat(F.when(field, script_hits(value, True)).otherwise(none()), F.when(body, script_hits(line, False)).otherwise(none()))
 
 
@@ -260,9 +267,9 @@ def all_hits(config: Config) -> Column:
         "typescript_patterns": typescript(line, config),
         "package_install": package_install(line, config),
         "malicious_urls": urls(line, config),
-        "obfuscation": obfuscation(line, F.col("in_prose")),
-        "pii": pii(line),
-        "script_mixing": script_mixing(line, F.col("in_prose"), F.col("in_head")),
+        "obfuscation": obfuscation(line, F.col("in_prose"), config),
+        "pii": pii(line, config),
+        "script_mixing": script_mixing(line, F.col("in_prose"), F.col("in_head"), config),
     }
     return F.concat(*(F.when(reads(s), c).otherwise(none()) for s, c in columns.items() if config.enabled(s)), none())
 

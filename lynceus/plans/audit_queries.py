@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return Fs.from_rows(d, F.col("doc_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")), F.col("text"))
 
 
@@ -55,24 +55,25 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Small inputs come as one split, which one task would scan with all patterns."""
-    return df.repartition(max(8, df.sparkSession.sparkContext.defaultParallelism))
+    """A table as it was read, but over all cores if it has fewer splits than those, as only small tables have."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def sample_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, e, t) for i, (e, t) in enumerate(S.LINES)], "i int, ext string, t string")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
     made = o.join(F.broadcast(rows), F.col("o_orderkey") % len(S.LINES) == F.col("i"))
     artifact = F.concat(F.lit("a"), (F.col("o_custkey") % 40).cast("string"))
     path = F.concat(artifact, F.lit("/f."), F.col("ext"))
     name = F.concat(F.lit("f."), F.col("ext"))
-    return spread(made.select(artifact.alias("artifact_id"), path.alias("path"), name.alias("file_name"), F.lit("f").alias("stem"), "ext", F.col("ext").alias("ext_raw"), F.col("o_orderkey").alias("line_no"), F.replace(F.col("t"), F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("line")))
+    return made.select(artifact.alias("artifact_id"), path.alias("path"), name.alias("file_name"), F.lit("f").alias("stem"), "ext", F.col("ext").alias("ext_raw"), F.col("o_orderkey").alias("line_no"), F.replace(F.col("t"), F.lit("{k}"), F.col("o_orderkey").cast("string")).alias("line"))
 
 
 def metadata_files(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
     samples = S.SKILLS if mode == "skill" else S.AGENTS
     rows = spark.createDataFrame(list(enumerate(samples)), "i int, t string")
-    c = table(spark, sf_dir, "customer").select("c_custkey")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey"))
     name = F.concat(F.lit(f"{mode}-"), F.col("c_custkey").cast("string"))
     artifacts = c.select(name.alias("artifact_id"), name.alias("name"))
     with_file = c.where("c_custkey % 11 <> 0").join(F.broadcast(rows), F.col("c_custkey") % len(samples) == F.col("i"))
@@ -80,7 +81,7 @@ def metadata_files(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFra
     content = F.replace(F.col("t"), F.lit("{k}"), F.col("c_custkey").cast("string"))
     files = Fs.from_rows(with_file, name, path, content).withColumn("rel_path", F.lit(Fs.SENTINELS[mode]))
     readme = Fs.from_rows(c.where("c_custkey % 13 = 0"), name, F.concat(name, F.lit("/README.md")), F.lit("Read me")).withColumn("rel_path", F.lit("README.md"))
-    return spread(files.unionByName(readme)), artifacts
+    return files.unionByName(readme), artifacts
 
 
 DOC_LINES = r"""
@@ -206,7 +207,7 @@ _TOKENS = rf"""
 tk0 AS (SELECT path, line_no AS line, unnest(regexp_split_to_array(regexp_replace(regexp_replace(line, '`[^`]*`', ' ', 'g'), 'https?://\S+', ' ', 'g'), '\s+')) AS t FROM prose WHERE NOT {IGNORED}),
 tk AS (SELECT path, line, regexp_replace(t, '^[.,;:!?()\[\]"''*_]+|[.,;:!?()\[\]"''*_]+$', '', 'g') AS t FROM tk0),
 cl AS (SELECT path, line, t, strlen(t) AS n, strlen(t) >= 60 AND regexp_matches(t, '^[A-Za-z0-9+/=-]+$') AND regexp_matches(t, '[A-Z]') AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[0-9+/=]') AS b64,
-         strlen(t) >= 40 AND regexp_matches(t, '^[0-9A-Fa-f]+$') AS hx, round(list_entropy(string_split(t, '')), 6) AS bits FROM tk WHERE strlen(t) >= 40)"""
+         strlen(t) >= 40 AND regexp_matches(t, '^[0-9A-Fa-f]+$') AS hx, round(list_entropy(regexp_extract_all(hex(encode(t)), '..')), 6) AS bits FROM tk WHERE strlen(t) >= 40)"""
 
 
 @query(f"""WITH {SAMPLE_LINES}, {_FENCE}, {_TOKENS} SELECT path, line, CASE WHEN b64 THEN 'obfusc/O1-base64' WHEN hx THEN 'obfusc/O2-hex-blob' ELSE 'obfusc/O3-high-entropy' END AS rule_id FROM cl WHERE b64 OR hx OR bits > 4.5""")
@@ -214,15 +215,9 @@ def obfusc_tokens(spark, sf_dir):
     return scanned(spark, sf_dir, "obfuscation").select("path", "line", "rule_id")
 
 
-@query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) SELECT doc_id, max(round(list_entropy(string_split(t, '')), 6)) AS entropy FROM w WHERE t <> '' AND strlen(t) = length(t) AND strlen(t) <= 60 GROUP BY doc_id")
-def obfusc_entropy(spark, sf_dir):
-    w = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.split("text", " ")).alias("t"))
-    return w.where((F.col("t") != "") & (F.octet_length("t") == F.char_length("t")) & (F.octet_length("t") <= 60)).groupBy("doc_id").agg(F.max(F.round(X.entropy(F.col("t")), 6)).alias("entropy"))
-
-
 @query("WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) SELECT doc_id, max(round(list_entropy(regexp_extract_all(hex(encode(t)), '..')), 6)) AS entropy FROM w WHERE t <> '' GROUP BY doc_id")
-def obfusc_entropy_all(spark, sf_dir):
-    """Every word, by its bytes; obfusc_entropy keeps to the short ASCII words of its SQL."""
+def obfusc_entropy(spark, sf_dir):
+    """Every word of every document, by its bytes."""
     w = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.explode(F.split("text", " ")).alias("t"))
     return w.where("t <> ''").groupBy("doc_id").agg(F.max(F.round(X.entropy(F.col("t")), 6)).alias("entropy"))
 
@@ -255,7 +250,7 @@ _LUHN = "(list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i
 
 
 def pii_lines(spark, sf_dir) -> DataFrame:
-    docs = spread(document_lines(spark, sf_dir)).select(F.regexp_replace("path", r"\.md$", "").alias("path"), "line_no", "line")
+    docs = document_lines(spark, sf_dir).select(F.regexp_replace("path", r"\.md$", "").alias("path"), "line_no", "line")
     return docs.unionByName(sample_lines(spark, sf_dir).where(F.col("ext").isin("md", "sh") & ~L.ignored(F.col("line"))).select("path", "line_no", "line"))
 
 
@@ -577,19 +572,10 @@ def explain_rule(spark, sf_dir):
 _RANGES = ("5", "1-9", "9-1", "1-2-3", " 5", "", "x", "7-", "0-0", "12-12000")
 
 
-@query(f"""WITH v(r) AS ({values((r,) for r in _RANGES)}), g AS (SELECT o_orderkey, r, regexp_matches(r, '^[0-9]+$') AS one, regexp_matches(r, '^[0-9]+-[0-9]+$') AS two FROM v, orders WHERE o_orderkey % 100 = 1)
-SELECT o_orderkey, r, coalesce(CASE WHEN one THEN r::BIGINT = o_orderkey WHEN two AND string_split(r, '-')[1]::BIGINT <= string_split(r, '-')[2]::BIGINT THEN o_orderkey BETWEEN string_split(r, '-')[1]::BIGINT AND string_split(r, '-')[2]::BIGINT END, false) AS fits FROM g""")
-def suppress_line_range(spark, sf_dir):
-    ranges = spark.createDataFrame([(r,) for r in _RANGES], "r string")
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 1").select("o_orderkey").join(F.broadcast(ranges), F.lit(True))
-    begin, end, valid = A.line_range(F.col("r"))
-    return o.select("o_orderkey", "r", F.coalesce(valid & F.col("o_orderkey").between(begin, end), F.lit(False)).alias("fits"))
-
-
 @query(f"""WITH v(r) AS ({values((r,) for r in _RANGES)}), g AS (SELECT o_orderkey, r, regexp_matches(r, '^[0-9]+$') AS one, regexp_matches(r, '^[0-9]+-[0-9]+$') AS two FROM v, orders)
 SELECT o_orderkey, r, coalesce(CASE WHEN one THEN r::BIGINT = o_orderkey WHEN two AND string_split(r, '-')[1]::BIGINT <= string_split(r, '-')[2]::BIGINT THEN o_orderkey BETWEEN string_split(r, '-')[1]::BIGINT AND string_split(r, '-')[2]::BIGINT END, false) AS fits FROM g""")
-def suppress_line_range_all(spark, sf_dir):
-    """All orders; suppress_line_range keeps to the hundredth of its SQL."""
+def suppress_line_range(spark, sf_dir):
+    """Each of the ranges over all orders."""
     ranges = spark.createDataFrame([(r,) for r in _RANGES], "r string")
     o = table(spark, sf_dir, "orders").select("o_orderkey").join(F.broadcast(ranges), F.lit(True))
     begin, end, valid = A.line_range(F.col("r"))
@@ -660,7 +646,7 @@ def tool_errors(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and grade of every document for personal data."""
-    files = spread(document_files(spark, sf_dir))
+    files = document_files(spark, sf_dir)
     found = A.with_rules(L.scan_lines(Fs.lines_of(files), only("pii"))).withColumn("suppressed", F.lit(False))
     reports = A.artifact_reports(files.select("artifact_id").distinct(), found)
     return reports.select("artifact_id", "errors", "warnings", "info", "security_score", "security_grade", "status")
@@ -680,15 +666,46 @@ QUERIES["pii_flagship"] = flagship
 SQL["pii_flagship"] = _flag_sql()
 
 
-@query()
+_AUDIT_LINES = r"""
+al0 AS (SELECT 'page_' || page_id AS artifact_id, concat_ws(chr(10), url, html) AS text FROM pages UNION ALL SELECT 'doc_' || doc_id, text FROM documents),
+al1 AS (SELECT artifact_id, string_split(regexp_replace(text, '\r\n', chr(10), 'g'), chr(10)) AS ls FROM al0 WHERE text IS NOT NULL),
+al2 AS (SELECT artifact_id, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM al1),
+tl AS (SELECT artifact_id, artifact_id || '.md' AS path, 'md' AS ext, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM al2)"""
+
+
+def _audit_sql() -> str:
+    """The SQL of the scanners that read Markdown, over pages and documents; their rows are findings."""
+    body = lambda name, start: SQL[name][SQL[name].rindex(start) :]
+    tests = ", ".join(f"CASE WHEN regexp_matches(line, {quoted(r.pattern)}) THEN {quoted(r.id)} END" for r in R.PROMPT)
+    kinds = (("pii_email", R.EMAIL, R.PII[0]), ("pii_ssn", R.SSN, R.PII[1]), ("pii_credit_card", R.CARD, R.PII[2]), ("pii_private_ipv4", R.IPV4, R.PII[3]), ("pii_internal_host", R.INTERNAL_HOST, R.PII[4]))
+    parts = [
+        f"SELECT path, unnest(list_filter([{tests}], lambda x: x IS NOT NULL)) AS rule_id FROM tl",
+        f"SELECT path, rule_id FROM ({body('url_rules', 'SELECT path, line, unnest')})",
+        f"SELECT path, rule_id FROM ({body('obfusc_tokens', 'SELECT path, line, CASE')})",
+        f"SELECT path, rule_id FROM ({body('script_mixing_body', 'SELECT path, line_no')})",
+        "SELECT artifact_id || '.md' AS path, 'frontmatter/missing-skill-md' FROM al0",
+    ]
+    for name, pattern, rule in kinds:
+        rest = SQL[name].removeprefix(_matched_sql(pattern)).lstrip(" ,\n")
+        found = f"m AS (SELECT path, line_no, unnest(regexp_extract_all(line, {quoted(pattern)})) AS v FROM tl WHERE NOT {IGNORED})"
+        parts.append(f"SELECT path, '{rule.id}' FROM (WITH {found}{', ' if not rest.startswith('SELECT') else ' '}{rest})")
+    return f"""WITH {_AUDIT_LINES}, {_URL_SQL}, {_FENCE}, {_TOKENS}, fd(path, rule_id) AS ({" UNION ALL ".join(parts)}),
+rl(rule_ord, rule_id, severity, scanner, message, remediation) AS ({_RULES_SQL}),
+c AS (SELECT path, count(*) FILTER (WHERE severity = 'error') AS e, count(*) FILTER (WHERE severity = 'warning') AS w, count(*) FILTER (WHERE severity = 'info') AS i,
+  sum(CASE severity WHEN 'error' THEN CASE WHEN regexp_matches(rule_id, '{A.CRITICAL}') THEN 30 ELSE 15 END WHEN 'warning' THEN 5 ELSE 1 END) AS cost FROM fd JOIN rl USING (rule_id) GROUP BY path),
+r AS (SELECT artifact_id, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings, coalesce(i, 0) AS info, greatest(0, 100 - coalesce(cost, 0))::INT AS security_score FROM al0 LEFT JOIN c ON path = artifact_id || '.md')
+SELECT artifact_id, errors, warnings, info, security_score, CASE WHEN security_score >= 90 THEN 'A' WHEN security_score >= 75 THEN 'B' WHEN security_score >= 60 THEN 'C' WHEN security_score >= 40 THEN 'D' ELSE 'F' END AS security_grade,
+  CASE WHEN errors > 0 THEN 'failed' WHEN warnings > 0 THEN 'warning' ELSE 'passed' END AS status, 5::BIGINT AS files_scanned FROM r"""
+
+
+@query(_audit_sql())
 def full_audit(spark, sf_dir):
-    """All scanners over pages and documents as files of one artifact each."""
-    p = table(spark, sf_dir, "pages")
+    """All scanners over pages and documents as files of one artifact each, none of which has a metadata file."""
+    p = spread(table(spark, sf_dir, "pages"))
     pages = Fs.from_rows(p, F.concat(F.lit("page_"), F.col("page_id").cast("string")), F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".md")), F.concat_ws("\n", "url", "html"))
-    files = spread(pages.unionByName(document_files(spark, sf_dir).withColumn("artifact_id", F.concat(F.lit("doc_"), "artifact_id"))))
+    files = pages.unionByName(document_files(spark, sf_dir).withColumn("artifact_id", F.concat(F.lit("doc_"), "artifact_id")))
     artifacts = files.select("artifact_id").distinct().withColumn("name", F.col("artifact_id"))
-    config = Config(scanners={"frontmatter": False})
-    return audit(files, artifacts, "skill", config).reports.select("artifact_id", "errors", "warnings", "info", "security_score", "security_grade", "status", "files_scanned")
+    return audit(files, artifacts, "skill").reports.select("artifact_id", "errors", "warnings", "info", "security_score", "security_grade", "status", "files_scanned")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lynceus.operators import findings as A
 from lynceus.operators import line_scanners as L
+from lynceus.operators.extension import Scanner
 from lynceus.operators.external import COLUMNS
 from lynceus.operators.metadata import SCANNER, scan_metadata
 from lynceus.rules import catalogue as R
@@ -59,15 +61,48 @@ def scanner_results(files: DataFrame, artifacts: DataFrame, mode: str, config: C
     return rows.select("artifact_id", F.explode(F.array(*made)).alias("r")).select("artifact_id", "r.*")
 
 
-def audit(files: DataFrame, artifacts: DataFrame, mode: str = "skill", config: Config | None = None, suppressions: DataFrame | None = None, tools: DataFrame | None = None) -> Audit:
-    """Scan files of artifacts (artifact_id, name). tools: findings of external tools, as operators.external makes them."""
+def with_runs(results: DataFrame, ran: DataFrame) -> DataFrame:
+    """Results of scanners with what runs of tools (artifact_id, scanner, files_scanned, skip_reason, error) say of theirs."""
+    fields = ("files_scanned", "skip_reason", "error")
+    known = ran.select("artifact_id", "scanner", F.struct(*fields).alias("run"))
+    both = results.join(known, ["artifact_id", "scanner"], "left")
+    off = F.col("run").isNull() | (F.col("skip_reason") == "disabled in config")
+    now = {f: F.when(off, F.col(f)).otherwise(F.col(f"run.{f}")) for f in fields}
+    return both.withColumns({"skipped": F.when(off, F.col("skipped")).otherwise(F.col("run.skip_reason").isNotNull())} | now).drop("run")
+
+
+def results_of(scanners: Sequence[Scanner], files: DataFrame, artifacts: DataFrame, config: Config) -> DataFrame:
+    """The rows of scanner_results for scanners that are not built in."""
+    counts = files.groupBy("artifact_id").agg(*(F.count_if(s.reads()).alias(s.name) for s in scanners))
+    made = []
+    for s in scanners:
+        reason = None if config.enabled(s.name) and s.available() else "disabled in config" if not config.enabled(s.name) else f"{s.name} not found"
+        n = F.lit(0) if reason else F.coalesce(s.name, F.lit(0))
+        made.append(F.struct(F.lit(s.name).alias("scanner"), n.cast("long").alias("files_scanned"), F.lit(reason is not None).alias("skipped"), F.lit(reason).cast("string").alias("skip_reason"), F.lit(None).cast("string").alias("error")))
+    return artifacts.join(counts, "artifact_id", "left").select("artifact_id", F.explode(F.array(*made)).alias("r")).select("artifact_id", "r.*")
+
+
+def audit(
+    files: DataFrame,
+    artifacts: DataFrame,
+    mode: str = "skill",
+    config: Config | None = None,
+    suppressions: DataFrame | None = None,
+    tools: DataFrame | None = None,
+    runs: DataFrame | None = None,
+    scanners: Sequence[Scanner] = (),
+) -> Audit:
+    """Scan files of artifacts (artifact_id, name). tools and runs: findings and runs of external tools, as operators.external makes them."""
     config = config or Config()
     spark: SparkSession = files.sparkSession
     lines = lines_of(files)
     found = L.scan_lines(lines, config).unionByName(read_errors(files, config))
     if config.enabled(SCANNER[mode]):
         found = found.unionByName(scan_metadata(files, lines, artifacts, mode))
-    found = A.with_rules(found).withColumn("column", F.lit(None).cast("long"))
+    active = [s for s in scanners if config.enabled(s.name) and s.available()]
+    for s in active:
+        found = found.unionByName(s.scan(files, lines, config))
+    found = A.with_rules(found, tuple(r for s in active for r in s.rules)).withColumn("column", F.lit(None).cast("long"))
     if tools is not None:
         known = tools.select(*COLUMNS).withColumn("rule_ord", F.lit(0))
         off = [s for s in ("shellcheck", "semgrep", "secrets") if not config.enabled(s)]
@@ -75,7 +110,11 @@ def audit(files: DataFrame, artifacts: DataFrame, mode: str = "skill", config: C
     entries = suppressions if suppressions is not None else spark.createDataFrame([], SUPPRESSION)
     found = A.suppress(found, entries)
     results = scanner_results(files, artifacts, mode, config)
-    if tools is not None:
+    if scanners:
+        results = results.unionByName(results_of(scanners, files, artifacts, config))
+    if runs is not None:
+        results = with_runs(results, runs)
+    elif tools is not None:
         ran = tools.select("artifact_id", "scanner").distinct().withColumn("ran", F.lit(True))
         results = results.join(ran, ["artifact_id", "scanner"], "left").withColumns({"skip_reason": F.when(F.col("ran").isNull(), F.col("skip_reason")), "skipped": F.col("skipped") & F.col("ran").isNull()}).drop("ran")
     scanned = results.groupBy("artifact_id").agg(F.sum("files_scanned").alias("files_scanned"))

@@ -225,8 +225,9 @@ FIRST_PERSON = r"(?i)\b(I can|I will|I'll|I am|I'm|you can|you should|you will|y
 WINDOWS_PATH = r"[a-zA-Z]:\\|[a-zA-Z0-9_][\\][a-zA-Z0-9_]"
 TIME = r"(?i)\b(before|after|until|since|as of|by)\s+\w*\s*(january|february|march|april|may|june|july|august|september|october|november|december)?\s*\d{4}\b"
 SYSTEM_INJECTION = r"(?i)\b(ignore\s+(all\s+)?previous\s+instructions?|disregard\s+(all\s+)?instructions?|override\s+all|jailbreak|you\s+are\s+now\s+a\s+different)\b"
-#: Inline marks that drop a line: "# scan:ignore", "# audit:ignore" or a longer tool name that ends in -audit.
-IGNORE_HASH = r"(?i)\s*#\s*(scan|(?:[a-z]+-)*audit):ignore\s*$"
-IGNORE_SLASHES = r"(?i)//\s*((?:[a-z]+-)*audit):ignore\s*$"
+#: Names of the inline marks that drop a line, after # and after //; a configuration may add the name of its own tool.
+HASH_MARKS, SLASH_MARKS = ("scan", "audit"), ("audit",)
+IGNORE_HASH = r"(?i)\s*#\s*(scan|audit):ignore\s*$"
+IGNORE_SLASHES = r"(?i)//\s*(audit):ignore\s*$"
 #: What redaction writes for each kind of match, in this order.
 REDACTIONS = ((EMAIL, "<redacted email>"), (SSN, "XXX-XX-XXXX"), (CARD, "<redacted credit card>"), (IPV4, "<redacted private ipv4>"), (INTERNAL_HOST, "<redacted internal hostname>"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lynceus.operators.findings import ordered, severity_rank
+from lynceus.operators.findings import ordered
 
 TOOL, VERSION = "lynceus", "0.1.0"
 FIELDS = ("rule_id", "message", "severity", "path", "line", "column", "scanner", "snippet", "suppressed", "suppression_reason", "remediation")
@@ -116,7 +116,3 @@ def collection_text(reports: list, totals, min_score: int | None = None) -> str:
         out.append(f"  {r.artifact_id:<30} {r.status.upper():<8} {r.security_score:>3}/100 ({r.security_grade})" + (f" [< {min_score}]" if min_score is not None and r.security_score < min_score else ""))
     out.append(f"  {totals.artifacts} artifacts: {totals.passed} passed, {totals.warned} warned, {totals.failed} failed" + (f", {totals.below_min} below {min_score}" if min_score is not None else ""))
     return "\n".join(out)
-
-
-def by_severity(found: DataFrame) -> DataFrame:
-    return found.orderBy(severity_rank(F.col("severity")), "ordinal")

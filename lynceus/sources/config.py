@@ -9,7 +9,7 @@ from pathlib import Path, PurePosixPath
 from lynceus.rules import catalogue as R
 
 CONFIG_NAME = "audit.toml"
-#: At the root of an artifact; also with a dot in front in local folders.
+#: At the root of an artifact; also with a dot in front.
 IGNORE_NAME = "audit-ignore"
 
 
@@ -22,6 +22,8 @@ class Config:
     strict: bool = False
     scanners: dict[str, bool] = field(default_factory=dict)
     semgrep: dict = field(default_factory=dict)
+    #: Names that inline marks may have besides the fixed ones.
+    marks: tuple[str, ...] = ()
 
     def enabled(self, scanner: str) -> bool:
         """Scanners that the configuration doesn't name are on; short names do as well as full ones."""
@@ -47,6 +49,7 @@ def parse(raw: dict) -> Config:
         strict=bool(strict.get("enabled", False) if isinstance(strict, dict) else strict),
         scanners={str(k): bool(v) for k, v in raw.get("scanners", {}).items()},
         semgrep=dict(raw.get("semgrep", {})),
+        marks=lower(raw.get("inline", {}).get("marks", ())),
     )
 
 

@@ -16,7 +16,7 @@ def test_line_ranges_judge_every_order(spark):
     keys = [r.o_orderkey for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()]
     fits = {"5": (5, 5), "1-9": (1, 9), "12-12000": (12, 12000), "0-0": (0, 0)}
     want = Counter((k, r, r in fits and fits[r][0] <= k <= fits[r][1]) for k in keys for r in Q._RANGES)
-    assert Counter(map(tuple, Q.queries()["suppress_line_range_all"](spark, DATA).collect())) == want
+    assert Counter(map(tuple, Q.queries()["suppress_line_range"](spark, DATA).collect())) == want
 
 
 def test_entropy_scores_every_word(spark, tmp_path):
@@ -27,6 +27,6 @@ def test_entropy_scores_every_word(spark, tmp_path):
         n = Counter(word.encode())
         return -sum(c / n.total() * math.log2(c / n.total()) for c in n.values())
 
-    got = {r.doc_id: r.entropy for r in Q.queries()["obfusc_entropy_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.entropy for r in Q.queries()["obfusc_entropy"](spark, str(tmp_path)).collect()}
     want = {d: max(map(bits, t.split())) for d, t in docs if t.split()}
     assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 2e-6 for d in want)

@@ -1,26 +1,33 @@
 """Near-duplicate passages of long texts by compact windows.
 
 Tokens are 5-word shingles. Under one hash, the Cartesian tree of a text's token hashes says for every
-token which subsequences have it as their minimum: those that begin in [low, at] and end in [at, high]. One such
+token which subsequences have it as their minimum: those that begin in [low, at] and end in [at, high). One such
 compact window stands for up to thousands of subsequences with one signature, and only windows wide
 enough for a passage are kept, about two for each passage length of text. Trees of a whole batch are split level by
 level with numpy.
 
-Texts whose windows share a minimum under enough of the hashes, in places that overlap on both sides, are
-candidates. Candidates are verified on the texts' shingles: a passage is
-a stretch of shared shingles, as long as a passage must be, whose two sides have the similarity as sets. Equal texts are one class before any of that.
+Two texts are candidates if they share a minimum under one of the hashes, if their windows, laid upon each other at the minimum,
+have a passage's length in common (the join of intervals), and if they agree word for word for `RUN` tokens around it. The
+last is known from the windows alone: each carries small hashes of what stands before and after its minimum,
+up to each of `LEVELS`. A passage of the least similarity has one changed word in 50, so one of its two runs is longer than that.
+Candidates are verified on the texts' shingles: a passage is a stretch of shared shingles, as long as a passage must
+be, whose two sides have the similarity as sets. Equal texts are one class before any of that.
 
 A group of m texts would give m * m / 2 pairs. Instead
-1. within a group of equal minima every text meets the first and the one before it in the group's order;
-   verified passages are contracted to components of stretches of text;
-2. groups are made of two minima of different hashes whose windows overlap, which every supported pair has in
-   common. Where their places are not all in one component, all pairs of different components are verified; in
-   groups of over `HOT` rows each row meets two neighbours first, and all that are still apart after that.
-So two texts of a supported pair are verified, or both have a row for the place and one component.
+1. texts with one minimum and one context (`STARS`: 20 tokens after it, before it, or 8 on both sides) meet the first of them.
+   Verified passages link texts to components, and a place in or beside (nearer than a passage's length) a known passage has its component as label;
+2. where texts of several components agree on 8 tokens after the minimum or before it, blocks of them are multiplied in numpy.
+   The candidates whose tokens around the minimum are alike are verified: all of them in groups of up to `LARGE` texts, in larger ones a
+   spanning forest, longest runs first, which is contracted;
+3. larger groups are multiplied once more, and all such candidates that are still of different components are verified.
+So two texts of a candidate pair are verified, or both are in one component and have a row at the place or beside it: links between
+components are never left out, but within one a row may end short of the longest passage. Minima that many
+texts have never lie in one task: they need no window (a task that sees one `HOT` times says so), stars
+are aggregations, and blocks are dealt to tasks.
 
 Defined results: null, empty and short texts have no passage. Rows with null doc_id are left out. Repeated
 rows of one doc_id are one document. Texts without a repeated passage have no row. Columns other than
-doc_id and text are ignored. Tokens are compared by 64-bit hashes of their words, A-Z as a-z.
+doc_id and text are ignored. Tokens are compared by 64-bit hashes of their words, A-Z as a-z; verification by 32 bits of those.
 """
 
 from __future__ import annotations
@@ -31,7 +38,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import cut
+from .blocks import pairs_within, spanning, whole_units
+from .columns import cut, discard
 from .components import components
 from .shingles import WORDS, mix, shingle_hashes, text_buffers
 from .worker import tidy
@@ -39,16 +47,27 @@ from .worker import tidy
 PASSAGE = 50
 SIMILARITY = 80
 HASHES = 4
-ENOUGH = 2
 #: How far a passage's places may drift between the two texts.
 DRIFT = 16
 #: Documents or pairs of sequences that a Python worker holds at a time.
 ROWS = 2000
-#: doc_ids up to this number are broadcast (8 bytes each); more are joined by a shuffle.
+#: doc_ids or minima up to this number are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Rows of a group up to which all its pairs are met at once; of larger groups neighbours are met before.
+#: Tokens after a minimum, itself included, and before it, of which a window carries hashes of four bits.
+LEVELS = np.array([4, 8, 12, 16, 20, 24, 32, 46])
+#: Tokens that candidates share word for word around their minimum, by LEVELS.
+RUN = 16
+#: Times that a task sees a minimum before it counts as one that many texts have.
 HOT = 64
-FIELDS = ("k", "low", "at", "high")
+#: Pairs of equal shingles for each shingle of two texts up to which all of them are held; beyond it each shift looks for its own.
+MATCHES = 16
+#: Shifts that are looked at for each token around a minimum, and pairs that this is done for at a time.
+SHIFTS, ALIKE = 2, 20_000
+#: Texts of a group up to which all its candidates are verified at once.
+LARGE = 16
+#: Rows of a group that are multiplied with as many others in one unit of work.
+BLOCK = 1024
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SALTS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -96,156 +115,232 @@ def sequences_of(column, least: int):
         yield a, hashes, at, np.flatnonzero(np.diff(at) >= least)
 
 
-def windows(docs: DataFrame, least: int, n_hashes: int) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, node, n) of classes of equal texts, and compact windows (key, k, node, low, at, high)."""
+def contexts(tokens: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """For each place at of the text node, which lies in [begin, end): hashes of the tokens after it in the lower half, of those before it in the upper half.
 
-    def members(batches):
-        import pyarrow as pa
+    Four bits for each of LEVELS, nearest first; beyond the text's ends they are the place's own.
+    """
+    sums = np.r_[np.uint64(0), np.cumsum(mix(tokens))]
+    out = np.zeros(len(at), dtype=np.uint64)
+    alone = mix(mix(node.view(np.uint64)) + (at - begin).astype(np.uint64))
+    for k, n in enumerate(LEVELS):
+        for side, first, last in ((0, at, at + n), (32, at - n, at)):
+            inside = (first >= begin) & (last <= end)
+            value = sums[np.where(inside, last, 0)] - sums[np.where(inside, first, 0)]
+            bits = np.where(inside, (value * SPREAD) >> np.uint64(60), (alone >> np.uint64(4 * k)) & np.uint64(15))
+            out |= bits << np.uint64(side + 4 * k)
+    return out.view(np.int64)
+
+
+def runs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many tokens, by LEVELS, the places with contexts x and y share around them."""
+    differ = (x ^ y).view(np.uint64)
+    length = np.r_[0, LEVELS]
+    out = np.zeros(len(x), dtype=np.int64)
+    for half in (differ & np.uint64(0xFFFFFFFF), differ >> np.uint64(32)):
+        lowest = half & (~half + np.uint64(1))  # of a half without a difference 0
+        level = np.where(half == 0, len(LEVELS), np.log2(np.maximum(lowest, np.uint64(1)).astype(np.float64)).astype(np.int64) // 4)
+        out += length[level]
+    return out
 
-        for batch in batches:
-            for a, hashes, at, long_ in sequences_of(batch.column("text"), least):
-                nodes = [node_of(hashes[at[k] : at[k + 1]]) for k in long_]
-                ids = batch.column("doc_id").take(pa.array(a + long_))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array((at[long_ + 1] - at[long_]).astype(np.int64))], names=["doc_id", "node", "n"])
+
+def described(docs: DataFrame, least: int, n_hashes: int) -> DataFrame:
+    """Rows doc_id, node, n of long texts (node: its class of equal texts); compact windows key, node, at, left, right, context (left and right:
+    how far the window reaches from its minimum); and, with key alone, minima that a task has seen often.
+    """
 
     def cover(batches):
         import pyarrow as pa
 
+        seen = []
+
+        def rows(**columns):
+            size = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(n, pa.nulls(size, k)) for n, k in kinds.items()], names=list(kinds))
+
+        kinds = {"doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "key": pa.int64(), "at": pa.int32(), "left": pa.int32(), "right": pa.int32(), "context": pa.int64()}
         for batch in batches:
-            for _, hashes, at, long_ in sequences_of(batch.column("text"), least):
+            for a, hashes, at, long_ in sequences_of(batch.column("text"), least):
                 nodes = np.array([node_of(hashes[at[k] : at[k + 1]]) for k in long_], dtype=np.int64)
+                yield rows(doc_id=batch.column("doc_id").take(pa.array(a + long_)), node=pa.array(nodes), n=pa.array((at[long_ + 1] - at[long_]).astype(np.int64)))
                 _, once = np.unique(nodes, return_index=True)
                 once = np.sort(once)
                 begins, ends, nodes = at[long_[once]], at[long_[once] + 1], nodes[once]
                 for k in range(n_hashes):
                     low, mid, high = compact_windows(mix(hashes ^ SALTS[k]), begins, ends, least)
                     own = np.searchsorted(begins, mid, side="right") - 1
-                    base = begins[own]
-                    columns = [mix(hashes[mid] + SALTS[k + 32]).view(np.int64), np.full(len(mid), k, np.int32), nodes[own], *((x - base).astype(np.int32) for x in (low, mid, high))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "k", "node", "low", "at", "high"])
+                    key = mix(hashes[mid] + SALTS[k + 32]).view(np.int64)
+                    seen.append(key)
+                    small = {n: pa.array(x.astype(np.int32)) for n, x in (("at", mid - begins[own]), ("left", mid - low), ("right", high - mid))}
+                    yield rows(key=pa.array(key), node=pa.array(nodes[own]), context=pa.array(contexts(hashes, mid, begins[own], ends[own], nodes[own])), **small)
+        if seen:
+            key, count = np.unique(np.concatenate(seen), return_counts=True)
+            yield rows(key=pa.array(key[count >= HOT]))
+
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(tidy(cover), "doc_id long, node long, n long, key long, at int, left int, right int, context long")
+
+
+def shared_windows(every: DataFrame) -> DataFrame:
+    """The windows whose minimum several texts have."""
+    found = every.where("key IS NOT NULL AND node IS NOT NULL").select("key", "node", "at", "left", "right", "context")
+    hot = cut(every.where("key IS NOT NULL AND node IS NULL").select("key").distinct())
+    keys = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    group = Window.partitionBy("key")
+    cold = found.join(keys, "key", "left_anti").repartition(F.col("key")).distinct()
+    cold = cold.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo <> hi").drop("lo", "hi")
+    shared = cut(cold.unionByName(found.join(keys, "key", "left_semi").distinct()), ROWS)
+    discard(hot)
+    return shared
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(tidy(members), "doc_id long, node long, n long").distinct(), rows.select("text").mapInArrow(tidy(cover), "key long, k int, node long, low int, at int, high int")
 
+def part(side: int, tokens: int) -> Column:
+    """What a context says of so many tokens after the minimum (side 0) or before it (side 1)."""
+    levels = int(np.searchsorted(LEVELS, tokens, side="right"))
+    return F.shiftrightunsigned("context", 32 * side).bitwiseAND(F.lit((1 << (4 * levels)) - 1))
 
-def grouped(found: DataFrame) -> DataFrame:
-    """The windows whose minimum several texts have, each with the first and the one before in its group's order."""
-    group = Window.partitionBy("key")
-    shared = found.repartition(F.col("key")).distinct().withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo <> hi").drop("lo", "hi")
-    here = F.struct("node", "low", "at", "high")
-    in_order = Window.partitionBy("key").orderBy("node", "low")
-    return cut(shared.withColumns({"before": F.lag(here).over(in_order), "first": F.first(here).over(in_order)}), ROWS)
-
-
-def met(shared: DataFrame) -> DataFrame:
-    """a, b and the windows that they share: each text with the first and the one before in each group of equal minima."""
-    pair = lambda other: shared.where(F.col(other).isNotNull() & (F.col(f"{other}.node") != F.col("node"))).select(
-        F.col("node").alias("a"), F.col(f"{other}.node").alias("b"), F.struct("k", "low", "at", "high", F.col(f"{other}.low").alias("low_b"), F.col(f"{other}.at").alias("at_b"), F.col(f"{other}.high").alias("high_b")).alias("w")
-    )
-    return pair("before").unionByName(pair("first")).groupBy("a", "b").agg(F.collect_set("w").alias("w"))
-
-
-def places(links: DataFrame) -> DataFrame:
-    """node, begin, end, component: stretches of known passages, with the component that the links of those stretches make."""
-    ends = links.select(F.col("a").alias("node"), "begin", "end").union(links.select("b", "begin_b", "end_b"))
-    spans = cut(merged(ends.distinct()).withColumn("span", F.xxhash64("node", "begin")))
-    side = lambda rows, node, begin, name: rows.join(spans.select(F.col("node").alias(node), F.col("begin").alias("from"), F.col("end").alias("to"), F.col("span").alias(name)), node).where((F.col("from") <= F.col(begin)) & (F.col(begin) < F.col("to"))).drop("from", "to")
-    edges = side(side(links.select("a", "begin", "b", "begin_b").distinct(), "a", "begin", "u"), "b", "begin_b", "v")
-    component = cut(components(edges.select("u", "v"), "u", "v"))
-    return cut(spans.join(component.withColumnRenamed("node", "span"), "span").select("node", F.col("begin").alias("from"), F.col("end").alias("to"), "component"))
-
-
-def labelled(rows: DataFrame, known: DataFrame, ats: tuple[str, ...]) -> DataFrame:
-    """rows with label: the component of the known stretch that holds all of ats, else the node."""
-    at = [F.col(x) for x in ats]
-    within = (F.col("from") <= F.least(*at, at[0])) & (F.greatest(*at, at[0]) < F.col("to"))
-    return rows.join(known.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & within, "left").withColumn("label", F.coalesce("component", "node")).drop("of", "from", "to", "component")
 
+#: Contexts, as (side, tokens), that texts of one star share.
+STARS = (((0, 20),), ((1, 20),), ((0, 8), (1, 8)))
+#: Contexts of which candidates share one: RUN tokens have half of them on one side.
+HALVES = (((0, RUN // 2),), ((1, RUN // 2),))
 
-def twofold(shared: DataFrame, known: DataFrame, least: int, enough: int) -> DataFrame:
-    """key, node and two windows (k, low, at, high and k2, ...) of different hashes that overlap in the node, for each two minima: what any supported pair has in common.
 
-    Left out are those where both minima's groups are within one component.
-    """
-    group = Window.partitionBy("key")
-    rows = labelled(shared.select("key", "k", "node", "low", "at", "high"), known, ("at",))
-    rows = rows.withColumn("open", F.min("label").over(group) != F.max("label").over(group)).drop("label")
-    if enough <= 1:
-        return rows.where("open").select("key", "node", *FIELDS, *(F.col(f).alias(f"{f}2") for f in FIELDS))
-    texts = cut(rows.groupBy("node").agg(F.collect_list(F.struct("key", "open", *FIELDS)).alias("w")).where(F.exists("w", lambda w: w["open"])), ROWS)
+def dealt(rows: DataFrame, groups: tuple) -> DataFrame:
+    """rows for each of groups, with sub: one value for one key and context."""
+    subs = [F.xxhash64("key", F.lit(k), *(part(*p) for p in parts)) for k, parts in enumerate(groups)]
+    return rows.withColumn("sub", F.explode(F.array(*subs))).drop("key")
 
-    def combine(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for node, w in zip(batch.column("node").to_pylist(), batch.column("w"), strict=True):
-                key, is_open, k, low, at, high = (w.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "open", *FIELDS))
-                for m in range(0, len(key), 256):
-                    x = slice(m, m + 256)
-                    both = np.minimum(high[x][:, None], high[None, :]) - np.maximum(low[x][:, None], low[None, :]) >= least
-                    i, j = np.nonzero(both & (k[x][:, None] < k[None, :]) & (is_open[x][:, None] | is_open[None, :]))
-                    i += m
-                    if len(i):
-                        two = mix(key[i].view(np.uint64) ^ mix(key[j].view(np.uint64) + SALTS[0])).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (two, np.full(len(i), node, np.int64), *(c[i] for c in (k, low, at, high)), *(c[j] for c in (k, low, at, high)))], names=["key", "node", *FIELDS, *(f"{f}2" for f in FIELDS)])
+def joinable(x: str, y: str, least: int) -> Column:
+    """Whether two windows have a passage's length in common where their minima lie upon each other."""
+    return F.least(f"{x}.left", f"{y}.left") + F.least(f"{x}.right", f"{y}.right") >= F.lit(least - DRIFT)
 
-    kinds = ", ".join(f"{f} int" for f in (*FIELDS, *(f"{f}2" for f in FIELDS)))
-    return texts.mapInArrow(tidy(combine), f"key long, node long, {kinds}")
 
+def by_pair(pairs: DataFrame) -> DataFrame:
+    """a, b, starts (at of a in the upper half, of b in the lower half) of a, b, at, at_b."""
+    return pairs.groupBy("a", "b").agg(F.collect_set(F.shiftleft(F.col("at").cast("long"), 32) + F.col("at_b")).alias("starts"))
 
-def open_groups(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of twofold whose group has several labels, with label and size, the group's rows."""
-    group = Window.partitionBy("key")
-    met_again = labelled(rows, known, ("at", "at2")).withColumns({"lo": F.min("label").over(group), "hi": F.max("label").over(group), "size": F.count("*").over(group)})
-    return cut(met_again.where("lo <> hi").drop("lo", "hi"), ROWS)
 
+def stars(shared: DataFrame, least: int) -> DataFrame:
+    """a, b, starts: each text with the first of those that have its minimum and a context of it."""
+    rows = dealt(shared, STARS).select("sub", F.struct("node", "at", "left", "right").alias("x"))
+    first = rows.groupBy("sub").agg(F.min("x").alias("y"), F.max("x.node").alias("hi")).where("y.node <> hi").drop("hi")
+    met = rows.join(first, "sub").where((F.col("x.node") != F.col("y.node")) & joinable("x", "y", least))
+    return by_pair(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.at").alias("at"), F.col("y.at").alias("at_b")))
 
-def row() -> Column:
-    return F.struct("node", *FIELDS, *(f"{f}2" for f in FIELDS))
 
+def places(links: DataFrame, least: int) -> DataFrame:
+    """node, from, to, component: where a text's known passages are, with a passage's length on both sides, and the component that their links make."""
+    ends = links.select(F.col("a").alias("node"), "begin", "end").union(links.select("b", "begin_b", "end_b")).distinct()
+    spans = merged(ends.withColumns({"begin": F.col("begin") - least, "end": F.col("end") + least}))
+    return cut(spans.join(components(links.select("a", "b")), "node").select("node", F.col("begin").alias("from"), F.col("end").alias("to"), "component"))
 
-def paired(one: str, other: str) -> list[Column]:
-    """a, b, w of two rows of twofold, given as structs that begin with node."""
-    x, y = F.greatest(one, other), F.least(one, other)
-    w = lambda n: F.struct(x[f"k{n}"].alias("k"), *(x[f"{f}{n}"].alias(f) for f in FIELDS[1:]), *(y[f"{f}{n}"].alias(f"{f}_b") for f in FIELDS[1:]))
-    return [x["node"].alias("a"), y["node"].alias("b"), F.array(w(""), w("2")).alias("w")]
 
+def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with label: the component of the text if at lies in or beside one of its known passages, else the node."""
+    within = (F.col("from") <= F.col("at")) & (F.col("at") < F.col("to"))
+    return rows.join(known.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & within, "left").withColumn("label", F.coalesce("component", "node")).drop("of", "from", "to", "component")
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """a, b, w: each row with the first and the one before of its group, in an order of the group's own."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node", "low", "low2")
-    seen = rows.select("key", "node", "low", "low2", "label", row().alias("here")).withColumns({"before": F.lag(F.struct("here", "label")).over(order), "first": F.first(F.struct("here", "label")).over(order)})
-    one = lambda other: seen.where(F.col(f"{other}.label") != F.col("label")).select("here", F.col(f"{other}.here").alias("there"))
-    return one("before").unionByName(one("first")).select(*paired("here", "there"))
 
+def open_groups(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (sub, node, at, left, right, context) whose group has several labels, with label and k, the group's rows."""
+    told = cut(labelled(rows, known), ROWS)
+    groups = told.groupBy("sub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("k")).where("lo <> hi")
+    out = cut(told.join(groups.select("sub", "k"), "sub"), ROWS)
+    discard(told)
+    return out
 
-def all_met(rows: DataFrame) -> DataFrame:
-    """a, b, w: every two rows of a group and of different labels. Large groups are spread over tasks."""
-    most = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("m")).select("key", F.col("m.label").alias("most"))
-    parts = F.ceil(F.col("size") / F.lit(HOT)).cast("int")
-    outside = rows.join(most, "key").where("label <> most").select("key", F.pmod(F.xxhash64("node", F.lit(5)), parts).cast("int").alias("part"), row().alias("here"), F.col("label").alias("la"), "most")
-    others = rows.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), row().alias("there"), F.col("label").alias("lb"))
-    once = (F.col("lb") == F.col("most")) | (F.col("here.node") < F.col("there.node"))  # of two rows outside, one of both orders
-    return outside.join(others, ["key", "part"]).where((F.col("la") != F.col("lb")) & (F.col("here.node") != F.col("there.node")) & once).select(*paired("here", "there"))
 
+def surroundings(places_: DataFrame, sequences: DataFrame, least: int) -> DataFrame:
+    """node, at, tokens: 16 bits (not 0) of each of the tokens around a place, as many before it as after; 0 beyond the text."""
+    reach = least + DRIFT
 
-def by_pair(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b", F.explode("w").alias("w")).groupBy("a", "b").agg(F.collect_set("w").alias("w"))
+    def take(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for node, ats, x in zip(batch.column("node").to_pylist(), batch.column("ats"), batch.column("sequence"), strict=True):
+                short = np.maximum(np.frombuffer(x.as_buffer(), dtype=np.uint32) & np.uint32(0xFFFF), 1).astype(np.uint16)
+                padded = np.r_[np.zeros(reach, np.uint16), short, np.zeros(reach, np.uint16)]
+                at = np.asarray(ats.values)
+                tokens = [padded[k : k + 2 * reach].tobytes() for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), node)), pa.array(at), pa.array(tokens, pa.binary())], names=["node", "at", "tokens"])
+
+    by_node = places_.select("node", "at").distinct().groupBy("node").agg(F.collect_list("at").alias("ats"))
+    return by_node.join(sequences, "node").mapInArrow(tidy(take), "node long, at int, tokens binary")
+
+
+def products(rows: DataFrame, around: DataFrame, least: int, percent: int, forest: bool) -> DataFrame:
+    """a, b, at, at_b: the candidates of different labels in one group; with forest those of a spanning forest of a batch's labels."""
+    blocks = F.ceil(F.col("k") / F.lit(BLOCK)).cast("int")
+    piece = F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")
+    at = F.transform(F.sequence(F.lit(0), blocks - 1), lambda q: F.struct(F.least("piece", q).alias("p"), F.greatest("piece", q).alias("q")))
+    names = ("sub", "p", "q", "piece", "node", "at", "left", "right", "context", "label", "tokens")
+    spread = rows.join(around, ["node", "at"]).withColumn("piece", piece).withColumn("unit", F.explode(at)).withColumns({"p": F.col("unit.p"), "q": F.col("unit.q")})
+    units = spread.select(*names).repartition(F.col("sub"), F.col("p"), F.col("q")).sortWithinPartitions("sub", "p", "q")
+
+    def multiply(batches):
+        import pyarrow as pa
 
+        for held, bounds in whole_units(batches, names, ("sub", "p", "q")):
+            held["tokens"] = np.ascontiguousarray(held["tokens"]).view(np.uint16)
+            found = candidates(held, bounds, least, percent, forest)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], names=["a", "b", "at", "at_b"])
+
+    return units.mapInArrow(tidy(multiply), "a long, b long, at long, at_b long")
 
-def anchors(w: np.ndarray, least: int, enough: int) -> np.ndarray:
-    """The windows (rows k, low, at, high, low_b, at_b, high_b) that `enough` hashes support in places that overlap on both sides."""
-    w = w[np.argsort(w[:, 1], kind="stable")]
-    good = np.zeros(len(w), dtype=bool)
-    for i in range(len(w)):
-        if enough <= 1:
-            good[i] = True
-            continue
-        both = np.minimum(w[i, 3], w[:, 3]) - np.maximum(w[i, 1], w[:, 1]) >= least
-        both &= np.minimum(w[i, 6], w[:, 6]) - np.maximum(w[i, 4], w[:, 4]) >= least
-        both &= np.abs((w[:, 5] - w[:, 2]) - (w[i, 5] - w[i, 2])) <= DRIFT
-        good[i] = len(np.unique(w[both, 0])) >= enough
-    return w[good]
+
+def near(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """For each two rows of surroundings, whether `least` tokens in a row that hold the middle are in enough places shared within SHIFTS.
+
+    So they must be among those that differ from the one before: a word over and over is one token of a set.
+    """
+    reach = x.shape[1] // 2
+    met = np.zeros(x.shape, dtype=bool)
+    for d in range(-SHIFTS, SHIFTS + 1):
+        mine = slice(max(0, -d), x.shape[1] - max(0, d))
+        theirs = slice(max(0, d), x.shape[1] - max(0, -d))
+        met[:, mine] |= (x[:, mine] == y[:, theirs]) & (x[:, mine] != 0)
+    fresh = np.ones(x.shape, dtype=bool)
+    fresh[:, 1:] = x[:, 1:] != x[:, :-1]
+    first = np.arange(max(0, reach - least + 1), reach + 1)
+
+    def within(mask: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(x), x.shape[1] + 1), dtype=np.int16)
+        np.cumsum(mask, axis=1, out=total[:, 1:])
+        return total[:, first + least] - total[:, first]
+
+    enough = within(met) >= -(-2 * least * percent // (100 + percent))
+    return (enough & ((100 + percent) * within(met & fresh).astype(np.int32) >= 2 * percent * within(fresh).astype(np.int32))).any(axis=1)
+
+
+def candidates(rows: dict[str, np.ndarray], bounds: np.ndarray, least: int, percent: int, forest: bool) -> np.ndarray:
+    """a, b, at, at_b (a row each) of the candidates among the rows between each two bounds, a > b."""
+    values, label = np.unique(rows["label"], return_inverse=True)
+    out = np.zeros((0, 7), np.int64)  # a, b, at, at_b, run, label of a, label of b
+    for i, j in pairs_within(bounds):
+        fine = (label[i] != label[j]) & (rows["node"][i] != rows["node"][j])
+        fine &= (rows["p"][i] == rows["q"][i]) | (rows["piece"][i] != rows["piece"][j])  # in a unit of two blocks one row of each
+        i, j = i[fine], j[fine]
+        run = runs(rows["context"][i], rows["context"][j])
+        common = np.minimum(rows["left"][i], rows["left"][j]) + np.minimum(rows["right"][i], rows["right"][j])
+        fine = (run >= RUN) & (common >= least - DRIFT)
+        i, j, run = i[fine], j[fine], run[fine]
+        for turned in (False, True):  # seen from either side
+            x, y = (j, i) if turned else (i, j)
+            fine = [near(rows["tokens"][x[k : k + ALIKE]], rows["tokens"][y[k : k + ALIKE]], least, percent) for k in range(0, len(x), ALIKE)]
+            fine = np.concatenate(fine or [np.zeros(0, bool)])
+            i, j, run = i[fine], j[fine], run[fine]
+        i, j = np.where(rows["node"][i] < rows["node"][j], (j, i), (i, j))
+        out = np.r_[out, np.stack([rows["node"][i], rows["node"][j], rows["at"][i], rows["at"][j], run, label[i], label[j]], axis=1)]
+        if forest:
+            out = out[np.lexsort((out[:, 1], out[:, 0], -out[:, 4]))]
+            out = out[spanning(len(values), out[:, 5], out[:, 6])]
+    # of a pair's places one for each shift, give or take DRIFT, which verification looks at together
+    _, once = np.unique(np.stack([out[:, 0], out[:, 1], (out[:, 3] - out[:, 2]) // DRIFT], axis=1), axis=0, return_index=True)
+    return out[np.sort(once), :4]
 
 
 def shared_places(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,6 +360,46 @@ def shared_places(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[np.ndarray,
     return i[order], j[order]
 
 
+class Matches:
+    """Equal shingles of two sequences: places (in x, in y) whose distance is a shift, give or take DRIFT, one for each place in x, by place in x."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+        order = np.argsort(y, kind="stable")
+        ordered = y[order]
+        low, high = np.searchsorted(ordered, x), np.searchsorted(ordered, x, side="right")
+        n = high - low
+        total = int(n.sum())
+        #: Whether all pairs of equal shingles are at hand; of texts that repeat themselves there may be too many.
+        self.known = total <= MATCHES * (len(x) + len(y))
+        if self.known:
+            self.i = np.repeat(np.arange(len(x)), n)
+            self.j = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)]
+        self.sets = self.known and n.max(initial=0) <= 1 and not (ordered[1:] == ordered[:-1]).any() and len(np.unique(x)) == len(x)
+
+    def alike(self, a: int, b: int, c: int, d: int, percent: int) -> bool:
+        """Whether x[a:b] and y[c:d] reach the similarity as sets."""
+        if not self.sets:
+            return alike(self.x[a:b], self.y[c:d], percent)
+        first, last = np.searchsorted(self.i, (a, b))
+        j = self.j[first:last]
+        both = int(((j >= c) & (j < d)).sum())
+        return 100 * both >= percent * (b - a + d - c - both)
+
+    def around(self, shift: int) -> tuple[np.ndarray, np.ndarray]:
+        if self.known:
+            fine = np.abs(self.j - self.i - shift) <= DRIFT
+            i, j = self.i[fine], self.j[fine]
+        else:
+            i, j = shared_places(self.x, self.y, shift)
+        if (i[1:] == i[:-1]).any():
+            nearest = np.lexsort((np.abs(j - i - shift), i))
+            i, j = i[nearest], j[nearest]
+            once = np.r_[True, i[1:] > i[:-1]]
+            i, j = i[once], j[once]
+        return i, j
+
+
 def longest_stretches(scores: np.ndarray) -> list[tuple[int, int]]:
     """(first, last) of the stretches of runs (even places; between them what they cost) whose sum is not negative, without those within others.
 
@@ -272,12 +407,10 @@ def longest_stretches(scores: np.ndarray) -> list[tuple[int, int]]:
     """
     total = np.r_[0, np.cumsum(scores)]
     later = np.maximum.accumulate(total[::-1])[::-1]  # the largest total from each place on: never rises
-    out: list[tuple[int, int]] = []
-    for u in range(0, len(scores), 2):
-        v = int(np.searchsorted(-later, -total[u], side="right")) - 2
-        if not out or v > out[-1][1]:
-            out.append((u, v))
-    return out
+    first = np.arange(0, len(scores), 2)
+    last = np.searchsorted(-later, -total[first], side="right") - 2
+    new = last > np.r_[-1, np.maximum.accumulate(last)[:-1]]
+    return list(zip(first[new].tolist(), last[new].tolist(), strict=True))
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -294,17 +427,14 @@ def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, perce
     enough is compared as sets, and where repeats make the sets less alike than the runs, its long runs are passages on their own.
     """
     out: list[tuple[int, int, int, int]] = []
+    matches = Matches(x, y)
     for shift in np.unique(starts[:, 1] - starts[:, 0]).tolist():
         mine = starts[starts[:, 1] - starts[:, 0] == shift]
         if all(any(p[0] <= m[0] < p[1] and p[2] <= m[1] < p[3] for p in out) for m in mine):
             continue  # within passages that are known
-        i, j = shared_places(x, y, shift)
+        i, j = matches.around(shift)
         if len(i) < least * percent // 100:
             continue
-        nearest = np.lexsort((np.abs(j - i - shift), i))
-        i, j = i[nearest], j[nearest]
-        once = np.r_[True, np.diff(i) > 0]
-        i, j = i[once], j[once]
         step, step_b = np.diff(i), np.diff(j)
         edges = np.flatnonzero((step != 1) | (step_b != 1))
         first, last = np.r_[0, edges + 1], np.r_[edges, len(i) - 1]
@@ -315,22 +445,25 @@ def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, perce
         for u, v in longest_stretches(scores):
             runs = range(u // 2, v // 2 + 1)
             whole = (int(i[first[u // 2]]), int(i[last[v // 2]]) + 1, int(j[first[u // 2]]), int(j[last[v // 2]]) + 1)
-            some = [whole] if len(runs) == 1 or alike(x[whole[0] : whole[1]], y[whole[2] : whole[3]], percent) else [(int(i[first[r]]), int(i[last[r]]) + 1, int(j[first[r]]), int(j[last[r]]) + 1) for r in runs]
+            some = [whole] if len(runs) == 1 or matches.alike(*whole, percent) else [(int(i[first[r]]), int(i[last[r]]) + 1, int(j[first[r]]), int(j[last[r]]) + 1) for r in runs]
             out += [p for p in some if min(p[1] - p[0], p[3] - p[2]) >= least and p not in out]
     return out
 
 
-def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = SIMILARITY, n_hashes: int = HASHES, enough: int = ENOUGH) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = SIMILARITY, n_hashes: int = HASHES) -> DataFrame:
     """doc_id, start and end (in words, end exclusive), component_id: each passage of a document that near-repeats in another one.
 
     Passages of a document that overlap are one row. component_id is the smallest doc_id that
     can be reached by shared passages.
     """
     least = words - WORDS + 1
-    told, found = windows(docs, least, n_hashes)
-    told = cut(told, ROWS)
+    every = cut(described(docs, least, n_hashes), ROWS)
+    shared = shared_windows(every)
+    told = cut(every.where("doc_id IS NOT NULL").select("doc_id", "node", "n").distinct(), ROWS)
+    discard(every)
     classes = told.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    links = all_links(grouped(found), docs, classes, least, percent, enough)
+    links = all_links(shared, docs, classes, least, percent)
+    discard(shared)
     spans = links.select(F.col("a").alias("node"), "begin", "end").union(links.select("b", "begin_b", "end_b"))
     spans = spans.union(classes.where("copies > 1").select("node", F.lit(0), F.col("n").cast("int")))
     spans = merged(spans.distinct())
@@ -341,17 +474,26 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = SIMI
     return told.join(by_node, "node").select("doc_id", F.col("begin").cast("long").alias("start"), (F.col("end") + F.lit(WORDS - 1)).cast("long").alias("end"), "component_id")
 
 
-def all_links(shared: DataFrame, docs: DataFrame, classes: DataFrame, least: int, percent: int, enough: int) -> DataFrame:
-    """The verified passages: of neighbours first, then of all supported pairs whose places are not in one component by then."""
-    check = lambda pairs: cut(verified(cut(supported(pairs, least, enough), ROWS), docs, classes, least, percent), ROWS)
-    links = check(met(shared))
-    known = places(links)
-    rows = open_groups(twofold(shared, known, least, enough), known)
-    small, large = rows.where(F.col("size") <= HOT), rows.where(F.col("size") > HOT)
-    links = links.unionByName(check(by_pair(all_met(small).unionByName(neighbours(large)))))
+def all_links(shared: DataFrame, docs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
+    """The verified passages: of stars, of forests of the candidates that are apart then, and of all candidates that are still apart."""
+    sequences = sequences_for(shared.select("node").distinct(), docs, classes, least)
+    pairs = cut(stars(shared, least), ROWS)
+    links = verified(pairs, sequences, least, percent)
+    known = places(links, least)
+    columns = ("sub", "node", "at", "left", "right", "context")
+    opened = open_groups(dealt(shared, HALVES).select(*columns), known)
+    around = cut(surroundings(opened, sequences, least), ROWS)
+    small, large = opened.where(F.col("k") <= LARGE), opened.where(F.col("k") > LARGE)
+    found = products(small, around, least, percent, False).unionByName(products(large, around, least, percent, True))
+    more = cut(by_pair(found).join(pairs, ["a", "b"], "left_anti"), ROWS)
+    links = links.unionByName(verified(more, sequences, least, percent))
     if not large.isEmpty():
-        left = open_groups(large.drop("label", "size"), places(links))
-        links = links.unionByName(check(by_pair(all_met(left))))
+        pairs = pairs.select("a", "b").unionByName(more.select("a", "b"))
+        left = open_groups(large.select(*columns), places(links, least))
+        rest = cut(by_pair(products(left, around, least, percent, False)).join(pairs, ["a", "b"], "left_anti"), ROWS)
+        links = links.unionByName(verified(rest, sequences, least, percent))
+    for done in (known, opened, around, sequences):
+        discard(done)
     return links
 
 
@@ -362,30 +504,8 @@ def merged(spans: DataFrame) -> DataFrame:
     return spans.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order)).groupBy("node", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("run")
 
 
-def supported(pairs: DataFrame, least: int, enough: int) -> DataFrame:
-    """a, b, starts: pairs that enough hashes support, with the places that they share."""
-
-    def test(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            a, b, starts = [], [], []
-            for x, y, w in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("w"), strict=True):
-                rows = np.stack([np.asarray(w.values.field(f)).astype(np.int64) for f in ("k", "low", "at", "high", "low_b", "at_b", "high_b")], axis=1)
-                good = anchors(rows, least, enough)
-                if len(good):
-                    a.append(x)
-                    b.append(y)
-                    starts.append(good[:, [2, 5]].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(starts, pa.binary())], names=["a", "b", "starts"])
-
-    by_several = F.size(F.array_distinct(F.transform("w", lambda w: w["k"]))) >= enough
-    return pairs.where(by_several).mapInArrow(tidy(test), "a long, b long, starts binary")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """a, begin, end, b, begin_b, end_b (in shingles) of every verified passage of the pairs."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def sequences_for(nodes: DataFrame, docs: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """node, sequence: 32 bits of each token of the nodes' texts, in order."""
     wanted = cut(nodes.join(classes, "node").select(F.col("first").alias("doc_id")).distinct())
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
@@ -395,7 +515,21 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: int,
         for batch in batches:
             for _, hashes, at, long_ in sequences_of(batch.column("text"), least):
                 parts = [hashes[at[k] : at[k + 1]] for k in long_]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(p) for p in parts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["node", "sequence"])
+                halves = [(p >> np.uint64(32)).astype(np.uint32).tobytes() for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(p) for p in parts], pa.int64()), pa.array(halves, pa.binary())], names=["node", "sequence"])
+
+    out = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(tidy(whole), "node long, sequence binary"), ROWS)
+    discard(wanted)
+    rows, distinct = out.agg(F.count("*"), F.count_distinct("node")).first()
+    if rows == distinct:
+        return out
+    once = cut(out.dropDuplicates(["node"]), ROWS)  # only rows that repeat a doc_id
+    discard(out)
+    return once
+
+
+def verified(pairs: DataFrame, sequences: DataFrame, least: int, percent: int) -> DataFrame:
+    """a, begin, end, b, begin_b, end_b (in shingles) of every verified passage of the pairs."""
 
     def compare(batches):
         import pyarrow as pa
@@ -404,14 +538,14 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, least: int,
             rows = []
             values = [batch.column(c) for c in ("a", "b", "starts", "x", "y")]
             for a, b, starts, x, y in zip(*values, strict=True):
-                seq = [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y)]
-                for p in passages(*seq, np.frombuffer(starts.as_buffer(), dtype=np.int32).reshape(-1, 2), least, percent):
+                seq = [np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y)]
+                at = np.sort(np.asarray(starts.values))
+                for p in passages(*seq, np.stack([at >> 32, at & 0xFFFFFFFF], axis=1), least, percent):
                     rows.append((a.as_py(), *p[:2], b.as_py(), *p[2:]))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "begin", "end", "b", "begin_b", "end_b"])
 
-    sequences = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(tidy(whole), "node long, sequence binary").dropDuplicates(["node"]), ROWS)
     left = pairs.join(sequences.select(F.col("node").alias("a"), F.col("sequence").alias("x")), "a")
     both = left.join(sequences.select(F.col("node").alias("b"), F.col("sequence").alias("y")), "b").select("a", "b", "starts", "x", "y")
-    return both.mapInArrow(tidy(compare), "a long, begin int, end int, b long, begin_b int, end_b int")
+    return cut(both.mapInArrow(tidy(compare), "a long, begin int, end int, b long, begin_b int, end_b int"), ROWS)

@@ -122,3 +122,118 @@ def test_links_near_copies_in_large_groups(spark):
     component = {r.doc_id: r.component_id for r in got}
     fine = [i for i in range(0, 200, 2) if i in component and component[i] == component.get(i + 1)]
     assert len(fine) >= 95, len(fine)
+
+
+def phrased(rng, phrase, n=100, passage=54):
+    """n pairs of documents; each pair shares a passage word for word, and all passages hold one phrase of so many words."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    stock, rows = [word() for _ in range(phrase)], []
+    for i in range(0, 2 * n, 2):
+        before = rng.randint(0, passage - phrase)
+        shared = [word() for _ in range(before)] + stock + [word() for _ in range(passage - phrase - before)]
+        rows += [(i + k, " ".join([word() for _ in range(rng.randint(5, 60))] + shared + [word() for _ in range(rng.randint(5, 60))])) for k in (0, 1)]
+    return rows
+
+
+def test_a_common_phrase_hides_no_copied_passage(spark):
+    rng = random.Random(11)
+    for phrase in (0, 24, 34):
+        got = {r.doc_id: r.component_id for r in C.repeated_passages(spark.createDataFrame(phrased(rng, phrase), "doc_id long, text string").repartition(3)).collect()}
+        fine = [i for i in range(0, 200, 2) if i in got and got[i] == got.get(i + 1)]
+        assert len(fine) >= 95, (phrase, len(fine))
+
+
+def test_recall_of_near_copies_against_brute_force(spark):
+    """Passages of 50 to 70 words with one changed word, some with a common phrase: what a comparison of all pairs links is linked."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    stock, texts = [word() for _ in range(20)], []
+    for _ in range(60):
+        p = [word() for _ in range(rng.randint(50, 70))]
+        if rng.random() < 0.5:
+            at = rng.randint(0, len(p) - 20)
+            p[at : at + 20] = stock
+        q = p[:]
+        q[rng.randrange(len(q))] = word()
+        texts += [[word() for _ in range(rng.randint(0, 30))] + x + [word() for _ in range(rng.randint(0, 30))] for x in (p, q)]
+
+    def linked(x, y):
+        grams = [[tuple(t[k : k + 5]) for k in range(len(t) - 4)] for t in (x, y)]
+        for n in range(46, 70):
+            for a in range(len(grams[0]) - n + 1):
+                p = set(grams[0][a : a + n])
+                for b in range(len(grams[1]) - n + 1):
+                    if grams[0][a] == grams[1][b] or grams[0][a + n - 1] == grams[1][b + n - 1]:
+                        q = set(grams[1][b : b + n])
+                        if 5 * len(p & q) >= 4 * len(p | q):
+                            return True
+        return False
+
+    want = [i for i in range(0, 120, 2) if linked(texts[i], texts[i + 1])]
+    assert len(want) >= 50
+    got = {r.doc_id: r.component_id for r in C.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    fine = [i for i in want if i in got and got[i] == got.get(i + 1)]
+    assert len(fine) >= 0.95 * len(want), (len(fine), len(want))
+    assert all(got[i] >= 2 * (i // 2) for i in got)  # no strangers in one component
+
+
+def test_contexts_and_runs_match_brute_force():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 2**62, 300).astype(np.uint64)
+    y = x.copy()
+    y[[40, 100, 180]] = rng.integers(0, 2**62, 3)
+    at = np.arange(300)
+    zero, end = np.zeros(300, np.int64), np.full(300, 300)
+    got = C.runs(C.contexts(x, at, zero, end, zero + 1), C.contexts(y, at, zero, end, zero + 2))
+
+    def level(equal):
+        n = 0
+        for step in C.LEVELS:
+            if not equal(step):
+                break
+            n = step
+        return n
+
+    want = [level(lambda n: k + n <= 300 and (x[k : k + n] == y[k : k + n]).all()) + level(lambda n: k >= n and (x[k - n : k] == y[k - n : k]).all()) for k in at]
+    assert (got >= want).all() and (got == want).mean() > 0.85  # four bits may agree by chance, and then more is compared
+
+
+def test_minima_of_many_texts_need_no_window(spark, monkeypatch):
+    docs, planted = corpus(6)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    found = lambda: {(r.doc_id, r.component_id) for r in C.repeated_passages(frame).collect()}
+    want = found()
+    monkeypatch.setattr(C, "HOT", 3)
+    monkeypatch.setattr(C, "BLOCK", 4)
+    monkeypatch.setattr(C, "LARGE", 2)
+    assert found() == want and {d for d, _ in want} == set(planted)
+
+
+def test_equal_minima_in_one_text(spark):
+    """A text of one word has one token over and over; its spans are those of the shorter of two such texts."""
+    got = C.repeated_passages(spark.createDataFrame([(1, "w " * 3000), (2, "w " * 2000), (3, "v " * 2000)], "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == {1, 2} and {r.component_id for r in got} == {1}
+    assert all(r.end - r.start >= 50 for r in got)
+
+
+def test_matches_are_the_same_by_look_up_and_by_shifts(monkeypatch):
+    rng = np.random.default_rng(7)
+    y = rng.permutation(400).astype(np.uint32)
+    x = np.r_[1000 + np.arange(30), y[20:200], 2000 + np.arange(3), y[203:350]].astype(np.uint32)
+    found = C.Matches(x, y)
+    assert found.known and found.sets
+    for a, b, c, d in ((0, 100, 0, 100), (30, 210, 20, 200), (30, 357, 20, 350), (0, 357, 0, 400), (200, 300, 190, 280)):
+        assert found.alike(a, b, c, d, 80) == C.alike(x[a:b], y[c:d], 80)
+    again = np.r_[y[:50], y, y[30:60]]
+    for other in (y, again, np.zeros(300, np.uint32)):
+        held = C.Matches(x, other)
+        monkeypatch.setattr(C, "MATCHES", 0)
+        looked = C.Matches(x, other)
+        monkeypatch.undo()
+        assert held.known and not looked.known or not len(held.i)
+        for shift in (-10, 0, 40):
+            i, j = held.around(shift)
+            p, q = looked.around(shift)
+            assert (i == p).all() and (np.abs(j - i - shift) == np.abs(q - p - shift)).all()
+    alike = np.zeros(4000, np.uint32)
+    assert not C.Matches(alike, alike).known and C.passages(alike, alike, np.array([[5, 5]]), 46, 80)

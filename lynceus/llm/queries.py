@@ -18,10 +18,6 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.report(table(spark, sf_dir, "documents"))
 
 
-def op2_line_dedup_proven(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_spread.report(table(spark, sf_dir, "documents"), proven=True)
-
-
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -105,16 +101,18 @@ WITH lines AS (
 ), judged AS (
   SELECT e.*, e.worded AND s.k IS NOT NULL AS gone FROM keyed e LEFT JOIN spread s ON e.k = s.k
 ), texts AS (
-  SELECT rn, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
-         coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS c_gone, coalesce(sum(length(line)) FILTER (WHERE worded), 0) AS c_all,
+  SELECT rn, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone, any_value(site) AS site,
+         list(k ORDER BY i) FILTER (WHERE worded) AS sequence, coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS c_gone,
          coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS clean
   FROM judged GROUP BY rn
+), copied AS (
+  SELECT sequence FROM texts WHERE n_lines > 0 GROUP BY sequence HAVING count(DISTINCT site) >= 10
+), decided AS (
+  SELECT t.*, c.sequence IS NULL AND n_gone > 0 AS loses FROM texts t LEFT JOIN copied c ON t.sequence = c.sequence
 )
-SELECT doc_id, n_lines::BIGINT AS n_lines,
-       CASE WHEN 100 * c_gone <= 50 * c_all THEN n_gone ELSE 0 END::BIGINT AS n_removed,
-       CASE WHEN 100 * c_gone <= 50 * c_all THEN c_gone ELSE 0 END::BIGINT AS n_chars_removed,
-       md5(CASE WHEN n_gone > 0 AND 100 * c_gone <= 50 * c_all THEN clean ELSE text END) AS clean_md5
-FROM lines JOIN texts USING (rn)
+SELECT doc_id, n_lines::BIGINT AS n_lines, CASE WHEN loses THEN n_gone ELSE 0 END::BIGINT AS n_removed,
+       CASE WHEN loses THEN c_gone ELSE 0 END::BIGINT AS n_chars_removed, md5(CASE WHEN loses THEN clean ELSE text END) AS clean_md5
+FROM lines JOIN decided USING (rn)
 """
 
 
@@ -155,7 +153,7 @@ FROM v LEFT JOIN least_one r ON r.vec_id = v.vec_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op2_line_dedup_proven, op3_substring_dedup, op4_quality_classifier, op5_pii, op6_token_counts, op7_mixing, op8_ngram_join, op9_embedding_dedup, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_substring_dedup, op4_quality_classifier, op5_pii, op6_token_counts, op7_mixing, op8_ngram_join, op9_embedding_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,11 +5,14 @@ from collections import defaultdict
 from lynceus.llm import line_spread as L
 
 
-def brute(rows, sites, most=50):
-    spread = defaultdict(set)
+def brute(rows, sites):
+    """What op2 is by its rule: lines on `sites` sites go, but not from texts whose whole sequence of lines is on as many."""
+    spread, whole = defaultdict(set), defaultdict(set)
     trim = lambda line: line.strip(L.TRIMMED)
     has = lambda line: bool(re.search(r"[^\x20\x09-\x0D]", line))
+    sequence = lambda t: tuple(trim(x) for x in (t or "").split("\n") if has(x))
     for _, t, s in rows:
+        whole[sequence(t)].add(s or "")
         for line in (t or "").split("\n"):
             if has(line):
                 spread[trim(line)].add(s or "")
@@ -18,7 +21,7 @@ def brute(rows, sites, most=50):
         lines = (t or "").split("\n")
         gone = [x for x in lines if has(x) and len(spread[trim(x)]) >= sites]
         every = [x for x in lines if has(x)]
-        if t is None or not gone or 100 * sum(map(len, gone)) > most * sum(map(len, every)):
+        if t is None or not gone or len(whole[sequence(t)]) >= sites:
             out.append((d, len(every), 0, 0, t))
         else:
             out.append((d, len(every), len(gone), sum(map(len, gone)), "\n".join(x for x in lines if not (has(x) and len(spread[trim(x)]) >= sites))))
@@ -61,5 +64,19 @@ def test_short_pages_of_boilerplate_are_cleaned_and_copies_stay(spark):
     rows += [(100 + i, f"a copied page {i // 12}\nwith two lines of its own", f"s{i % 12}") for i in range(24)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     for limit in (0, 1000):
-        got = {r.doc_id: r.clean for r in L.removed(docs, broadcast_texts=limit, proven=True).select("row.doc_id", "clean").collect()}
+        got = {r.doc_id: r.clean for r in L.removed(docs, broadcast_texts=limit).select("row.doc_id", "clean").collect()}
         assert got == {d: f"own {d}" if d < 100 else t for d, t, _ in rows}
+
+
+def test_texts_of_boilerplate_alone_are_emptied(spark):
+    rows = [(i, f"All rights reserved\nown {i}", f"s{i}") for i in range(12)]
+    rows += [(50, "All rights reserved", "s1"), (51, "All rights reserved\n\nAll rights reserved", "s2"), (52, "All rights reserved\n" * 40, "s3")]
+    got = {r.doc_id: (r.clean, r.n_removed) for r in L.removed(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("row.doc_id", "clean", "n_removed").collect()}
+    assert got[50] == ("", 1) and got[51] == ("", 2) and got[52] == ("", 40) and got[3] == ("own 3", 1)
+
+
+def test_bytes_bound_what_is_broadcast(spark, monkeypatch):
+    hits = spark.createDataFrame([(i, list(range(100))) for i in range(10)], "whole long, keys array<long>")
+    assert L.small(hits, 10) and not L.small(hits, 9)
+    monkeypatch.setattr(L, "BROADCAST_BYTES", 8000)
+    assert not L.small(hits, 10)

@@ -7,13 +7,15 @@ evenest mix that neither exceeds the target entropy nor repeats a source more of
 A source's quota of the budget is realised as whole passes over its documents and one part of a
 pass. Documents lie in blocks of bounded size by a hash; each pass permutes a source's blocks and the documents of
 a block. The part of a pass takes blocks in their order while the quota lasts, and documents of the
-block in which it ends. No window is larger than a block or a source's list of blocks, so a source with a
-third of all documents is spread like any other.
+block in which it ends. Of equal rows beyond a few, each gets its block by its place in the table, so many copies fill many blocks.
+The order of a source's blocks is cut into stretches of at most about `STRETCH` blocks, which are ranked each on its own. So no
+window is larger than a block, a stretch or a list of stretches, and a source with a third of all documents is spread like any other.
 
 Native operations only. Tokens are words and one for the end of a document.
 
 Defined results: a null source is a source of its own; null and empty texts have one token; null
-doc_ids and repeated rows are mixed like others (rows equal in id and text share a block). An empty table gives no rows.
+doc_ids and repeated rows are mixed like others. An empty table gives no rows. A very long text is one document, taken whole or not.
+The table is read more than once and must have its rows in the same places each time, as files have.
 Columns of the input may have any names: scratch columns live beside a struct of the row.
 """
 
@@ -31,6 +33,7 @@ ENTROPY = 0.95
 #: How often a source may be passed over, with a budget that takes the least repeated source once.
 REPEATS = 2.0
 BLOCK_DOCS = 2048
+STRETCH = 65_536
 HALVINGS = 5
 ROUNDS = 6
 SEED = 17
@@ -100,17 +103,27 @@ def planned(docs: DataFrame, keep: list[str], entropy: float, repeats: float, bu
     """
     src = F.coalesce(F.col(site).cast("string"), F.lit(""))
     tokens = (F.size(words(F.col(text))) + 1).cast("long")
-    rows = docs.select(F.struct(*keep).alias("row"), src.alias("src"), tokens.alias("tokens"), F.xxhash64("doc_id", text).alias("id"))
+    rows = docs.select(F.struct(*keep).alias("row"), src.alias("src"), tokens.alias("tokens"), F.xxhash64("doc_id", text).alias("id"), F.monotonically_increasing_id().alias("place"))
+    often = cut(rows.groupBy("id").agg(F.count("*").alias("copies")).where(F.col("copies") > max(1, block_docs // 16)).select("id", F.lit(True).alias("often")))
+    rows = rows.join(small(often), "id", "left").withColumn("of", F.when(F.col("often"), F.xxhash64("id", "place")).otherwise(F.col("id"))).drop("often", "place")
     by_source = cut(sources(rows.select("src", "tokens")))
     plan = cut(weights(by_source, exponent(by_source, entropy, repeats), budget).withColumn("blocks", F.ceil(F.col("docs") / F.lit(block_docs)).cast("int")))
-    placed = rows.join(small(plan.select("src", "blocks")), "src").withColumn("block", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks"))).drop("blocks")
+    placed = rows.join(small(plan.select("src", "blocks")), "src").withColumn("block", F.pmod(F.xxhash64("of", F.lit(SEED)), F.col("blocks"))).drop("blocks")
 
     # blocks of each pass in their order; `ahead` is what lies before a block in its pass
-    sums = placed.groupBy("src", "block").agg(F.sum("tokens").alias("block_tokens")).join(small(plan.select("src", "full", "rest")), "src")
+    sums = placed.groupBy("src", "block").agg(F.sum("tokens").alias("block_tokens")).join(small(plan.select("src", "full", "rest", "blocks")), "src")
     last_pass = F.when(F.col("rest") > 0, F.col("full")).otherwise(F.col("full") - 1)
     passes = sums.where(last_pass >= 0).withColumn("pass", F.explode(F.sequence(F.lit(0), last_pass)))
-    order = Window.partitionBy("src", "pass").orderBy(chance("block", "pass"), "block")
-    ranked = passes.withColumn("block_rank", F.row_number().over(order)).withColumn("ahead", F.sum("block_tokens").over(order) - F.col("block_tokens"))
+    # a stretch holds the blocks whose chance lies in one part of its range
+    part = (chance("block", "pass").cast("double") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("blocks") / F.lit(STRETCH))
+    passes = passes.withColumn("stretch", F.floor(part).cast("int"))
+    in_order = Window.partitionBy("src", "pass").orderBy("stretch")
+    stretches = passes.groupBy("src", "pass", "stretch").agg(F.sum("block_tokens").alias("t"), F.count("*").alias("c"))
+    stretches = stretches.select("src", "pass", "stretch", (F.sum("t").over(in_order) - F.col("t")).alias("tokens_before"), (F.sum("c").over(in_order) - F.col("c")).alias("blocks_before"))
+    order = Window.partitionBy("src", "pass", "stretch").orderBy(chance("block", "pass"), "block")
+    ranked = passes.withColumn("rank", F.row_number().over(order)).withColumn("upto", F.sum("block_tokens").over(order))
+    ranked = ranked.join(small(cut(stretches)), ["src", "pass", "stretch"])
+    ranked = ranked.withColumn("block_rank", F.col("rank") + F.col("blocks_before")).withColumn("ahead", F.col("upto") + F.col("tokens_before") - F.col("block_tokens"))
     left = F.when(F.col("pass") == F.col("full"), F.col("rest") - F.col("ahead"))
     ranked = ranked.withColumn("left", left).where(F.col("left").isNull() | (F.col("left") > 0))
     ranked = ranked.select("src", "block", "pass", "block_rank", F.when(F.col("left") < F.col("block_tokens"), F.col("left")).alias("left"))

@@ -86,3 +86,22 @@ def test_passes_differ_in_order(docs):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.drawn(none).count() == 0 and M.remixed(none).count() == 0
+
+
+def test_equal_rows_fill_many_blocks(spark):
+    rows = spark.range(5000).selectExpr("5L AS doc_id", "'same text' AS text", "'s' AS source").repartition(3)
+    sizes = [r["count"] for r in M.drawn(rows, block_docs=64).groupBy("block_rank").count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) > 60 and max(sizes) < 200
+    assert M.remixed(rows, block_docs=64).count() == 5000
+
+
+def test_stretches_leave_the_order_as_it_is(docs, monkeypatch):
+    want = sorted(map(tuple, M.drawn(docs, budget=3000, block_docs=4).collect()), key=str)
+    monkeypatch.setattr(M, "STRETCH", 3)
+    assert sorted(map(tuple, M.drawn(docs, budget=3000, block_docs=4).collect()), key=str) == want
+
+
+def test_a_very_long_text_is_one_document(spark):
+    rows = spark.createDataFrame([(1, "w " * 400_000, "a"), (2, "w " * 300_000, "b"), (3, "w", "b")], "doc_id long, text string, source string")
+    got = M.drawn(rows).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {1: 400_001, 2: 300_001, 3: 2}

@@ -211,13 +211,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled documents that are not held out.
 
     The labels are cut to `sample` rows by a hash of their id before the join, so what is
-    broadcast has a bound, and the joined rows are cut again since doc_ids may repeat.
+    broadcast has a bound, and the joined rows are cut again by a hash of their values since doc_ids may repeat.
     """
     usable = labels.where(F.col("quality").isNotNull() & (fold(F.col("doc_id")) != 0)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_q"))
     some = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id", "_q").limit(sample))
     joined = docs.select("doc_id", "text").join(some, F.col("doc_id") == F.col("_id"))
     measured = joined.select("doc_id", "_q", statistics(F.col("text")).alias("_s"))
-    rows = measured.select("doc_id", "_q", *(F.col("_s")[n].alias(n) for n in NAMES)).limit(2 * sample).toPandas()
+    values = ["doc_id", "_q", *NAMES]
+    rows = measured.select("doc_id", "_q", *(F.col("_s")[n].alias(n) for n in NAMES)).orderBy(F.xxhash64(*values), *values).limit(2 * sample).toPandas()
     rows = rows.sort_values(["doc_id", "_q", *NAMES], ignore_index=True)
     return fit(rows[list(NAMES)].to_numpy(np.float64).reshape(-1, len(NAMES)), rows["_q"].to_numpy())
 

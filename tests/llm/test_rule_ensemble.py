@@ -62,3 +62,41 @@ def test_lasso_zeroes_noise():
     y = (z[:, 0] ^ (rng.random(400) < 0.05)).astype(float)
     _, w = E.lasso(z, y, penalty=0.03)
     assert w[0] > 1 and (w != 0).sum() <= 3
+
+
+def test_repeated_ids_beyond_the_sample_give_one_model(spark):
+    """Ties of ids and texts: which rows are taken doesn't depend on how they lie in partitions."""
+    rows = [(i % 20, ("good words in a plain sentence. " if i % 2 else "$$ ## $$ ") * (1 + i % 13)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 2, "doc_id long, quality int")
+    models = [E.train(docs.repartition(n, "text"), labels.repartition(n), sample=20) for n in (1, 3, 7)]
+    assert models[0] == models[1] == models[2]
+
+
+def test_lasso_reaches_the_optimum():
+    """Against plain coordinate search: no small step on any weight lowers the loss."""
+    rng = np.random.default_rng(1)
+    z = (rng.random((300, 6)) < 0.4).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(-(2 * z[:, 0] - 1.5 * z[:, 1])))).astype(float)
+    penalty = 0.01
+
+    def loss(b, w):
+        m = b + z @ w
+        return np.mean(np.logaddexp(0, m) - y * m) + penalty * np.abs(w).sum()
+
+    b, w = E.lasso(z, y, penalty, steps=4000)
+    best = loss(b, w)
+    for k in range(6):
+        for d in (-0.01, 0.01):
+            v = w.copy()
+            v[k] += d
+            assert loss(b, v) >= best - 1e-7
+    assert min(loss(b - 0.01, w), loss(b + 0.01, w)) >= best - 1e-7
+
+
+def test_paths_split_as_brute_force_does():
+    """The first split of a tree is the threshold that separates best."""
+    x = np.array([[k, (7 * k) % 10] for k in range(10)], dtype=float)
+    y = (x[:, 0] >= 4).astype(float)
+    model = E.fit(np.repeat(x, 20, axis=0), np.repeat(y, 20), names=("a", "b"))
+    assert ((model.scores(x, ("a", "b")) >= 0.5) == (y == 1)).all()

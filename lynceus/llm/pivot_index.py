@@ -1,8 +1,10 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A bounded sample of the vectors serves as pivots. Each vector is described by its nearest pivots
-in order; it enters the inverted list of every pair of its `NEAREST` nearest ones, so two vectors
-that meet in a list share at least two pivots. Lists are cut into blocks and each pair of blocks is
+A bounded sample of the vectors serves as pivots, as many as the root of the number of vectors asks for, so that
+pairs that meet stay far below all pairs. Each vector is described by its nearest pivots
+in order; it enters the inverted list of every pair of its nearest ones, so two vectors
+that meet in a list share at least two pivots: a candidate's shared-pivot count is two or more. The more pivots, the longer the
+part of the permutation that is read (`nearest_of`), which keeps recall. Lists are cut into blocks and each pair of blocks is
 one unit of work: the dot products of a block pair are one matrix product, and pairs at or above
 the cosine are links. A pair that shares several lists is counted in the first of them alone, so
 links add up without being listed, and each block pair hands on a spanning forest, not its pairs.
@@ -11,8 +13,9 @@ Equal vectors are one class before any of that, with a number of members; so tho
 single row of the index. Within a list a hot group is split over `BLOCK`-sized blocks.
 
 Defined results: a vector that is null, empty or all 0, or that has null or non-finite components, or whose
-length differs from most vectors', links with nothing: 0 links, its own component, kept. A null
+length differs from most vectors', links with nothing: 0 links, its own component. A null
 vec_id links with nothing and has a null component. Repeated rows count as vectors of their own.
+kept is vec_id = component_id, so null without a vec_id.
 Cosines are computed in double precision on the given components.
 """
 
@@ -21,18 +24,23 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .columns import cut
+from .blocks import spanning
+from .columns import cut, discard
 from .components import components
 from .worker import tidy
 
 COSINE = 0.9
-#: Candidates for pivots are the distinct vectors of the smallest hashes: the only sample there is.
+#: Candidates for pivots are the distinct vectors of the smallest hashes, of so many components together at most: the only sample there is.
 SAMPLE = 2048
+SAMPLE_VALUES = 1 << 23
 #: Of those, in order, the first so many that are not too near an earlier pivot: pivots within one
-#: group of near copies would order its members by chance.
-PIVOTS = 192
+#: group of near copies would order its members by chance. Up to PIVOTS_FROM vectors there are PIVOTS, for four times
+#: as many vectors twice as many, and MOST_PIVOTS at most.
+PIVOTS, PIVOTS_FROM, MOST_PIVOTS = 192, 50_000, 4096
 APART = 0.7
+#: Nearest pivots that are read of PIVOTS; with each doubling of the pivots one more.
 NEAREST = 6
 BLOCK = 1024
 
@@ -58,6 +66,14 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def pivots_for(vectors: int) -> int:
+    return min(MOST_PIVOTS, max(PIVOTS, round(PIVOTS * (vectors / PIVOTS_FROM) ** 0.5)))
+
+
+def nearest_of(pivots: int) -> int:
+    return NEAREST + max(0, round(np.log2(pivots / PIVOTS)))
+
+
 def matrix(column, n: int) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten(), dtype=np.float64).reshape(n, -1)
 
@@ -70,8 +86,8 @@ def apart(candidates: np.ndarray, pivots: int) -> np.ndarray:
     return chosen
 
 
-def listed(found: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
-    """list, node, members, keys (all lists of the node, in order), v: an index entry for each list."""
+def listed(found: DataFrame, pivots: np.ndarray, nearest: int, kind: str) -> DataFrame:
+    """list, node, members, keys (all lists of the node, in order), v (its components as given, of the kind `kind`): an index entry for each list."""
     n_pivots = len(pivots)
     near = min(nearest, n_pivots)
     i, j = np.triu_indices(near, 1) if near > 1 else (np.zeros(1, int), np.zeros(1, int))
@@ -83,7 +99,9 @@ def listed(found: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
             n = batch.num_rows
             if not n:
                 continue
-            u = unit(matrix(batch.column("v"), n))
+            given = matrix(batch.column("v"), n)
+            u = unit(given)
+            given = given.astype(kind)
             top = np.argsort(-(u @ pivots.T), axis=1, kind="stable")[:, :near]
             low, high = np.minimum(top[:, i], top[:, j]), np.maximum(top[:, i], top[:, j])
             keys = np.sort(low * n_pivots + high, axis=1).astype(np.int32)
@@ -91,7 +109,7 @@ def listed(found: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
                 part = keys[a : a + 2048]
                 row = np.repeat(np.arange(len(part)), part.shape[1])
                 own = pa.array([k.tobytes() for k in part], pa.binary())
-                vec = pa.array([x.tobytes() for x in u[a : a + 2048]], pa.binary())
+                vec = pa.array([x.tobytes() for x in given[a : a + 2048]], pa.binary())
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part.ravel()), *(batch.column(c).slice(a, len(part)).take(at) for c in ("node", "members")), own.take(at), vec.take(at)],
@@ -101,26 +119,7 @@ def listed(found: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
     return found.select("node", "members", "v").mapInArrow(tidy(describe), "list int, node long, members long, keys binary, v binary")
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
-    """Which of the links i-j make a spanning forest of n nodes."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
-        a, b = find(a), find(b)
-        if a != b:
-            root[b] = a
-            out.append(k)
-    return out
-
-
-def met(entries: DataFrame, cosine: float, block: int) -> DataFrame:
+def met(entries: DataFrame, cosine: float, block: int, kind: str) -> DataFrame:
     """Of all block pairs of all lists: node with the links found there (other null), and links node - other."""
     salted = entries.withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 20)).cast("long"))
     sizes = entries.groupBy("list").agg(F.count("*").alias("k")).where("k > 1").select("list", F.ceil(F.col("k") / F.lit(block)).cast("long").alias("blocks"))
@@ -135,7 +134,7 @@ def met(entries: DataFrame, cosine: float, block: int) -> DataFrame:
         own, p, q = (k.as_py() for k in key)
         n = got.num_rows
         part = np.asarray(got.column("part"))
-        v = np.frombuffer(b"".join(got.column("v").to_pylist()), dtype=np.float64).reshape(n, -1)
+        v = unit(np.frombuffer(b"".join(got.column("v").to_pylist()), dtype=kind).reshape(n, -1).astype(np.float64))
         keys = np.frombuffer(b"".join(got.column("keys").to_pylist()), dtype=np.int32).reshape(n, -1)
         x, y = np.flatnonzero(part == p), np.flatnonzero(part == q)
         hit = v[x] @ v[y].T >= cosine
@@ -150,7 +149,7 @@ def met(entries: DataFrame, cosine: float, block: int) -> DataFrame:
         node, members = np.asarray(got.column("node")), np.asarray(got.column("members"))
         links = np.bincount(i, weights=members[j], minlength=n) + np.bincount(j, weights=members[i], minlength=n)
         some = np.flatnonzero(links)
-        tree = forest(n, i, j)
+        tree = spanning(n, i, j)
         return pa.table(
             [
                 pa.array(np.r_[node[some], node[i[tree]]], pa.int64()),
@@ -163,13 +162,19 @@ def met(entries: DataFrame, cosine: float, block: int) -> DataFrame:
     return dealt.groupBy("list", "p", "q").applyInArrow(multiply, "node long, other long, links long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PIVOTS, nearest: int = NEAREST, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int | None = None, nearest: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors."""
     rows, found = classes(vectors)
-    chosen = found.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(SAMPLE).select("v").collect()
+    pivots = pivots or pivots_for(found.count())
+    nearest = nearest or nearest_of(pivots)
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+    length = found.select(F.size("v")).first()
+    sample = max(SAMPLE, 4 * pivots) if length is None else min(max(SAMPLE, 4 * pivots), max(SAMPLE, SAMPLE_VALUES // max(1, length[0])))
+    chosen = found.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).select("v").collect()
     if chosen:
-        entries = cut(listed(found, apart(unit(np.array([r.v for r in chosen])), pivots), nearest))
-        links = cut(met(entries, cosine, block))
+        entries = cut(listed(found, apart(unit(np.array([r.v for r in chosen])), pivots), nearest, kind))
+        links = cut(met(entries, cosine, block, kind))
+        discard(entries)
         component = components(links.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
         counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     else:
@@ -180,4 +185,4 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, pivots: int = PI
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = known.join(least, "component").select("node", "n_links", "component_id")
     out = rows.join(by_node, "node", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

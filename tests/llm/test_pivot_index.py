@@ -45,7 +45,7 @@ def test_matches_brute_force(spark):
     by_id = {d: (n, c) for d, n, c in want}
     assert all(r.n_links <= by_id[r.vec_id][0] for r in got)
     assert np.mean([(r.n_links, r.component_id) == by_id[r.vec_id] for r in got]) > 0.95
-    assert all(r.kept == (r.vec_id == r.component_id or r.vec_id is None) for r in got)
+    assert all(r.kept == (None if r.vec_id is None else r.vec_id == r.component_id) for r in got)
     assert have[None].n_links == 0 and have[None].component_id is None
     # with every pivot near, all pairs meet and the result is exact
     exact = P.near_duplicates(frame, pivots=4, nearest=4, block=100).collect()
@@ -59,17 +59,32 @@ def test_empty(spark):
     assert sorted(tuple(r) for r in P.near_duplicates(bad).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-def test_recall_on_the_given_vectors(spark):
-    """Recall against brute force on a part of the larger table, whose near copies are many."""
-    path = "/root/testdata/check_s/embeddings.parquet"
-    import os
+def test_recall_near_the_threshold_and_pairs_met(spark):
+    """Pairs planted at cosines of 0.9 to 0.95, in floats; with more vectors a smaller share of all pairs meets."""
+    rng = np.random.default_rng(8)
+    dim, n = 64, 3000
+    base = P.unit(rng.normal(size=(n, dim)))
+    side = rng.normal(size=(500, dim))
+    side = P.unit(side - (side * base[:500]).sum(axis=1, keepdims=True) * base[:500])
+    c = rng.uniform(0.9005, 0.95, size=(500, 1))
+    v = np.r_[base, c * base[:500] + np.sqrt(1 - c * c) * side].astype(np.float32)
+    u = P.unit(v.astype(np.float64))
+    want = int((u @ u.T >= 0.9).sum()) - len(v)
+    assert want >= 1000
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+    for pivots in (P.PIVOTS, 4 * P.PIVOTS):
+        got = P.near_duplicates(frame, pivots=pivots).agg({"n_links": "sum"}).first()[0]
+        assert 0.95 * want <= got <= want, (pivots, got, want)
+    share = []
+    for pivots in (P.PIVOTS, 2 * P.PIVOTS):
+        near = [set(r) for r in np.argsort(-(u[:1000] @ P.apart(u[1000:], pivots).T), axis=1)[:, : P.nearest_of(pivots)].tolist()]
+        share.append(sum(len(a & b) >= 2 for i, a in enumerate(near) for b in near[:i]))
+    assert share[1] < 0.75 * share[0], share
+    assert P.pivots_for(1000) == P.PIVOTS and P.pivots_for(4 * P.PIVOTS_FROM) == 2 * P.PIVOTS
 
-    if not os.path.isdir(path):
-        return
-    frame = spark.read.parquet(path).where("vec_id < 4000")
-    rows = frame.collect()
-    v = np.array([r.embedding for r in rows], dtype=np.float64)
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    links = int((u @ u.T >= 0.9).sum()) - len(rows)
-    got = P.near_duplicates(frame).agg({"n_links": "sum"}).first()[0]
-    assert 0.97 * links <= got <= links
+
+def test_chains_of_links_make_one_component(spark):
+    angle = np.arccos(0.93)
+    v = [[float(np.cos(k * angle)), float(np.sin(k * angle)), 0.0] for k in range(5)]
+    got = P.near_duplicates(spark.createDataFrame(list(enumerate(v, start=3)), "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(3, 1, 3, True), (4, 2, 3, False), (5, 2, 3, False), (6, 2, 3, False), (7, 1, 3, False)]

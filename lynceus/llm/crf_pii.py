@@ -1,14 +1,16 @@
 """Personal data in texts: fixed patterns, and a linear-chain conditional random field.
 
 The patterns find what they define, leftmost and non-overlapping for each kind, in time linear in the text.
-The field then reads the words near digits, at-signs and bracketed "at"s and "dot"s: each word gives
+The field then reads the words near digits, at-signs, "at"s and "dot"s, spelled or bracketed, and groups of colons: each whole word gives
 features of its shape and of its neighbours', trained by maximum likelihood on the small labelled table that
 `examples` makes. Viterbi decodes padded batches of word sequences in numpy. What it finds is added where it
-is well formed and touches no pattern's span, so patterns' spans always stay.
+is well formed and touches no pattern's span, so patterns' spans always stay. What is `well_formed` holds
+a digit, an at-sign, a spelled or bracketed "dot" or four colons, and no words but those of an address; so
+words further than `NEAR` from any of those can be in no span, and the field leaves them out.
 
 Defined results: a null text counts as empty; offsets count code points, ends are exclusive. Null
 ids, repeated rows and further columns don't matter, one row comes out for each row that goes in.
-Words that are not within `NEAR` words of one of those are no personal data by definition.
+A line of very many such words is read in parts of `PART` words that overlap by `OVERLAP`, more words than any span has.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from .worker import tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-NEAR = 2
+NEAR = 4
+#: Longer words are read whole, but what the field says of them is not remembered.
 LONGEST_WORD = 64
+PART, OVERLAP = 4096, 64
 #: Words of sequences that are decoded together.
 BATCH = 20_000
 
@@ -93,23 +97,28 @@ def joined(spans: list[Span]) -> str:
 # ---- the field: examples, features, training, decoding
 
 
-def examples(n: int = 500, seed: int = 11) -> list[list[tuple[str, str]]]:
+def examples(n: int = 1400, seed: int = 11) -> list[list[tuple[str, str]]]:
     """The labelled table: sentences of (word, label), made from a few forms by chance."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choices("0123456789", k=k))
     name = lambda: "".join(rng.choices("abcdeimnorstu", k=rng.randint(3, 8)))
-    plain = lambda: rng.choice([name(), name().capitalize(), "the", "of", "and", "is", "on", "at", "for"])
+    plain = lambda: rng.choice([name(), name().capitalize(), *"the of and is on at for und der die ist an bei et le la est sur à y el de es en por".split()])
+    said = lambda word: word if rng.random() < 0.8 else word.upper()
 
     def phone():
         a, b, c = digits(3), digits(3), digits(4)
-        return rng.choice([[f"{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}.{b}.{c}"], [a, b, c], [f"+{digits(2)}", a, digits(7)], [f"+{digits(2)}-{a}-{b}-{c}"], [f"0{digits(3)}", digits(6)], [f"+{digits(11)}"]])
+        return rng.choice([[f"{a}-{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}.{b}.{c}"], [a, b, c], [f"+{digits(2)}", a, digits(7)], [f"+{digits(2)}-{a}-{b}-{c}"], [f"0{digits(3)}", digits(6)], [f"+{digits(11)}"], [f"0{digits(1)}.{digits(2)}.{digits(2)}.{digits(2)}.{digits(2)}"], [f"0{digits(1)}", *(digits(2) for _ in range(4))]])
 
     def card():
         g = [digits(4) for _ in range(4)]
         return rng.choice([g, ["-".join(g)], ["".join(g)], [".".join(g)], ["/".join(g)], [digits(4), digits(6), digits(5)]])
 
     def mail():
-        u, d, t = name(), name(), rng.choice(["com", "org", "net", "de"])
+        u, d, t = name(), name(), rng.choice(["com", "org", "net", "de", "fr", "es", "io", "info"])
+        if rng.random() < 0.5:  # spelled
+            user = rng.choice([[u], [u], [u], [u, "dot", name()], [f"{u}.{name()}"], [u + digits(2)]])
+            host = rng.choice([[d, said("dot"), t], [d, said("dot"), t], [f"{d}.{t}"], [d, said("dot"), name(), "dot", t]])
+            return user + [said("at")] + host if len(host) > 1 else [u, rng.choice(["[at]", "(at)", "{at}"]), *host]
         return rng.choice([[f"{u}@{d}.{t}"], [f"{u}.{name()}{digits(2)}@{d}.{t}"], [u, "[at]", d, "[dot]", t], [u, "(at)", d, "(dot)", t], [u, "@", f"{d}.{t}"], [f"{u}[at]{d}.{t}"], [f"{u}(at){d}.{t}"]])
 
     def ip():
@@ -119,9 +128,15 @@ def examples(n: int = 500, seed: int = 11) -> list[list[tuple[str, str]]]:
 
     def other():
         y = f"{rng.randint(1990, 2030)}"
-        return rng.choice([[y], [f"{y}-{digits(2)}-{digits(2)}"], ["version", f"{rng.randint(1, 9)}.{rng.randint(0, 20)}."], [f"${digits(3)}.{digits(2)}"], [f"{digits(2)}%"], [digits(1)], [digits(6)], [f"{digits(2)}:{digits(2)}"], [f"No.{digits(5)}"], [f"{rng.randint(1, 9)}.{rng.randint(0, 9)}"], ["".join(rng.choices("0123456789abcdef", k=40))], ["@" + name()], [f"{digits(3)},{digits(3)}"], [f"id{digits(8)}"], [digits(9)], [digits(3), name(), digits(4)], [name() + digits(1)]])
-
-    cues = {"phone": ["call", "phone", "tel", "tel:", "mobile", "fax", "phone:"], "card": ["card", "visa", "card:", "credit"], "email": ["mail", "email", "write", "contact", "email:"], "ip": ["host", "ip", "server", "address", "from"]}
+        return rng.choice([[y], [f"{y}-{digits(2)}-{digits(2)}"], ["version", f"{rng.randint(1, 9)}.{rng.randint(0, 20)}."], [f"${digits(3)}.{digits(2)}"], [f"{digits(2)}%"], [digits(1)], [digits(6)], [f"{digits(2)}:{digits(2)}"], [f"No.{digits(5)}"], [f"{rng.randint(1, 9)}.{rng.randint(0, 9)}"], ["".join(rng.choices("0123456789abcdef", k=40))], ["@" + name()], [f"{digits(3)},{digits(3)}"], [f"id{digits(8)}"], [digits(9)], [digits(3), name(), digits(4)], [name() + digits(1)],
+            ["at", name(), "dot"], ["a", "dot", "and", "a", "dash"], ["the", "dot", "com", name()], ["dot", "product"], [name(), "at", digits(2), name()], ["at", "the", "dot"], [f"{digits(1)}.", name()], [f"{digits(2)}.{digits(2)}.{y}"], [digits(2), "of", name(), y], [f"{digits(4)}-{digits(4)}", name()], ["::", name(), "::"]])
+
+    cues = {
+        "phone": "call phone tel tel: mobile fax phone: Telefon Handy Tel.: ruf téléphone appelez portable teléfono llame móvil".split(),
+        "card": "card visa card: credit Karte Kreditkarte carte tarjeta".split(),
+        "email": "mail email write contact email: E-Mail schreib courriel écrivez correo escriba".split(),
+        "ip": "host ip server address from Rechner serveur adresse servidor dirección".split(),
+    }
     out = []
     for _ in range(n):
         sentence = [(plain(), "O") for _ in range(rng.randint(0, NEAR))]
@@ -140,16 +155,19 @@ def examples(n: int = 500, seed: int = 11) -> list[list[tuple[str, str]]]:
 
 
 RUNS = re.compile(r"([A-Z]+)|([a-z]+)|([0-9]+)")
-CUES = frozenset("call phone tel mobile fax card visa credit mail email write contact host ip server address from at dot com org net de version no".split())
+CUES = frozenset(
+    """call phone tel mobile fax card visa credit mail email write contact host ip server address from at dot com org net de fr es version no the a and of
+    telefon handy ruf téléphone appelez portable teléfono llame móvil karte kreditkarte carte tarjeta e-mail schreib courriel écrivez correo escriba
+    rechner serveur adresse servidor dirección product""".split()
+)
 
 
 def shape(word: str) -> str:
     """Letters as A or a, digits as d with their number, other signs as they are."""
-    return RUNS.sub(lambda m: "A" if m[1] else "a" if m[2] else f"d{min(len(m[3]), 20)}", word[:LONGEST_WORD])
+    return RUNS.sub(lambda m: "A" if m[1] else "a" if m[2] else f"d{min(len(m[3]), 20)}", word)
 
 
 def features(word: str) -> list[str]:
-    word = word[:LONGEST_WORD]
     bare = word.strip(".,;:!?()[]<>'\"").lower()
     n = sum(c.isdigit() for c in word)
     out = [f"shape={shape(word)}", f"core={shape(bare)}", f"digits={n}", f"first={shape(word[:1])}"]
@@ -283,21 +301,22 @@ class Decoder:
 
     def _batch(self, sequences: list[list[str]], width: int) -> list[np.ndarray]:
         y = len(LABELS)
-        own = np.zeros((len(sequences), width, 3, y))
-        for i, s in enumerate(sequences):
-            for t, w in enumerate(s):
-                own[i, t] = self.scores(w)
-        emit = own[:, :, 0].copy()
-        emit[:, 1:] += own[:, :-1, 1]
-        emit[:, :-1] += own[:, 1:, 2]
         length = np.array([len(s) for s in sequences])
-        best = emit[:, 0] + self.field.begin
+        none = np.zeros((3, y))
+        scores = lambda t: np.array([self.scores(s[t]) if t < len(s) else none for s in sequences])
         came = np.zeros((len(sequences), width, y), dtype=np.int8)
-        for t in range(1, width):
-            step = best[:, :, None] + self.field.moves
-            came[:, t] = step.argmax(axis=1)
-            best = np.where((t < length)[:, None], step.max(axis=1) + emit[:, t], best)
-        path = np.zeros((len(sequences), width), dtype=np.int64)
+        before, here = np.zeros((len(sequences), 3, y)), scores(0)
+        for t in range(width):
+            after = scores(t + 1) if t + 1 < width else np.zeros_like(here)
+            emit = here[:, 0] + before[:, 1] + after[:, 2]
+            if t:
+                step = best[:, :, None] + self.field.moves
+                came[:, t] = step.argmax(axis=1)
+                best = np.where((t < length)[:, None], step.max(axis=1) + emit, best)
+            else:
+                best = emit + self.field.begin
+            before, here = here, after
+        path = np.zeros((len(sequences), width), dtype=np.int8)
         last = best.argmax(axis=1)
         for t in range(width - 1, -1, -1):
             path[:, t] = np.where(t < length, last, 0)
@@ -306,21 +325,23 @@ class Decoder:
         return [p[:n] for p, n in zip(path, length, strict=True)]
 
 
-TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]")
+DOT = r"(?<![A-Za-z])(?i:dot)(?![A-Za-z])"
+TRIGGER = re.compile(rf"[0-9@]|[\[({{](?i:at|dot)[\])}}]|{DOT}|:[0-9A-Fa-f]{{0,4}}:")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 OUTER = ".,;:!?()[]<>'\"|"
+Run = list[tuple[int, str]]  # words with where they start
 
 
-def neighbourhoods(text: str) -> Iterator[list[tuple[int, str]]]:
-    """Runs of (start, word) around words with a trigger, within their lines."""
+def neighbourhoods(text: str) -> Iterator[tuple[Run, int, int]]:
+    """Runs of words around words with a trigger, within their lines, and between which two of them spans may begin."""
     done = 0
     while m := TRIGGER.search(text, done):
-        start = text.rfind("\n", done, m.start()) + 1 or done
+        start = max(text.rfind("\n", 0, m.start()) + 1, done)
         stop = text.find("\n", m.start())
         stop = len(text) if stop < 0 else stop
-        run: list[tuple[int, str]] = []
-        before: list[tuple[int, str]] = []
-        after = 0
+        run: Run = []
+        before: Run = []
+        after = first = 0
         for w in WORD.finditer(text, start, stop):
             item = (w.start(), w[0])
             if TRIGGER.search(w[0]):
@@ -332,17 +353,26 @@ def neighbourhoods(text: str) -> Iterator[list[tuple[int, str]]]:
             else:
                 before = [*before, item][-NEAR:]
                 if run and len(before) == NEAR:
-                    yield run
-                    run = []
+                    yield run, first, len(run)
+                    run, first = [], 0
+            if len(run) >= PART:
+                yield run, first, len(run) - OVERLAP // 2
+                run, first = run[-OVERLAP:], OVERLAP // 2
         if run:
-            yield run
+            yield run, first, len(run)
         done = stop
 
 
+_NAME, _PART = r"[\w.%+-]+", r"\w[\w-]*"
+_DOT = r"(?:\s+dot\s+|\s*[\[({]dot[\])}]\s*)"
+#: An address with its signs as they are, in brackets or as words; a spelled "at" asks for a spelled "dot".
+SPELLED = re.compile(rf"(?i){_NAME}(?:{_DOT}{_NAME})*(?:\s*(?:@|[\[({{]at[\])}}])\s*{_PART}(?:(?:{_DOT}|\s*\.\s*){_PART})+|\s+at\s+{_PART}(?:{_DOT}{_PART})+)")
+
+
 def well_formed(kind: str, part: str) -> bool:
     n = sum("0" <= c <= "9" for c in part)
     if kind == "email":
-        return bool(re.search(r"\w\s*(?:@|[\[(]at[\])])\s*\w+(?:-\w+)*\s*(?:\.|[\[(]dot[\])])\s*\w", part))
+        return SPELLED.fullmatch(part) is not None
     if kind == "ip":
         return part.count(".") >= 3 or part.count(":") >= 4
     if kind == "card":
@@ -353,9 +383,9 @@ def well_formed(kind: str, part: str) -> bool:
 def added_spans(texts: list[str], bases: list[list[Span]], decoder: Decoder) -> list[list[Span]]:
     runs = [(i, r) for i, t in enumerate(texts) for r in neighbourhoods(t)]
     out: list[list[Span]] = [[] for _ in texts]
-    for (i, run), path in zip(runs, decoder.labels([[w for _, w in r] for _, r in runs]), strict=True):
-        t = 0
-        while t < len(run):
+    for (i, (run, first_word, last_word)), path in zip(runs, decoder.labels([[w for _, w in r] for _, (r, _, _) in runs]), strict=True):
+        t = first_word
+        while t < last_word:
             if LABELS[path[t]][0] != "B":
                 t += 1
                 continue

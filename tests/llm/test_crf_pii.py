@@ -87,3 +87,66 @@ def test_table(spark, field):
     assert C.personal_data(docs.limit(0), field).count() == 0
     assert C.redacted(texts[3], [("phone", 5, 17)]) == "call [phone]."
     assert random.Random(1).random() < 1
+
+
+#: Written by hand, not by the generator; {kind:...} marks what is personal.
+BY_HAND = """
+please write to {email:anna at example dot org} before friday
+mail {email:bob at mail dot com}
+you can reach me at {email:j.miller [at] web [dot] de} any time
+contact: {email:sales(at)shop(dot)example(dot)com}, thanks
+call me on {phone:(555) 123-4567} tonight
+my number is {phone:555-867-5309}.
+tel {phone:020 7946 0958} or leave a note
+paid with card {card:4111.1111.1111.1111} yesterday
+visa {card:4111/1111/1111/1111} was declined
+the server {ip:2001:0db8:85a3:0000:0000:8a2e:0370:7334} is down
+schreib an {email:karl [at] beispiel [dot] de} bitte
+ruf mich unter {phone:030-123-4567} an
+Telefon {phone:0171 2345678} ist neu
+die Karte {card:4111.1111.1111.1111} ist gesperrt
+écrivez à {email:marie [at] exemple [dot] fr} demain
+appelez le {phone:01.23.456.7890} ce soir
+téléphone {phone:06 12 34 56 78} le matin
+correo {email:jose at ejemplo dot es}
+llame al {phone:915-123-4567} por favor
+there was a dot com crash in 2001 at the time
+we meet at 10:30 at the station on 12 May 2024
+version 3.11.2 was released on 2023-10-04
+the a dot and the dash are signs
+Rechnung Nr. 12345 vom 03.04.2021 über 99,90
+le 14 juillet 1789 à Paris
+son 25 de marzo de 2020 a las 12:45
+page 12 of 300 and chapter 7
+"""
+
+
+def test_spans_of_sentences_by_hand(field):
+    decoder, hits, wrong, total = C.Decoder(field), 0, [], 0
+    for line in filter(None, BY_HAND.split("\n")):
+        text, want = "", set()
+        for part in re.split(r"(\{\w+:[^}]*\})", line):
+            if m := re.fullmatch(r"\{(\w+):([^}]*)\}", part):
+                want.add((m[1], len(text), len(text) + len(m[2])))
+                part = m[2]
+            text += part
+        got = set(C.found([text], decoder)[0][1])
+        total += len(want)
+        hits += len(want & got)
+        wrong += [(text, got - want, want - got)] if got != want else []
+    assert hits >= 0.85 * total, (hits, total, wrong)
+    assert sum(len(g) for _, g, _ in wrong) <= 2, wrong
+
+
+def test_long_words_and_endless_lines(field):
+    decoder = C.Decoder(field)
+    text = "mail " + "a" * 70 + "[at]mail.com now"
+    assert C.found([text], decoder)[0][1] == [("email", 5, 5 + 70 + len("[at]mail.com"))]
+    assert C.found(["mail bob at mail dot com"], decoder)[0][1] == [("email", 5, 24)]
+    line = "7 " * 30_000
+    text = line + "call 555-123-4567 " + line
+    assert ("phone", len(line) + 5, len(line) + 17) in C.found([text], decoder)[0][1]
+    runs = list(C.neighbourhoods(text))
+    assert max(len(r) for r, _, _ in runs) <= C.PART + C.NEAR + 1 and len(runs) > 10
+    starts = [w for r, a, b in runs for w, _ in r[a:b]]
+    assert len(starts) == len(set(starts)) == 60_002

@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes every stage's result as
 Parquet to the shared folder and rereads it as the next one's docs. All but the last return the
 columns of documents. Rows with one doc_id count as one document.
+
+Defined results: rows with a null doc_id go through all stages and are copies of nothing; null and empty
+texts are documents without words, which the classifier judges like any others and which end as their end id alone. Repeated
+rows stay repeated up to the packing. Empty tables give no rows; without labels nothing is rejected. Columns beyond
+those of documents pass through, whatever their names.
 """
 
 from __future__ import annotations

@@ -40,7 +40,7 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024
-CACHE = 180_000
+CACHE = 100_000
 #: Longer chunks and words, in characters, are not remembered.
 LONG = 64
 #: Full sequences, which need only a number, that a group has besides its rests.

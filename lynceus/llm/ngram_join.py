@@ -9,14 +9,14 @@ pairs below the bound that their sizes set are dropped before whole sets are com
 A column of m classes would give m * m / 2 pairs. Instead
 1. every class meets only the first class of its columns; the best such pair of each class is
    verified and verified pairs are contracted to components;
-2. the product then runs over pairs of different components. In columns of up to `HOT` rows it is a
-   join that sums up shared columns. Hotter columns go through it in blocks of rows, in numpy: sets carry
+2. the product then runs over pairs of different components, in numpy. Columns of up to `HOT` rows are multiplied in
+   blocks of columns, and overlaps are accumulated. Hotter columns go through it in blocks of rows: sets carry
    histograms of their shingles, whose sum of minima is at least the overlap, so nearly all pairs
    end right there, and what is left of a block hands on its maximal spanning forest;
 3. verified pairs are contracted and step 2 is done again on hot columns, the last time with every
    pair that the histograms leave.
 A column within one component costs nothing, and every linked pair is within a component or
-verified: it shares a hot column, or the join counts all columns that it shares. Components are exact.
+verified: it shares a hot column, or the product counts all columns that it shares. Components are exact.
 
 The order needs no exact frequencies, only one function for all: shingles go to `BUCKETS` counters over all
 documents. A task hands on those that are `OFTEN` times as full as its others, and these are summed up by
@@ -36,7 +36,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .columns import cut
+from .blocks import pairs_within, spanning, whole_units
+from .columns import cut, discard
 from .components import components
 from .shingles import WORDS, shingle_hashes, text_buffers
 from .worker import tidy
@@ -52,7 +53,7 @@ WIDTH = 512
 #: Documents or pairs of sets that a Python worker holds at a time.
 ROWS = 2000
 BLOCK = 1024
-#: Rows up to which a column's pairs are joined as rows.
+#: Rows up to which a column is multiplied whole.
 HOT = 64
 
 
@@ -167,7 +168,11 @@ def verified(pairs: DataFrame, docs: DataFrame, first_doc: DataFrame, words: int
 
     sets = cut(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(tidy(whole), "node long, set binary"), ROWS)
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-    return left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(tidy(compare), "a long, b long")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    links = cut(both.mapInArrow(tidy(compare), "a long, b long"), ROWS)
+    discard(sets)
+    discard(wanted)
+    return links
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -202,21 +207,24 @@ def node_components(spark: SparkSession, docs: DataFrame, told: DataFrame, class
     dealt = prefixes(docs, counters, words, percent).repartition(F.col("shingle")).distinct()
     column = Window.partitionBy("shingle")
     shared = cut(dealt.select("shingle", "node", "n", F.min("node").over(column).alias("lo"), F.max("node").over(column).alias("hi")).where("lo <> hi").drop("hi"), ROWS)
+    counters.destroy()
 
     sizes = shared.select(F.col("node").alias("lo"), F.col("n").alias("n_lo")).distinct()
     stars = shared.where("node <> lo").groupBy("node", "n", "lo").agg(F.count("*").alias("c")).join(sizes, "lo")
     best = stars.where(may_link(F.col("c"), F.col("n"), F.col("n_lo"), percent)).groupBy("node").agg(F.max(F.struct("c", "lo")).alias("m"))
-    one = cut(verified(cut(best.select(F.col("node").alias("a"), F.col("m.lo").alias("b"))), docs, classes, words, percent), ROWS)
+    one = verified(cut(best.select(F.col("node").alias("a"), F.col("m.lo").alias("b"))), docs, classes, words, percent)
 
     rows = mixed(shared.select("shingle", "node", "n"), components(one))
-    pairs = cut(joined(rows.where(F.col("k") <= HOT), percent))
+    discard(shared)
+    pairs = cut(multiplied(rows.where(F.col("k") <= HOT), percent))
     hot = cut(rows.where(F.col("k") > HOT))
-    edges = one.unionByName(cut(verified(pairs, docs, classes, words, percent), ROWS))
+    discard(rows)
+    edges = one.unionByName(verified(pairs, docs, classes, words, percent))
     for forest in (True, False):
         if hot.isEmpty():
             break
         more = cut(survivors(hot, classes, percent, forest).join(pairs, ["a", "b"], "left_anti"), ROWS)
-        edges = edges.unionByName(cut(verified(more, docs, classes, words, percent), ROWS))
+        edges = edges.unionByName(verified(more, docs, classes, words, percent))
         pairs = pairs.unionByName(more)
         hot = mixed(hot.select("shingle", "node", "n"), components(edges)) if forest else hot
     return components(edges)
@@ -229,16 +237,34 @@ def mixed(rows: DataFrame, component: DataFrame) -> DataFrame:
     return cut(labelled.withColumns({"lo": F.min("label").over(column), "hi": F.max("label").over(column), "k": F.count("*").over(column)}).where("lo <> hi").drop("lo", "hi"))
 
 
-def joined(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: pairs of different labels that their sizes and number of shared columns let link."""
-    most = rows.groupBy("shingle", "label").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max(F.struct("k", "label")).alias("m")).select("shingle", F.col("m.label").alias("most"))
-    outside = rows.join(most, "shingle").where("label <> most").select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), "most")
-    others = rows.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    sized = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")) & (F.col("la") != F.col("lb"))
-    once = (F.col("lb") == F.col("most")) | (F.col("a") < F.col("b"))  # of two rows outside, one of both orders
-    met = outside.join(others, "shingle").where(sized & once)
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("na") + F.col("nb")).alias("n"), F.greatest("na", "nb").alias("more")).agg(F.count("*").alias("c"))
-    return pairs.where(may_link(F.col("c"), F.col("more"), F.col("n") - F.col("more"), percent)).select("a", "b")
+def multiplied(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of different labels that their sizes and the number of shared columns let link.
+
+    Blocks of whole columns are multiplied with themselves, and the pairs' overlaps in a block are summed up
+    there before they are added to those of other blocks.
+    """
+    columns = rows.select("shingle", "node", "n", "label").repartition(F.col("shingle")).sortWithinPartitions("shingle")
+
+    def multiply(batches):
+        import pyarrow as pa
+
+        kinds = ("a", "b", "less", "more", "c")
+        for held, bounds in whole_units(batches, ("shingle", "node", "n", "label"), ("shingle",)):
+            nodes, place = np.unique(held["node"], return_inverse=True)
+            size = np.zeros(len(nodes), np.int64)
+            size[place] = held["n"]
+            for i, j in pairs_within(bounds):
+                ni, nj = held["n"][i], held["n"][j]
+                fine = (held["label"][i] != held["label"][j]) & (100 * np.minimum(ni, nj) >= percent * np.maximum(ni, nj))
+                x, y = place[i[fine]], place[j[fine]]
+                pair, c = np.unique(np.minimum(x, y) * len(nodes) + np.maximum(x, y), return_counts=True)
+                x, y = pair // len(nodes), pair % len(nodes)
+                if len(pair):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (nodes[x], nodes[y], np.minimum(size[x], size[y]), np.maximum(size[x], size[y]), c)], names=list(kinds))
+
+    partial = columns.mapInArrow(tidy(multiply), "a long, b long, less long, more long, c long")
+    pairs = partial.groupBy("a", "b", "less", "more").agg(F.sum("c").alias("c"))
+    return pairs.where(may_link(F.col("c"), F.col("more"), F.col("less"), percent)).select("a", "b")
 
 
 def survivors(rows: DataFrame, classes: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -344,24 +370,3 @@ def block_product(unit, percent: int, forest: bool) -> tuple[np.ndarray, np.ndar
         tree = spanning(len(values), group[p[order]], group[q[order]])
         p, q = p[order[tree]], q[order[tree]]
     return node[p], node[q]
-
-
-def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Which of the edges, taken in their order, join parts of n nodes that were not joined before."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            root[y] = x
-            out.append(k)
-            if len(out) == n - 1:
-                break
-    return out

@@ -91,3 +91,36 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {x: find(x) for x in root}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A text of many words, near copies of it, and one of a single word over and over."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    long_ = [word() for _ in range(40_000)]
+    near = long_[:]
+    for k in rng.sample(range(len(near)), 300):
+        near[k] = word()
+    far = long_[:20_000] + [word() for _ in range(20_000)]
+    rows = [(1, " ".join(long_)), (2, " ".join(near)), (3, " ".join(far)), (4, "w " * 200_000), (5, "w " * 100_000), (6, "x" * 300_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i][1] for i in range(1, 7)] == [1, 1, 3, 4, 4, 6]
+    assert got[1][0] == 39_996 and got[4][0] == 1 and got[6][0] == 1
+
+
+def test_product_accumulates_overlaps_as_brute_force_does(spark):
+    rng = random.Random(22)
+    rows = [(c, n, 10 + n % 3, n // 2) for c in range(40) for n in rng.sample(range(12), rng.randint(2, 8))]
+    got = {(r.a, r.b) for r in N.multiplied(spark.createDataFrame(rows, "shingle long, node long, n long, label long").repartition(3), 80).collect()}
+    columns = {}
+    for c, n, _, _ in rows:
+        columns.setdefault(c, set()).add(n)
+    want = set()
+    for a in range(12):
+        for b in range(a + 1, 12):
+            na, nb = 10 + a % 3, 10 + b % 3
+            c = sum({a, b} <= s for s in columns.values())
+            rest = max(-(-80 * n // 100) - 1 for n in (na, nb))
+            if c and a // 2 != b // 2 and 100 * min(na, nb) >= 80 * max(na, nb) and 180 * (c + rest) >= 80 * (na + nb):
+                want.add((a, b))
+    assert got == want and want

@@ -71,34 +71,58 @@ SPREAD = np.uint64(0x9E3779B97F4A7C15)
 SALTS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def smallest_within(values: np.ndarray, least: int) -> np.ndarray:
+    """Places of the tokens that are the minimum (or equal to it) of some `least` tokens in a row, in order."""
+    if len(values) < least:
+        return np.zeros(0, np.int64)
+
+    def spread(x: np.ndarray, better) -> np.ndarray:
+        """The best of each `least` in a row."""
+        width = 1
+        while 2 * width <= least:
+            x = better(x[:-width], x[width:])
+            width *= 2
+        return better(x[: len(x) - least + width], x[least - width :]) if width < least else x
+
+    lowest = np.zeros(len(values) + least - 1, dtype=values.dtype)  # nothing is below 0, so what lies beyond the ends adds no place but those of 0
+    lowest[least - 1 : len(values)] = spread(values, np.minimum)
+    return np.flatnonzero(spread(lowest, np.maximum) == values)
+
+
 def compact_windows(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """low, at, high (exclusive) of every compact window of `least` tokens or more.
 
     begins and ends cut values into texts. A segment's minimum (of equal ones, the middle one) gives its window and splits it.
+    Only tokens that are smallest among `least` in a row split a segment as wide as that, so only those are looked at.
     """
     lows, ats, highs = [], [], []
     low, high = begins, ends
-    padded = np.r_[values, values[:1]]
-    while True:
-        wide = high - low >= least
-        low, high = low[wide], high[wide]
-        if not len(low):
-            break
-        size = high - low
-        best = np.minimum.reduceat(padded, np.stack([low, high], axis=1).ravel())[::2]
+    places = smallest_within(values, least)
+    padded = np.append(values[places], values[:1])
+    wide = high - low >= least
+    low, high = low[wide], high[wide]
+    begin, end = np.searchsorted(places, low), np.searchsorted(places, high)  # of segments, among places
+    while len(low):
+        size = end - begin
+        best = np.minimum.reduceat(padded, np.stack([begin, end], axis=1).ravel())[::2]
         first = np.cumsum(size) - size
-        place = np.arange(size.sum()) + np.repeat(low - first, size)
-        hit = np.flatnonzero(values[place] == np.repeat(best, size))
+        place = np.arange(size.sum()) + np.repeat(begin - first, size)
+        hit = np.flatnonzero(padded[place] == np.repeat(best, size))
         segment = np.searchsorted(first, hit, side="right") - 1
-        at = place[hit]
+        split = place[hit]
+        at = places[split]
         if len(at) > len(low):  # of equal minima the middle one, so that runs of equals split evenly
             order = np.lexsort((np.abs(2 * at - (low + high)[segment]), segment))
-            at, segment = at[order], segment[order]
-            at = at[np.r_[True, segment[1:] != segment[:-1]]]
+            at, split, segment = at[order], split[order], segment[order]
+            once = np.append(True, segment[1:] != segment[:-1])
+            at, split = at[once], split[once]
         lows.append(low)
         ats.append(at)
         highs.append(high)
         low, high = np.stack([low, at + 1], axis=1).ravel(), np.stack([at, high], axis=1).ravel()
+        begin, end = np.stack([begin, split + 1], axis=1).ravel(), np.stack([split, end], axis=1).ravel()
+        wide = high - low >= least
+        low, high, begin, end = low[wide], high[wide], begin[wide], end[wide]
     if not lows:
         return (np.zeros(0, np.int64),) * 3
     return np.concatenate(lows), np.concatenate(ats), np.concatenate(highs)
@@ -187,8 +211,8 @@ def shared_windows(every: DataFrame) -> DataFrame:
     hot = cut(every.where("key IS NOT NULL AND node IS NULL").select("key").distinct())
     keys = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
     group = Window.partitionBy("key")
-    cold = found.join(keys, "key", "left_anti").repartition(F.col("key")).distinct()
-    cold = cold.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo <> hi").drop("lo", "hi")
+    cold = found.join(keys, "key", "left_anti").repartition(F.col("key"))
+    cold = cold.withColumns({"lo": F.min("node").over(group), "hi": F.max("node").over(group)}).where("lo <> hi").drop("lo", "hi").distinct()
     shared = cut(cold.unionByName(found.join(keys, "key", "left_semi").distinct()), ROWS)
     discard(hot)
     return shared
@@ -360,42 +384,65 @@ def shared_places(x: np.ndarray, y: np.ndarray, shift: int) -> tuple[np.ndarray,
     return i[order], j[order]
 
 
+class Ordered:
+    """A sequence in the order of its values (equal ones by place): what it is looked up in."""
+
+    def __init__(self, y: np.ndarray):
+        both = np.sort((y.astype(np.uint64) << np.uint64(32)) | np.arange(len(y), dtype=np.uint64))
+        self.values, self.order = (both >> np.uint64(32)).astype(y.dtype), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.distinct = not (self.values[1:] == self.values[:-1]).any()
+
+
 class Matches:
     """Equal shingles of two sequences: places (in x, in y) whose distance is a shift, give or take DRIFT, one for each place in x, by place in x."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ordered: Ordered | None = None):
         self.x, self.y = x, y
-        order = np.argsort(y, kind="stable")
-        ordered = y[order]
-        low, high = np.searchsorted(ordered, x), np.searchsorted(ordered, x, side="right")
-        n = high - low
-        total = int(n.sum())
+        ordered = ordered or Ordered(y)
+        low = np.searchsorted(ordered.values, x)
+        #: Whether no place in x has several in y.
+        self.single = ordered.distinct
+        if self.single:
+            self.i = np.flatnonzero(ordered.values[np.minimum(low, len(y) - 1)] == x)
+            n, total = None, len(self.i)
+        else:
+            n = np.searchsorted(ordered.values, x, side="right") - low
+            total = int(n.sum())
         #: Whether all pairs of equal shingles are at hand; of texts that repeat themselves there may be too many.
         self.known = total <= MATCHES * (len(x) + len(y))
-        if self.known:
+        if self.known and self.single:
+            self.j = ordered.order[low[self.i]]
+        elif self.known:
             self.i = np.repeat(np.arange(len(x)), n)
-            self.j = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)]
-        self.sets = self.known and n.max(initial=0) <= 1 and not (ordered[1:] == ordered[:-1]).any() and len(np.unique(x)) == len(x)
+            self.j = ordered.order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)]
+        if self.known:
+            self.shift = self.j - self.i
+        self.sets = False
+        if self.known and self.single:
+            x = np.sort(x)
+            self.sets = not (x[1:] == x[:-1]).any()
 
     def alike(self, a: int, b: int, c: int, d: int, percent: int) -> bool:
         """Whether x[a:b] and y[c:d] reach the similarity as sets."""
         if not self.sets:
             return alike(self.x[a:b], self.y[c:d], percent)
-        first, last = np.searchsorted(self.i, (a, b))
+        first, last = self.i.searchsorted((a, b))
         j = self.j[first:last]
-        both = int(((j >= c) & (j < d)).sum())
+        both = int(np.count_nonzero((j >= c) & (j < d)))
         return 100 * both >= percent * (b - a + d - c - both)
 
     def around(self, shift: int) -> tuple[np.ndarray, np.ndarray]:
         if self.known:
-            fine = np.abs(self.j - self.i - shift) <= DRIFT
+            fine = np.flatnonzero(np.abs(self.shift - shift) <= DRIFT)
             i, j = self.i[fine], self.j[fine]
+            if self.single:
+                return i, j
         else:
             i, j = shared_places(self.x, self.y, shift)
         if (i[1:] == i[:-1]).any():
             nearest = np.lexsort((np.abs(j - i - shift), i))
             i, j = i[nearest], j[nearest]
-            once = np.r_[True, i[1:] > i[:-1]]
+            once = np.append(True, i[1:] > i[:-1])
             i, j = i[once], j[once]
         return i, j
 
@@ -405,11 +452,11 @@ def longest_stretches(scores: np.ndarray) -> list[tuple[int, int]]:
 
     The furthest end for a begin is the last place where the running total is no lower than before the begin.
     """
-    total = np.r_[0, np.cumsum(scores)]
+    total = np.append(0, np.cumsum(scores))
     later = np.maximum.accumulate(total[::-1])[::-1]  # the largest total from each place on: never rises
     first = np.arange(0, len(scores), 2)
     last = np.searchsorted(-later, -total[first], side="right") - 2
-    new = last > np.r_[-1, np.maximum.accumulate(last)[:-1]]
+    new = last > np.append(-1, np.maximum.accumulate(last)[:-1])
     return list(zip(first[new].tolist(), last[new].tolist(), strict=True))
 
 
@@ -419,7 +466,7 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
-def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, percent: int) -> list[tuple[int, int, int, int]]:
+def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, percent: int, ordered: Ordered | None = None) -> list[tuple[int, int, int, int]]:
     """(begin, end, begin_b, end_b) of near-duplicate passages of two shingle sequences, on the shifts of places that they share.
 
     Runs of shared shingles score for their length, what lies between them costs, so that a stretch of runs has no
@@ -427,26 +474,34 @@ def passages(x: np.ndarray, y: np.ndarray, starts: np.ndarray, least: int, perce
     enough is compared as sets, and where repeats make the sets less alike than the runs, its long runs are passages on their own.
     """
     out: list[tuple[int, int, int, int]] = []
-    matches = Matches(x, y)
-    for shift in np.unique(starts[:, 1] - starts[:, 0]).tolist():
-        mine = starts[starts[:, 1] - starts[:, 0] == shift]
-        if all(any(p[0] <= m[0] < p[1] and p[2] <= m[1] < p[3] for p in out) for m in mine):
+    matches = Matches(x, y, ordered)
+    by_shift: dict[int, list[list[int]]] = {}
+    for m in starts.tolist():
+        by_shift.setdefault(m[1] - m[0], []).append(m)
+    for shift, mine in sorted(by_shift.items()):
+        if out and all(any(p[0] <= m[0] < p[1] and p[2] <= m[1] < p[3] for p in out) for m in mine):
             continue  # within passages that are known
         i, j = matches.around(shift)
-        if len(i) < least * percent // 100:
+        if len(i) < max(1, least * percent // 100):
             continue
-        step, step_b = np.diff(i), np.diff(j)
+        step, step_b = i[1:] - i[:-1], j[1:] - j[:-1]
         edges = np.flatnonzero((step != 1) | (step_b != 1))
-        first, last = np.r_[0, edges + 1], np.r_[edges, len(i) - 1]
-        gains = (last - first + 1) * (100 - percent)
-        costs = percent * (step[edges] - 1 + np.where(step_b[edges] > 0, step_b[edges] - 1, least))
-        scores = np.zeros(2 * len(first) - 1, dtype=np.int64)
-        scores[::2], scores[1::2] = gains, -costs
-        for u, v in longest_stretches(scores):
-            runs = range(u // 2, v // 2 + 1)
-            whole = (int(i[first[u // 2]]), int(i[last[v // 2]]) + 1, int(j[first[u // 2]]), int(j[last[v // 2]]) + 1)
-            some = [whole] if len(runs) == 1 or matches.alike(*whole, percent) else [(int(i[first[r]]), int(i[last[r]]) + 1, int(j[first[r]]), int(j[last[r]]) + 1) for r in runs]
-            out += [p for p in some if min(p[1] - p[0], p[3] - p[2]) >= least and p not in out]
+        first, last = np.append(0, edges + 1), np.append(edges, len(i) - 1)
+        begin, end, begin_b, end_b = i[first].tolist(), (i[last] + 1).tolist(), j[first].tolist(), (j[last] + 1).tolist()
+        stretches = [(0, 0)]
+        if len(edges):
+            scores = np.empty(2 * len(first) - 1, dtype=np.int64)
+            scores[::2] = (last - first + 1) * (100 - percent)
+            gap_b = step_b[edges]
+            scores[1::2] = -percent * (step[edges] - 1 + np.where(gap_b > 0, gap_b - 1, least))
+            stretches = longest_stretches(scores)
+        for u, v in stretches:
+            u, v = u // 2, v // 2
+            if end[v] - begin[u] < least:
+                continue  # nor is any of its runs longer
+            whole = (begin[u], end[v], begin_b[u], end_b[v])
+            some = [whole] if u == v or matches.alike(*whole, percent) else [(begin[r], end[r], begin_b[r], end_b[r]) for r in range(u, v + 1) if end[r] - begin[r] >= least]
+            out += [p for p in some if p[3] - p[2] >= least and p not in out]
     return out
 
 
@@ -528,23 +583,31 @@ def sequences_for(nodes: DataFrame, docs: DataFrame, classes: DataFrame, least:
     return once
 
 
+def compared(batches, least: int, percent: int):
+    """Of batches a, b, starts, x, y (the sequences of a and b): the passages. Sorted by b, each b is ordered once for all its pairs."""
+    import pyarrow as pa
+
+    of, ordered = None, None
+    for batch in batches:
+        rows = []
+        values = [batch.column("a").to_pylist(), batch.column("b").to_pylist(), *(batch.column(c) for c in ("starts", "x", "y"))]
+        for a, b, starts, x, y in zip(*values, strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y))
+            if ordered is None or b != of:
+                of, ordered = b, Ordered(y)
+            at = np.sort(np.asarray(starts.values))
+            for p in passages(x, y, np.stack([at >> 32, at & 0xFFFFFFFF], axis=1), least, percent, ordered):
+                rows.append((a, *p[:2], b, *p[2:]))
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        kinds = [pa.int64(), pa.int32(), pa.int32()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "begin", "end", "b", "begin_b", "end_b"])
+
+
 def verified(pairs: DataFrame, sequences: DataFrame, least: int, percent: int) -> DataFrame:
     """a, begin, end, b, begin_b, end_b (in shingles) of every verified passage of the pairs."""
 
     def compare(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = []
-            values = [batch.column(c) for c in ("a", "b", "starts", "x", "y")]
-            for a, b, starts, x, y in zip(*values, strict=True):
-                seq = [np.frombuffer(v.as_buffer(), dtype=np.uint32) for v in (x, y)]
-                at = np.sort(np.asarray(starts.values))
-                for p in passages(*seq, np.stack([at >> 32, at & 0xFFFFFFFF], axis=1), least, percent):
-                    rows.append((a.as_py(), *p[:2], b.as_py(), *p[2:]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "begin", "end", "b", "begin_b", "end_b"])
+        yield from compared(batches, least, percent)
 
     left = pairs.join(sequences.select(F.col("node").alias("a"), F.col("sequence").alias("x")), "a")
     both = left.join(sequences.select(F.col("node").alias("b"), F.col("sequence").alias("y")), "b").select("a", "b", "starts", "x", "y")

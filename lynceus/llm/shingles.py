@@ -15,7 +15,11 @@ import numpy as np
 
 WORDS = 5
 BASE = np.uint64(0x9E3779B97F4A7C13)
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 LONG_WORD = 64
+#: Bytes of text for which powers are kept between calls.
+KEPT = 1 << 19
+_kept = [np.zeros(0, dtype=np.uint64)] * 2
 
 
 def _random(label: str, n: int) -> np.ndarray:
@@ -38,6 +42,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of its inverse; those for slices of usual length are kept."""
+    if len(_kept[0]) < n:
+        made = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(max(n, KEPT) - 1, x)]) for x in (BASE, INVERSE))
+        if n > KEPT:
+            return made
+        _kept[:] = made
+    return _kept[0][:n], _kept[1][:n]
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word and the number of the text it lies in. offsets: where texts begin, and the end."""
     data = data[: offsets[-1]]
@@ -53,13 +67,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tup
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     owner = np.searchsorted(offsets, starts, side="right") - 1
     size = np.diff(np.r_[starts, len(data)])
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, size)
-    letters = place < LONG_WORD
-    powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(LONG_WORD - 1, BASE)])
-    table = FOLDED if fold else EXACT
-    values = table[data[starts[0] :]] * powers[np.where(letters, place, 0)]
-    values[~letters] = 0
-    hashes = np.add.reduceat(values, starts - starts[0])
+    # the polynomial of a stretch is a difference of running totals, moved to power 0: products wrap, so this is exact
+    powers, inverses = _powers(len(data) - starts[0])
+    total = np.zeros(len(data) - starts[0] + 1, dtype=np.uint64)
+    np.cumsum((FOLDED if fold else EXACT)[data[starts[0] :]] * powers, out=total[1:])
+    begin = starts - starts[0]
+    hashes = (total[begin + np.minimum(size, LONG_WORD)] - total[begin]) * inverses[begin]
     # the rest of a long word, without its trailing gap
     for k in np.flatnonzero(size > LONG_WORD):
         word = data[starts[k] : starts[k] + size[k]]

@@ -237,3 +237,41 @@ def test_matches_are_the_same_by_look_up_and_by_shifts(monkeypatch):
             assert (i == p).all() and (np.abs(j - i - shift) == np.abs(q - p - shift)).all()
     alike = np.zeros(4000, np.uint32)
     assert not C.Matches(alike, alike).known and C.passages(alike, alike, np.array([[5, 5]]), 46, 80)
+
+
+def test_windows_are_split_at_the_smallest_of_a_passage_alone():
+    rng = np.random.default_rng(13)
+    for least in (1, 2, 5, 8, 46):
+        for most in (3, 1000):
+            values = rng.integers(0, most, 200).astype(np.uint64)
+            want = {p for s in range(200 - least + 1) for p in range(s, s + least) if values[p] == values[s : s + least].min()}
+            got = C.smallest_within(values, least).tolist()
+            assert got == sorted(got) and want <= set(got) and all(p in want or values[p] == 0 for p in got)
+    values = rng.integers(0, 2**62, 20_000).astype(np.uint64)
+    assert len(C.smallest_within(values, 46)) < 20_000 / 15 and not len(C.smallest_within(values[:20], 46))
+
+
+def test_a_text_is_ordered_once_for_all_its_pairs(monkeypatch):
+    import pyarrow as pa
+
+    rng, made, real = np.random.default_rng(14), [], C.Ordered
+    monkeypatch.setattr(C, "Ordered", lambda y: made.append(1) or real(y))
+    y = [rng.integers(0, 2**32, 300).astype(np.uint32) for _ in range(2)]
+    y[1][200:] = y[1][:100]  # repeats itself
+    x = [np.r_[rng.integers(0, 2**32, k).astype(np.uint32), y[b][50:150]] for b in (0, 1) for k in range(6)]
+    columns = {"a": range(10, 22), "b": [0] * 6 + [1] * 6, "starts": [[(k + 20 << 32) + 70] for _ in (0, 1) for k in range(6)], "x": [v.tobytes() for v in x], "y": [y[b].tobytes() for b in (0, 1) for _ in range(6)]}
+    batches = pa.table({n: list(v) for n, v in columns.items()}).to_batches(max_chunksize=4)
+    got = [r for batch in C.compared(batches, 46, 80) for r in batch.to_pylist()]
+    assert len(made) == 2
+    assert [(r["a"], r["begin"], r["end"], r["b"], r["begin_b"], r["end_b"]) for r in got] == [(10 + k, k % 6, k % 6 + 100, k // 6, 50, 150) for k in range(12)]
+
+
+def test_word_hashes_are_the_polynomial_of_the_words_bytes():
+    from lynceus.llm import shingles as S
+
+    words = ["a", "Abc", "語", "x" * 63, "x" * 64, "e"]
+    raw = " \t" + "  ".join(words) + "\n"
+    parts = [raw.encode(), b"", ("tail " * 9).encode()]
+    got, owner = S.word_hashes(np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum([len(p) for p in parts])])
+    want = [sum(int(S.FOLDED[c]) * int(S.BASE) ** k for k, c in enumerate(w.encode())) % 2**64 for w in words + ["tail"] * 9]
+    assert (got == S.mix(np.array(want, dtype=np.uint64))).all() and owner.tolist() == [0] * 6 + [2] * 9

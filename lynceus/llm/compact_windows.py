@@ -254,11 +254,16 @@ def stars(shared: DataFrame, least: int) -> DataFrame:
     return by_pair(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.at").alias("at"), F.col("y.at").alias("at_b")))
 
 
-def places(links: DataFrame, least: int) -> DataFrame:
+def grown(component: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of the links that made component and of these."""
+    return components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b")))
+
+
+def places(links: DataFrame, component: DataFrame, least: int) -> DataFrame:
     """node, from, to, component: where a text's known passages are, with a passage's length on both sides, and the component that their links make."""
     ends = links.select(F.col("a").alias("node"), "begin", "end").union(links.select("b", "begin_b", "end_b")).distinct()
     spans = merged(ends.withColumns({"begin": F.col("begin") - least, "end": F.col("end") + least}))
-    return cut(spans.join(components(links.select("a", "b")), "node").select("node", F.col("begin").alias("from"), F.col("end").alias("to"), "component"))
+    return cut(spans.join(component, "node").select("node", F.col("begin").alias("from"), F.col("end").alias("to"), "component"))
 
 
 def labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -321,23 +326,46 @@ def near(x: np.ndarray, y: np.ndarray, least: int, percent: int) -> np.ndarray:
 
     So they must be among those that differ from the one before: a word over and over is one token of a set.
     """
-    reach = x.shape[1] // 2
-    met = np.zeros(x.shape, dtype=bool)
-    for d in range(-SHIFTS, SHIFTS + 1):
-        mine = slice(max(0, -d), x.shape[1] - max(0, d))
-        theirs = slice(max(0, d), x.shape[1] - max(0, -d))
-        met[:, mine] |= (x[:, mine] == y[:, theirs]) & (x[:, mine] != 0)
-    fresh = np.ones(x.shape, dtype=bool)
-    fresh[:, 1:] = x[:, 1:] != x[:, :-1]
-    first = np.arange(max(0, reach - least + 1), reach + 1)
+    n, width = x.shape
+    reach = width // 2
+    at = slice(max(0, reach - least + 1), reach + 1)  # begins of stretches that hold the middle
+    kind = np.uint8 if least < 256 else np.int32
 
     def within(mask: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(x), x.shape[1] + 1), dtype=np.int16)
-        np.cumsum(mask, axis=1, out=total[:, 1:])
-        return total[:, first + least] - total[:, first]
-
-    enough = within(met) >= -(-2 * least * percent // (100 + percent))
-    return (enough & ((100 + percent) * within(met & fresh).astype(np.int32) >= 2 * percent * within(fresh).astype(np.int32))).any(axis=1)
+        """How many of the `least` places from each begin on are set. Rows lie end to end: no begin looks beyond its own."""
+        count = mask.reshape(-1).view(np.uint8).astype(kind, copy=False)
+        total, done, step = None, 0, 1
+        while True:
+            if least & step:
+                total = count if total is None else total[: len(count) - done] + count[done:]
+                done += step
+            if 2 * step > least:
+                break
+            count = count[:-step] + count[step:]
+            step *= 2
+        return np.append(total, np.zeros(n * width - len(total), kind)).reshape(n, width)[:, at]
+
+    mine, theirs = x.reshape(-1), y.reshape(-1)
+    met = np.zeros((n, width), dtype=bool)
+    for d in range(-SHIFTS, SHIFTS + 1):
+        a, b = max(0, -d), n * width - max(0, d)
+        moved = np.zeros(n * width, dtype=bool)
+        np.equal(mine[a:b], theirs[a + d : b + d], out=moved[a:b])
+        moved = moved.reshape(n, width)
+        moved[:, slice(width - d, None) if d > 0 else slice(0, -d)] = False  # those met another row
+        met |= moved
+    met &= x != 0
+    need = -(-2 * least * percent // (100 + percent))
+    enough = within(met) >= need
+    out = enough.any(axis=1)
+    some = np.flatnonzero(out)
+    n = len(some)
+    if n:
+        fresh = np.ones((n, width), dtype=bool)
+        fresh[:, 1:] = x[some, 1:] != x[some, :-1]
+        both, all_ = within(met[some] & fresh).astype(np.int32), within(fresh).astype(np.int32)
+        out[some] = (enough[some] & ((100 + percent) * both >= 2 * percent * all_)).any(axis=1)
+    return out
 
 
 def candidates(rows: dict[str, np.ndarray], bounds: np.ndarray, least: int, percent: int, forest: bool) -> np.ndarray:
@@ -517,39 +545,41 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE, percent: int = SIMI
     told = cut(every.where("doc_id IS NOT NULL").select("doc_id", "node", "n").distinct(), ROWS)
     discard(every)
     classes = told.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    links = all_links(shared, docs, classes, least, percent)
+    links, component = all_links(shared, docs, classes, least, percent)
     discard(shared)
     spans = links.select(F.col("a").alias("node"), "begin", "end").union(links.select("b", "begin_b", "end_b"))
     spans = spans.union(classes.where("copies > 1").select("node", F.lit(0), F.col("n").cast("int")))
     spans = merged(spans.distinct())
-    component = components(links.select("a", "b"))
     named = classes.join(component, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     roots = named.groupBy("component").agg(F.min("first").alias("component_id"))
     by_node = spans.join(named.join(roots, "component").select("node", "component_id"), "node")
     return told.join(by_node, "node").select("doc_id", F.col("begin").cast("long").alias("start"), (F.col("end") + F.lit(WORDS - 1)).cast("long").alias("end"), "component_id")
 
 
-def all_links(shared: DataFrame, docs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """The verified passages: of stars, of forests of the candidates that are apart then, and of all candidates that are still apart."""
+def all_links(shared: DataFrame, docs: DataFrame, classes: DataFrame, least: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The verified passages (of stars, of forests of the candidates that are apart then, and of all candidates that are still apart) and the components they make."""
     sequences = sequences_for(shared.select("node").distinct(), docs, classes, least)
     pairs = cut(stars(shared, least), ROWS)
     links = verified(pairs, sequences, least, percent)
-    known = places(links, least)
+    component = components(links.select("a", "b"))
+    known = places(links, component, least)
     columns = ("sub", "node", "at", "left", "right", "context")
     opened = open_groups(dealt(shared, HALVES).select(*columns), known)
     around = cut(surroundings(opened, sequences, least), ROWS)
     small, large = opened.where(F.col("k") <= LARGE), opened.where(F.col("k") > LARGE)
     found = products(small, around, least, percent, False).unionByName(products(large, around, least, percent, True))
     more = cut(by_pair(found).join(pairs, ["a", "b"], "left_anti"), ROWS)
-    links = links.unionByName(verified(more, sequences, least, percent))
+    new = verified(more, sequences, least, percent)
+    links, component = links.unionByName(new), grown(component, new)
     if not large.isEmpty():
         pairs = pairs.select("a", "b").unionByName(more.select("a", "b"))
-        left = open_groups(large.select(*columns), places(links, least))
+        left = open_groups(large.select(*columns), places(links, component, least))
         rest = cut(by_pair(products(left, around, least, percent, False)).join(pairs, ["a", "b"], "left_anti"), ROWS)
-        links = links.unionByName(verified(rest, sequences, least, percent))
+        new = verified(rest, sequences, least, percent)
+        links, component = links.unionByName(new), grown(component, new)
     for done in (known, opened, around, sequences):
         discard(done)
-    return links
+    return links, component
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -275,3 +275,36 @@ def test_word_hashes_are_the_polynomial_of_the_words_bytes():
     got, owner = S.word_hashes(np.frombuffer(b"".join(parts), np.uint8), np.r_[0, np.cumsum([len(p) for p in parts])])
     want = [sum(int(S.FOLDED[c]) * int(S.BASE) ** k for k, c in enumerate(w.encode())) % 2**64 for w in words + ["tail"] * 9]
     assert (got == S.mix(np.array(want, dtype=np.uint64))).all() and owner.tolist() == [0] * 6 + [2] * 9
+
+
+def test_near_counts_as_a_loop_over_the_stretches_does():
+    rng = np.random.default_rng(15)
+    for least in (5, 46, 300):
+        reach = least + C.DRIFT
+        x = rng.integers(0, 60_000, (40, 2 * reach)).astype(np.uint16)
+        y = np.roll(x, 1, axis=1)
+        for r in range(40):
+            y[r, rng.integers(0, 2 * reach, r * reach // 80)] = 1
+        x[::5, : reach - 2] = y[::5, : reach - 2] = 0  # a text's begin
+        x[::7, reach:] = y[::7, reach:] = 9  # a word over and over
+
+        def slow(p, q):
+            met = [p[k] != 0 and any(p[k] == q[k + d] for d in range(-C.SHIFTS, C.SHIFTS + 1) if 0 <= k + d < len(q)) for k in range(len(p))]
+            fresh = [k == 0 or p[k] != p[k - 1] for k in range(len(p))]
+            for a in range(reach - least + 1, reach + 1):
+                m, f = met[a : a + least], fresh[a : a + least]
+                if 180 * sum(m) >= 160 * least and 180 * sum(u and v for u, v in zip(m, f)) >= 160 * sum(f):
+                    return True
+            return False
+
+        want = [slow(p, q) for p, q in zip(x.tolist(), y.tolist())]
+        assert C.near(x, y, least, 80).tolist() == want and 0 < sum(want) < 40
+    assert not len(C.near(x[:0], y[:0], 46, 80))
+
+
+def test_components_grow_by_new_links(spark):
+    old = spark.createDataFrame([(5, 3), (9, 5), (8, 7)], "a long, b long")
+    new = spark.createDataFrame([(9, 8), (12, 11)], "a long, b long")
+    got = {(r.node, r.component) for r in C.grown(C.components(old), new).collect()}
+    assert got == {(3, 3), (5, 3), (9, 3), (8, 3), (7, 3), (11, 11), (12, 11)}
+    assert got == {(r.node, r.component) for r in C.components(old.union(new)).collect()}

@@ -6,10 +6,12 @@ packed on its own by first-fit decreasing, which finds the leftmost bin with roo
 capacities. The emptiest bins are then cut to fill what the others have left, so all sequences
 of a group but the last are full; the last is cut at powers of two, which need no padding.
 
-Token ids come from the tokenizer library. A worker remembers the ids of at most `CACHE`
-white-space separated chunks and words; a text with characters for which chunks might not be independent of
-what stands beside them goes to the library. Long texts go through in segments, cut between two ASCII letters
-or digits with a white space between them, across which the tokenizer never looks.
+Token ids come from the tokenizer library, word by word. Many texts at a time are cut into words by comparing kinds of
+neighbouring bytes; each different word is looked up once, and the texts' ids are gathered from those of the words.
+A worker remembers the ids of at most `CACHE` words, and when these are too many keeps those of the texts at hand. A text
+with characters for which words might not be independent of what stands beside them goes to the library. Long texts go
+through in segments, cut between two ASCII letters or digits with a white space between them, across which the tokenizer
+never looks.
 
 Pieces with the ids of the rests are written to the shared folder first, so a lost executor costs no text's
 tokens again, and the groups can be dealt by place in that table: equal rows are spread like any others.
@@ -23,9 +25,11 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,8 +44,8 @@ VOCABULARY = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 GROUP_DOCS = 1024
-CACHE = 100_000
-#: Longer chunks and words, in characters, are not remembered.
+CACHE = 200_000
+#: Longer words, in characters, are not remembered.
 LONG = 64
 #: Full sequences, which need only a number, that a group has besides its rests.
 GROUP_FULL = 16_384
@@ -50,11 +54,18 @@ SEQUENCES_A_GROUP = 1 << 32
 ROWS = 1000
 #: Characters of a text that are looked up at a time, up to the next place where it can be cut.
 SEGMENT = 1 << 16
+#: Characters that are cut into words at a time, up to the next place where a text can be cut.
+BATCH = 1 << 20
 SEAM = re.compile(r"[0-9A-Za-z][ \t\n]+[0-9A-Za-z]")
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed: the vocabulary's own way of splitting
-#: Only these characters: lower-casing, composing and splitting then never look past white space.
-#: U+0130 alone of them becomes two characters in lower case, of which one is no letter.
-PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-ɏ]*")
+#: Only these characters: lower-casing, composing and splitting then never look past white space, and lower-casing
+#: leaves each as many bytes as it had, two at most. Of the letters between, U+0130 alone becomes two characters in
+#: lower case, of which one is no letter, and U+023A and U+023E become three bytes.
+PLAIN = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]*")
+#: Where else a text of only these characters can be cut: after a space, a digit or a sign that a letter or digit follows.
+PLAIN_SEAM = re.compile(r"[\s0-9]|[^\w\s'](?=[^\W_])")
+GAP, LETTER, DIGIT, SIGN = range(4)
+#: The kind of each character of one or two bytes in UTF-8.
+KINDS = np.array([GAP if chr(c).isspace() else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(c))[0], SIGN) for c in range(1 << 11)], np.uint8)
 
 
 class Tokens:
@@ -69,7 +80,7 @@ class Tokens:
         self.model = self.library.model
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bytes_as_signs = dict(enumerate(byte_symbols()))
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.library.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.forget()
 
     def narrow(self, ids: bytes) -> bytes:
@@ -80,71 +91,113 @@ class Tokens:
         return np.frombuffer(ids, self.kind).astype("<u4").tobytes()
 
     def forget(self) -> None:
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def simple(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as_signs)
-            found = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-            if len(word) <= LONG:
-                self.words[word] = found
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes_as_signs)
+        return array(self.code, [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The narrow ids of each of different words."""
+        found = [*map(self.words.get, words)]
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k in new:
+            found[k] = self.word(words[k])
+        if len(self.words) + len(new) > CACHE:
+            self.words.clear()
+            new = range(len(words))
+        self.words.update((words[k], found[k]) for k in islice(new, CACHE) if len(words[k]) <= LONG)
         return found
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if len(text) <= SEGMENT:
-            return self.segment(text)
-        return b"".join(map(self.segment, segments(text)))
-
-    def segment(self, text: str) -> bytes:
-        if not self.simple(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks = text.split()
-        out = [*map(self.chunks.get, chunks)]
-        at = -1
-        for _ in range(out.count(None)):
-            at = out.index(None, at + 1)
-            out[at] = self.chunk(chunks[at])
-        return b"".join(out)
-
-    def chunk(self, chunk: str) -> bytes:
-        # a lone word, or one with a sign after it, needs no search
-        if chunk.isalpha():
-            ids = self.word(chunk.lower())
-        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
-            ids = self.word(chunk[:-1].lower()) + self.word(chunk[-1])
-        else:
-            ids = b"".join(map(self.word, _finder().findall(chunk.lower())))
-        if len(chunk) <= LONG:
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
-
-
-def segments(text: str) -> Iterator[str]:
-    """The text in parts whose ids don't depend on each other."""
-    start = 0
-    while seam := SEAM.search(text, start + SEGMENT):
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """encode(text) for each text."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, int, str]] = []  # text, place in it, part
+        size = 0
+
+        def flush() -> None:
+            for (k, place, _), ids in zip(held, self.simple_parts([part for *_, part in held]), strict=True):
+                out[k][place] = ids
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for part in segments(text) if len(text) > SEGMENT else (text,):
+                if self.simple(part):
+                    for piece in segments(part, PLAIN_SEAM, BATCH) if len(part) > BATCH else (part,):
+                        held.append((k, len(out[k]), piece))
+                        out[k].append(b"")
+                        size += len(piece)
+                        if size >= BATCH:
+                            flush()
+                            size = 0
+                else:
+                    out[k].append(np.array(self.library.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes())
+        if held:
+            flush()
+        return [b"".join(parts) for parts in out]
+
+    def simple_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts that are simple, by the different words in them."""
+        words, begin = words_of("\n".join(parts))
+        found = self.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // np.dtype(self.kind).itemsize
+        word = words.indices.to_numpy()
+        n = size[word]
+        upto = np.r_[0, np.cumsum(n)]
+        place = np.repeat((np.cumsum(size) - size)[word] - upto[:-1], n) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(found), self.kind)[place].astype("<u4").tobytes()
+        ends = np.cumsum([0, *((len(p) if p.isascii() else len(p.encode())) + 1 for p in parts)])
+        at = (4 * upto[np.searchsorted(begin, ends)]).tolist()
+        return [ids[a:b] for a, b in pairwise(at)]
+
+
+def words_of(text: str):
+    """The words of a plain text in lower case, as a dictionary array, and the bytes at which they begin.
+
+    Words are the matches of 's|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+, the vocabulary's own way of splitting.
+    """
+    import pyarrow as pa
+
+    raw = np.frombuffer((text.lower() + "   ").encode(), np.uint8)  # nothing below looks further than three bytes
+    kind = KINDS[raw]
+    lead = np.flatnonzero(raw >= 0xC0)
+    kind[lead] = kind[lead + 1] = KINDS[(raw[lead] & 31).astype(np.int64) << 6 | raw[lead + 1] & 63]
+    begins = kind == DIGIT
+    begins[0] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[lead + 1] = False
+    solid = kind != GAP
+    begins &= solid
+    quote = np.flatnonzero(raw == ord("'"))
+    quote = quote[begins[quote]]
+    a, b = raw[quote + 1], raw[quote + 2]
+    for tail in ("s", "t", "re", "ve", "m", "ll", "d"):
+        at = quote[(a == ord(tail[0])) & (b == ord(tail[1]))] if tail[1:] else quote[a == ord(tail)]
+        begins[at + 1] = False
+        after = at + 1 + len(tail)
+        begins[after] |= kind[after] == LETTER
+    begin = np.flatnonzero(begins)
+    data = raw[solid]
+    offsets = np.r_[np.cumsum(solid, dtype=np.int32)[begin] - 1, len(data)].astype(np.int32)
+    return pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode(), begin
+
+
+def segments(text: str, seams: re.Pattern = SEAM, size: int | None = None) -> Iterator[str]:
+    """The text in parts whose ids don't depend on each other, each cut after a seam's first character."""
+    start, size = 0, size or SEGMENT
+    while seam := seams.search(text, start + size):
         yield text[start : seam.start() + 1]
         start = seam.start() + 1
     yield text[start:]
 
 
-@functools.cache
-def _finder():
-    import regex
-
-    return regex.compile(WORD)
-
-
 @functools.cache
 def tokens(path: str) -> Tokens:
     return Tokens(path)
@@ -246,10 +299,10 @@ def encoded(docs: DataFrame, vocabulary: str, path: str | None, length: int, kee
         narrow = own.narrow
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
-            for a, b in text_slices(pc.binary_length(texts).to_pylist()):
+            for a, b in text_slices(pc.binary_length(texts).to_pylist(), BATCH):
                 row, start, size, crc, total, kept = [], [], [], [], [], []
-                for k in range(a, b):
-                    ids = own.encode(texts[k].as_py()) + END_ID.to_bytes(4, "little")
+                for k, ids in enumerate(own.encode_all(texts.slice(a, b - a).to_pylist()), a):
+                    ids += END_ID.to_bytes(4, "little")
                     n = len(ids) // 4
                     for s in range(0, n, length):
                         piece = ids[4 * s : 4 * (s + length)]

@@ -123,3 +123,46 @@ def test_ids_of_pieces_make_up_the_documents(spark):
         pieces = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
         assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in pieces)
         assert np.frombuffer(b"".join(r.ids for r in pieces), "<u4").tolist() == [*LIBRARY.encode(t, add_special_tokens=False).ids, P.END_ID]
+
+
+def test_frequent_words_are_asked_for_once_however_many_rare_ones_come(monkeypatch):
+    monkeypatch.setattr(P, "CACHE", 60)
+    own, asked = P.Tokens(PATH), []
+    model = own.model
+    own.model = type("Model", (), {"tokenize": lambda _, word: asked.append(word) or model.tokenize(word)})()
+    frequent = "the sea, and The sky. Of gold"
+    for k in range(200):
+        text = f"{frequent} {' '.join('rare' + chr(97 + k // 26) + chr(97 + k % 26) + c for c in 'abcdefgh')}"
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert all(asked.count(w) == 1 for w in ("the", "sea", "and", "sky", "of", "gold", ",", "."))
+    assert len(own.words) <= 60
+
+
+SHARED = P.Tokens(PATH)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("'strevmldLA1²½é×¿ß_.,-\n\t x<|>", max_size=25), max_size=6))
+def test_texts_together_are_cut_as_the_library_cuts_each(texts):
+    got = P.Tokens.encode_all(SHARED, texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_batches_of_simple_other_and_long_texts(monkeypatch):
+    monkeypatch.setattr(P, "SEGMENT", 40)
+    monkeypatch.setattr(P, "BATCH", 100)
+    rng = random.Random(8)
+    words = ["Alpha", "don't", "it's", "we'll've", "naïve", "日本語", "<|endoftext|>", "İ", "Ⱥa", "''s", "42", "x.y", "--", "ΣΑΣ", "'"]
+    texts = [rng.choice([" ", "\n", "a b"]).join(rng.choices(words, k=rng.choice([0, 1, 5, 80]))) for _ in range(60)]
+    texts += ["1,2;" * 200, "é,'s-a_.b'" * 100, "x'll\n'" * 100, "".join(rng.choices("'strevmld12é.,-_ ", k=2000)), "long" * 300]
+    monkeypatch.setattr(P.Tokens, "simple_parts", lambda self, parts, own=P.Tokens.simple_parts: sizes.extend(map(len, parts)) or own(self, parts))
+    sizes = []
+    got = P.Tokens(PATH).encode_all(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(sizes)[-1] == len(texts[-1]) and sorted(sizes)[-2] < 120
+
+
+def test_plain_characters_alone_and_between_others():
+    plain = [c for c in map(chr, range(0x250)) if P.PLAIN.fullmatch(c)]
+    assert all(len(c.encode()) == len(c.lower().encode()) and len(c.lower()) == 1 for c in plain)
+    same([*plain, *(f"a{c}b {c}{c} '{c}s 1{c}.{c}" for c in plain)])
